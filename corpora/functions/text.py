@@ -41,7 +41,7 @@ def keep_essay_characters(text: Column) -> Column:
 
 def drop_undecodable(text: Column) -> Column:
     """Remove the replacement characters that stand for invalid bytes."""
-    return F.replace(text, F.lit("�"), F.lit(""))
+    return F.replace(text, F.lit("\ufffd"), F.lit(""))
 
 
 def words(text: Column, lowercase: bool = True) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from corpora.functions.ordering import value_bucket
 from corpora.functions.scores import Scale, class_index
 
+Bounds = tuple[Column, Column]
+
+
+# One scale for all rows, or a column with the scale that each of its values stands for.
+ScaleChoice = Scale | tuple[str | Column, dict[str, Scale]]
+
+
+def _choose(scales: ScaleChoice, column: Callable[[Scale], Column]) -> Column:
+    """A column that depends on the scale of a row."""
+    if isinstance(scales, Scale):
+        return column(scales)
+    name, known = scales
+    return F.coalesce(*[F.when(name == value, column(scale)) for value, scale in known.items()])
+
 
 def error_columns(gold: Column, pred: Column) -> list[Column]:
     """Aggregates for any ``groupBy``: number of rows, RMSE and Pearson."""
@@ -22,18 +36,22 @@ def error_columns(gold: Column, pred: Column) -> list[Column]:
     ]
 
 
-def centred_ranks(counts: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+def centred_ranks(
+    counts: DataFrame, by: Sequence[str], value: str, name: str, bounds: Bounds | None = None
+) -> DataFrame:
     """Average rank of each distinct value per group, minus the mean rank.
 
     ``counts`` holds ``(*by, value, n)`` with one row per distinct value. Values go
     to monotone buckets, so even the values of one huge group are ordered in many
-    tasks; a bucket's rows before it come from a table of bucket sums.
+    tasks; a bucket's rows before it come from a table of bucket sums. ``bounds``
+    are the ends between which most values lie; they default to the group's own.
     """
     by = list(by)
-    ends = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    placed = counts.join(ends, by).withColumn(
-        "_bucket", value_bucket(F.col(value), F.col("_low"), F.col("_high"))
-    )
+    if bounds is None:
+        ends = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        counts = counts.join(ends, by)
+        bounds = F.col("_low"), F.col("_high")
+    placed = counts.withColumn("_bucket", value_bucket(F.col(value), *bounds))
     group = Window.partitionBy(*by)
     running = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = (
@@ -58,48 +76,57 @@ def centred_ranks(counts: DataFrame, by: Sequence[str], value: str, name: str) -
     )
 
 
-def rank_correlation(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+def score_pairs(preds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per distinct pair of scores: ``(*by, gold, pred, n)``.
+
+    The one shuffle that depends on the number of rows; ties collapse before it.
+    """
+    return preds.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rank_correlation(
+    pairs: DataFrame, by: Sequence[str], bounds: Bounds | None = None
+) -> DataFrame:
     """Spearman per group, ties at their average rank: ``(*by, spearman)``.
 
-    NULL when one side is constant.
+    ``pairs`` are :func:`score_pairs`. NULL when one side is constant.
     """
     by = list(by)
-    joint = preds.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    ranked = joint
+    ranked = pairs
     for side in ("gold", "pred"):
-        values = joint.groupBy(*by, side).agg(F.sum("n").alias("n"))
-        ranked = ranked.join(centred_ranks(values, by, side, f"_{side}"), [*by, side])
+        values = pairs.groupBy(*by, side).agg(F.sum("n").alias("n"))
+        ranked = ranked.join(centred_ranks(values, by, side, f"_{side}", bounds), [*by, side])
     cross = F.sum(F.col("n") * F.col("_gold") * F.col("_pred"))
     spread = [F.sum(F.col("n") * F.col(c) * F.col(c)) for c in ("_gold", "_pred")]
     scale = F.sqrt(spread[0]) * F.sqrt(spread[1])
     return ranked.groupBy(*by).agg(F.when(scale > 0, cross / scale).alias("spearman"))
 
 
-def confusion(preds: DataFrame, by: Sequence[str], scale: Scale) -> DataFrame:
+def confusion(pairs: DataFrame, by: Sequence[str], scales: ScaleChoice) -> DataFrame:
     """Rows per pair of class indexes: ``(*by, a, b, n)``, at most classes squared."""
+
+    def index(score: str) -> Column:
+        return _choose(scales, lambda scale: class_index(F.col(score), scale))
+
     return (
-        preds.select(
-            *by,
-            class_index(F.col("gold"), scale).alias("a"),
-            class_index(F.col("pred"), scale).alias("b"),
-        )
+        pairs.select(*by, index("gold").alias("a"), index("pred").alias("b"), "n")
         .groupBy(*by, "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
 def quadratic_kappa(
-    preds: DataFrame, by: Sequence[str], scale: Scale, index: str = "compact"
+    pairs: DataFrame, by: Sequence[str], scales: ScaleChoice, index: str = "compact"
 ) -> DataFrame:
     """Quadratic weighted kappa per group: ``(*by, qwk)``.
 
-    Weights are squared differences of class indexes. ``compact`` numbers only the
-    classes that occur in the group, ``fixed`` all classes of the scale. NULL when
-    only one class occurs.
+    ``pairs`` are :func:`score_pairs`. Weights are squared differences of class
+    indexes. ``compact`` numbers only the classes that occur in the group, ``fixed``
+    all classes of the scale. NULL when only one class occurs.
     """
     if index not in ("compact", "fixed"):
         raise ValueError(f"index must be 'compact' or 'fixed', got {index!r}")
-    cells = confusion(preds, by, scale)
+    cells = confusion(pairs, by, scales)
     if index == "compact":
         # A group has at most classes squared cells, whatever the number of rows.
         group = Window.partitionBy(*by)
@@ -121,23 +148,36 @@ def quadratic_kappa(
 def score_metrics(
     preds: DataFrame,
     by: Sequence[str],
-    scale: Scale | None,
+    scales: ScaleChoice | None,
     index: str = "compact",
     undefined: float | None = None,
 ) -> DataFrame:
     """One row per run: ``n, rmse, pearson, spearman`` and, with a scale, ``qwk``.
 
-    ``preds`` holds ``(*by, gold, pred)`` on the raw score scale. ``undefined``
-    replaces correlations that do not exist.
+    ``preds`` holds ``(*by, gold, pred)`` on the raw score scale; rows without one
+    of the scores do not count. ``undefined`` replaces correlations that do not
+    exist.
     """
-    by = list(by)
-    report = preds.groupBy(*by).agg(*error_columns(F.col("gold"), F.col("pred")))
-    report = report.join(rank_correlation(preds, by), by)
-    if scale is not None:
-        report = report.join(quadratic_kappa(preds, by, scale, index), by)
+    # The keys travel as one struct, in which missing keys match each other.
+    key = ["_run"]
+    whole = preds.dropna(subset=["gold", "pred"]).select(F.struct(*by).alias("_run"), "gold", "pred")
+    errors = whole.groupBy(*key).agg(*error_columns(F.col("gold"), F.col("pred")))
+    pairs = score_pairs(whole, key)
+    bounds = None
+    if scales is not None:
+        if not isinstance(scales, Scale):
+            name, known = scales
+            scales = (F.col("_run")[name], known)
+        ends = [_choose(scales, lambda scale, e=e: F.lit(getattr(scale, e))) for e in ("low", "high")]
+        bounds = (ends[0], ends[1])
+    report = errors.join(rank_correlation(pairs, key, bounds), key)
+    measures = ["n", "rmse", "pearson", "spearman"]
+    if scales is not None:
+        report = report.join(quadratic_kappa(pairs, key, scales, index), key)
+        measures.append("qwk")
     if undefined is not None:
         report = report.fillna(undefined, ["pearson", "spearman"])
-    return report
+    return report.select("_run.*", *measures)
 
 
 def perplexity(loss: Column) -> Column:

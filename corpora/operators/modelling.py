@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpora.functions import text as T
 from corpora.functions.scores import Scale, denormalize, normalize
 from corpora.operators.metrics import score_metrics
+from corpora.session import materialize
 
 
 def score_regression(
@@ -55,7 +56,7 @@ def score_regression(
             denormalize(F.col("prediction"), scale).alias("pred"),
         )
         reports = scored if reports is None else reports.unionByName(scored)
-    metrics = score_metrics(reports, ["strength", "split"], scale)
+    metrics = score_metrics(materialize(reports, "scored"), ["strength", "split"], scale)
     chosen = metrics.where(F.col("split") == "dev").agg(
         F.min(F.struct("rmse", "strength")).alias("best")
     )

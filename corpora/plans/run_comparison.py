@@ -13,18 +13,17 @@ from corpora.operators.metrics import score_metrics
 from corpora.operators.modelling import calibrate
 from corpora.operators.splits import few_shot_sample
 from corpora.session import materialize
+from corpora.sources.runs import run_dimensions
 
 
-def run_metrics(preds: DataFrame, keys: Sequence[str], target: str = "target") -> DataFrame:
-    """Metrics of each run on the scale of its target corpus.
+def run_metrics(preds: DataFrame) -> DataFrame:
+    """Metrics of each run, split and target on the target's scale, with dimensions.
 
-    ``preds`` holds ``(*keys, gold, pred)`` with the target among the keys.
+    ``preds`` are :func:`corpora.sources.runs.read_run_predictions`. Runs of all
+    targets are scored in one pass.
     """
-    reports = [
-        score_metrics(preds.where(F.col(target) == name), keys, scale)
-        for name, scale in SCALES.items()
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    report = score_metrics(preds, ["run_id", "split", "target"], ("target", SCALES))
+    return run_dimensions(report)
 
 
 def calibrated_transfer(

@@ -10,49 +10,72 @@ from corpora.sources.tables import read_csv
 
 
 def run_path(path: Column) -> Column:
-    """Decoded path; folders of the form ``key=value`` count as ``value``."""
-    return F.regexp_replace(T.decoded_path(path), r"/[a-z_]+=", "/")
+    """Decoded path; folders of the form ``key=value`` count as ``value``.
+
+    Spark escapes the values of such folders, so they are decoded once more.
+    """
+    key = r"/[a-z_]+="
+    plain = T.decoded_path(path)
+    return F.when(plain.rlike(key), F.regexp_replace(T.decoded_path(plain), key, "/")).otherwise(plain)
+
+
+def run_place(path: Column, root: str = "runs") -> tuple[Column, Column]:
+    """Run (its folder below the root) and split of a file of a saved run."""
+    full = run_path(path)
+    file = r"/(dev|test)_(?:metrics\.json|predictions\.csv)(?:/.*)?$"
+    run = F.regexp_extract(full, rf"(?:^|/){root}/(.*?){file}", 1)
+    split = F.regexp_extract(full, file, 1)
+    return run, F.when(split != "", split)
+
+
+def _part(source: Column, pattern: str) -> Column:
+    found = F.regexp_extract(source, pattern, 1)
+    return F.when(found != "", found)
+
+
+def _direction(run: Column) -> Column:
+    return _part(run, r"([A-Z]+-_?[A-Z]+)(?:/|$)")
 
 
-def run_dimensions(rows: DataFrame, path: str = "path", root: str = "runs") -> DataFrame:
-    """Adds the dimensions that the place of a run in the tree tells.
+def _leaf(run: Column) -> Column:
+    return F.lower(F.substring_index(run, "/", -1))
 
-    ``run_id`` (path below the root), ``experiment``, ``source`` and ``target``
-    corpus, ``model``, ``adapted``, ``shots``, ``band`` and ``split``. A dimension
-    that a layout lacks is NULL.
+
+def _single_corpus(run: Column) -> Column:
+    """Corpus of a run that is trained and tested on the same one."""
+    return F.upper(F.coalesce(_part(run, r"/(FCE|IELTS)/"), _part(_leaf(run), "^(fce|ielts)_")))
+
+
+def run_target(run: Column) -> Column:
+    """Corpus whose scores a run predicts."""
+    return F.coalesce(_part(_direction(run), r"-_?([A-Z]+)$"), _single_corpus(run))
+
+
+def run_dimensions(rows: DataFrame, run: str = "run_id") -> DataFrame:
+    """Adds what the place of a run in the tree tells.
+
+    ``experiment``, ``source`` and ``target`` corpus, ``model``, ``adapted``,
+    ``shots`` and ``band``. A dimension that a layout lacks is NULL.
     """
-    file = r"/(dev|test)_(?:metrics\.json|predictions\.csv)(?:/|$)"
-    full = F.col("_full")
-    folder = F.regexp_extract(full, rf"(?:^|/){root}/(.*?)(?:/(?:dev|test)_[a-z]+\.[a-z]+(?:/.*)?)?$", 1)
-    leaf = F.lower(F.substring_index(F.col("run_id"), "/", -1))
-
-    def part(source: Column, pattern: str) -> Column:
-        found = F.regexp_extract(source, pattern, 1)
-        return F.when(found != "", found)
-
-    direction = part(F.col("run_id"), r"([A-Z]+-_?[A-Z]+)(?:/|$)")
-    source = part(direction, r"^([A-Z]+)-")
-    single = F.upper(F.coalesce(part(F.col("run_id"), r"/(FCE|IELTS)/"), part(leaf, "^(fce|ielts)_")))
-    model = part(leaf, "(roberta|distill?bert|bert)")
-    band = F.upper(part(leaf, r"(?:^|_)([abc][12][abc][12])(?:_|$)"))
-    return (
-        rows.withColumn("_full", run_path(F.col(path)))
-        .withColumn("run_id", folder)
-        .withColumns(
-            {
-                "experiment": F.when(F.col("run_id").startswith("Ablation"), F.lit("ablation"))
-                .when(F.col("run_id").startswith("Transfer"), F.lit("transfer"))
-                .otherwise(F.lit("in-domain")),
-                "source": F.coalesce(source, single),
-                "target": F.coalesce(part(direction, r"-_?([A-Z]+)$"), single),
-                "model": F.regexp_replace(model, "distillbert", "distilbert"),
-                "adapted": (F.instr(leaf, "dapt") > 0) | band.isNotNull(),
-                "shots": F.when(direction.isNotNull(), part(leaf, r"_(\d+)$").cast("int")),
-                "band": band,
-                "split": part(full, file),
-            }
-        )
-        .drop("_full")
+    place, leaf = F.col(run), _leaf(F.col(run))
+    direction = _direction(place)
+    band = F.upper(_part(leaf, r"(?:^|_)([abc][12][abc][12])(?:_|$)"))
+    model = F.regexp_replace(_part(leaf, "(roberta|distill?bert|bert)"), "distillbert", "distilbert")
+    experiment = (
+        F.when(place.startswith("Ablation"), F.lit("ablation"))
+        .when(place.startswith("Transfer"), F.lit("transfer"))
+        .otherwise(F.lit("in-domain"))
+    )
+    return rows.withColumns(
+        {
+            "experiment": experiment,
+            "source": F.coalesce(_part(direction, r"^([A-Z]+)-"), _single_corpus(place)),
+            "target": run_target(place),
+            "model": model,
+            "adapted": (F.instr(leaf, "dapt") > 0) | band.isNotNull(),
+            "shots": F.when(direction.isNotNull(), _part(leaf, r"_(\d+)$").cast("int")),
+            "band": band,
+        }
     )
 
 
@@ -70,20 +93,25 @@ def long_metric_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def read_run_metrics(spark: SparkSession, root: str) -> DataFrame:
+def read_run_metrics(spark: SparkSession, root: str, files: str = "*_metrics.json") -> DataFrame:
     """Metrics of all runs under a folder, long, with their dimensions; one scan."""
-    files = (
-        spark.read.options(recursiveFileLookup=True, pathGlobFilter="*_metrics.json", wholetext=True)
+    found = (
+        spark.read.options(recursiveFileLookup=True, pathGlobFilter=files, wholetext=True)
         .text(root)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    return run_dimensions(long_metric_rows(files)).drop("path")
+    run, split = run_place(F.col("path"))
+    rows = long_metric_rows(found).select(run.alias("run_id"), split.alias("split"), "metric", "value")
+    return run_dimensions(rows)
 
 
-def read_run_predictions(spark: SparkSession, root: str, files: str = "*.csv") -> DataFrame:
-    """Predictions of all runs under a folder with their dimensions; one scan."""
+def read_run_predictions(
+    spark: SparkSession, root: str, files: str = "*_predictions.csv"
+) -> DataFrame:
+    """Predictions of all runs under a folder: ``(run_id, split, target, gold, pred)``."""
     reader = spark.read.schema("gold double, pred double").options(
         header=True, recursiveFileLookup=True, pathGlobFilter=files
     )
-    rows = reader.csv(root).select(F.col("_metadata.file_path").alias("path"), "gold", "pred")
-    return run_dimensions(rows).drop("path")
+    run, split = run_place(F.col("_metadata.file_path"))
+    rows = reader.csv(root).select(run.alias("run_id"), split.alias("split"), "gold", "pred")
+    return rows.withColumn("target", run_target(F.col("run_id")))

@@ -276,7 +276,8 @@ def q27_few_shot_fallback(spark, folder):
 
 @query
 def q28_clean_documents(spark, folder):
-    odd = F.translate("text", "qxzw", " 　\u0085\u001c")
+    odd = F.translate("text", "qxzw", "\u00a0\u3000\u0085\x1c")
+    odd = F.replace(odd, F.lit("k"), F.lit("\0"))
     docs = inputs.table(spark, folder, "documents")
     return docs.select("doc_id", T.clean_document(odd).alias("clean"), T.strip(odd).alias("stripped"))
 
@@ -350,16 +351,20 @@ def q30_error_and_pearson(spark, folder):
     return rounded(preds.groupBy("run_id").agg(*metrics.error_columns(F.col("gold"), F.col("pred"))))
 
 
+def _pairs(spark, folder):
+    return metrics.score_pairs(inputs.predictions(spark, folder), ["run_id"])
+
+
 @query
 def q31_spearman(spark, folder):
-    return rounded(metrics.rank_correlation(inputs.predictions(spark, folder), ["run_id"]))
+    return rounded(metrics.rank_correlation(_pairs(spark, folder), ["run_id"]))
 
 
 @query
 def q32_quadratic_kappa(spark, folder):
-    preds = inputs.predictions(spark, folder)
-    compact = metrics.quadratic_kappa(preds, ["run_id"], S.BAND)
-    fixed = metrics.quadratic_kappa(preds, ["run_id"], S.BAND, "fixed")
+    pairs = _pairs(spark, folder)
+    compact = metrics.quadratic_kappa(pairs, ["run_id"], S.BAND)
+    fixed = metrics.quadratic_kappa(pairs, ["run_id"], S.BAND, "fixed")
     return rounded(compact.join(fixed.withColumnRenamed("qwk", "qwk_fixed"), "run_id"))
 
 
@@ -398,8 +403,7 @@ def _saved_run_metrics(spark, folder):
     """Predictions written as a tree of runs, read back, and scored."""
     root = scratch_path(spark, "tree") + "/runs"
     sinks.write_runs(inputs.saved_predictions(spark, folder), root)
-    saved = runs.read_run_predictions(spark, root)
-    return run_comparison.run_metrics(saved, RUN_KEYS)
+    return run_comparison.run_metrics(runs.read_run_predictions(spark, root, "part-*.csv"))
 
 
 @query
@@ -425,12 +429,7 @@ def q40_metric_files(spark, folder):
         ).alias("value"),
     )
     sinks.write_parts(body, root, ["run", "file"], "text")
-    files = (
-        spark.read.options(recursiveFileLookup=True)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
-    found = runs.run_dimensions(runs.long_metric_rows(files))
+    found = runs.read_run_metrics(spark, root, "part-*")
     return found.select("run_id", "model", "adapted", "shots", "split", "metric", "value")
 
 
@@ -528,7 +527,8 @@ def q48_score_regression(spark, folder):
 @query
 def q49_calibrated_transfer(spark, folder):
     other = S.denormalize(S.normalize(F.col("pred"), S.BAND), S.EXAM)
-    preds = inputs.predictions(spark, folder).select("doc_id", "gold", other.alias("pred"))
+    preds = inputs.predictions(spark, folder)
+    preds = preds.select("doc_id", "gold", F.round(other, 6).alias("pred"))
     return rounded(run_comparison.calibrated_transfer(preds, "doc_id", S.BAND), 6)
 
 
