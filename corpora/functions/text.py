@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters as the JVM names them; a fixed class is matched fastest.
+_JVM_SPACE = r"\s\x1c-\x1f"
+# The same characters one by one.
+SPACE_CHARACTERS = "".join(
+    map(
+        chr,
+        [
+            *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+            *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+        ],
+    )
+)
 # Fixed value: a word is a run of ASCII letters with at most one apostrophe part.
 WORD = r"[a-zA-Z]+(?:'[a-zA-Z]+)?"
 # Fixed value: characters an essay keeps besides letters, digits and spaces.
@@ -19,24 +33,31 @@ TOKEN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{SPACE}]"
 TOKENIZER = "letters-digits-or-symbol"
 
 
+def _possessive(pattern: str) -> str:
+    """The same matches without giving characters back, which these never need."""
+    return pattern.replace("]+", "]++")
+
+
 def collapse_space(text: Column) -> Column:
     """Every run of white space becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U)[{_JVM_SPACE}]+", " "))
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends only."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def clean_document(text: Column) -> Column:
     """NUL characters count as spaces; then collapse."""
-    return collapse_space(F.translate(text, "\0", " "))
+    return collapse_space(F.replace(text, F.lit("\0"), F.lit(" ")))
 
 
 def keep_essay_characters(text: Column) -> Column:
     """Replace everything outside the essay alphabet by single spaces."""
-    return F.trim(F.regexp_replace(text, f"[^A-Za-z0-9{KEPT_PUNCTUATION}]+", " "))
+    # Single characters instead of ranges: one table lookup per character.
+    kept = string.ascii_letters + string.digits + KEPT_PUNCTUATION
+    return F.trim(F.regexp_replace(text, f"[^{kept}]+", " "))
 
 
 def drop_undecodable(text: Column) -> Column:
@@ -47,7 +68,7 @@ def drop_undecodable(text: Column) -> Column:
 def words(text: Column, lowercase: bool = True) -> Column:
     """Array of words; NULL text has none."""
     source = F.lower(text) if lowercase else text
-    found = F.regexp_extract_all(source, F.lit(WORD), F.lit(0))
+    found = F.regexp_extract_all(source, F.lit(_possessive(WORD)), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -59,20 +80,19 @@ def without_stop_words(tokens: Column, stop_words: list[str], min_length: int =
     )
 
 
-def word_count(cleaned: Column) -> Column:
-    """Number of space-separated words of a text that is already collapsed."""
-    spaces = F.length(cleaned) - F.length(F.replace(cleaned, F.lit(" "), F.lit("")))
-    return F.when(cleaned == "", F.lit(0)).otherwise(spaces + 1)
+def word_count(text: Column) -> Column:
+    """Number of words between white space or NUL characters."""
+    return F.regexp_count(text, F.lit(rf"(?U)[^{_JVM_SPACE}\x00]++"))
 
 
 def tokens(text: Column) -> Column:
     """Array of the default tokens."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_possessive(TOKEN)), F.lit(0))
 
 
 def token_length(text: Column) -> Column:
     """Number of default tokens, without special tokens and without truncation."""
-    return F.regexp_count(text, F.lit(TOKEN))
+    return F.regexp_count(text, F.lit(_possessive(TOKEN)))
 
 
 def safe_key(value: Column, fallback: Column) -> Column:

@@ -26,6 +26,17 @@ def require_rows(df: DataFrame, least: int, what: str = "rows") -> DataFrame:
     return df
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns that are costly and that later filters refer to.
+
+    A filter over a plain projection repeats the expression for each reference; the
+    one-element generator keeps it a value.
+    """
+    others = [c for c in rows.columns if c not in columns]
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return rows.select(*others, F.inline(F.array(made)))
+
+
 def keep_first(rows: DataFrame, on: Sequence[Column], order: str) -> DataFrame:
     """Of rows equal in ``on`` keep the one with the least ``order`` key.
 
@@ -59,9 +70,9 @@ def in_groups(rows: DataFrame, group: str, values: Sequence[object] = ()) -> Dat
 
 
 def between_words(rows: DataFrame, text: str, least: int, most: int | None = None) -> DataFrame:
-    """Rows with a cleaned text of ``least`` to ``most`` words, both inclusive."""
-    count = T.word_count(F.col(text))
-    kept = rows.withColumn("word_count", count).where(F.col("word_count") >= least)
+    """Rows with a text of ``least`` to ``most`` words, both inclusive; adds ``word_count``."""
+    counted = computed_once(rows, word_count=T.word_count(F.col(text)))
+    kept = counted.where(F.col("word_count") >= least)
     return kept if most is None else kept.where(F.col("word_count") <= most)
 
 

@@ -103,73 +103,93 @@ def random_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return first_rows(rows, order, lambda total: [F.least(F.lit(n).cast("bigint"), total)])
 
 
-def class_quotas(rows: DataFrame, label: str, n: int) -> DataFrame:
-    """Share of each class in a stratified sample of ``n``: ``(label, size, quota)``.
+def _class_facts(sizes: DataFrame) -> Column:
+    """Scalar ``(total, classes, least)`` of a table of class sizes."""
+    facts = F.struct(
+        F.sum("size").alias("total"), F.count(F.lit(1)).alias("classes"), F.min("size").alias("least")
+    )
+    return sizes.agg(facts.alias("facts")).scalar()
+
+
+def _stratifiable(facts: Column, n: Column) -> Column:
+    """Whether every class can be in a sample of ``n`` and in the rest."""
+    fits = (facts["classes"] <= n) & (facts["total"] - n >= facts["classes"])
+    return F.coalesce((facts["least"] >= 2) & fits, F.lit(False))
+
+
+def class_quotas(rows: DataFrame, label: str, shots: Sequence[int]) -> DataFrame:
+    """Share of each class in stratified samples: ``(shots, label, size, quota)``.
 
     Largest remainders get the rows that rounding down leaves; ties go to the
-    smaller label. Empty when a stratified sample is impossible: a class with one
-    member, or fewer sampled or remaining rows than classes. So the table never
-    has more than ``n`` rows, whatever the labels are.
+    smaller label. A sample size is absent when a stratified sample of it is
+    impossible: a class with one member, or fewer sampled or remaining rows than
+    classes. So a size never has more rows than itself, whatever the labels are.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    facts = sizes.agg(
-        F.struct(
-            F.sum("size").alias("total"), F.count(F.lit(1)).alias("classes"), F.min("size").alias("least")
-        ).alias("facts")
-    ).scalar()
-    possible = (
-        (facts["least"] >= 2) & (facts["classes"] <= n) & (facts["total"] - n >= facts["classes"])
-    )
-    exact = F.col("size") * F.lit(float(n)) / facts["total"]
-    shares = sizes.where(possible).withColumns(
-        {"floor": F.floor(exact), "remainder": exact - F.floor(exact)}
-    )
-    everyone = Window.partitionBy(F.lit(1))
-    place = F.row_number().over(everyone.orderBy(F.desc("remainder"), label))
-    spare = F.lit(n) - F.sum("floor").over(everyone)
-    return shares.select(
-        label, "size", (F.col("floor") + F.when(place <= spare, 1).otherwise(0)).alias("quota")
-    )
-
-
-def few_shot_sample(
-    rows: DataFrame, key: str, label: str, n: int, seed: int = 42, stratify: bool = True
+    facts = _class_facts(sizes)
+    n = F.explode(F.array(*[F.lit(int(s)) for s in shots]))
+    wanted = sizes.withColumn("shots", n).where(_stratifiable(facts, F.col("shots")))
+    exact = F.col("size") * F.col("shots").cast("double") / facts["total"]
+    shares = wanted.withColumns({"floor": F.floor(exact), "remainder": exact - F.floor(exact)})
+    sample = Window.partitionBy("shots")
+    place = F.row_number().over(sample.orderBy(F.desc("remainder"), label))
+    spare = F.col("shots") - F.sum("floor").over(sample)
+    quota = F.col("floor") + F.when(place <= spare, 1).otherwise(0)
+    return shares.select("shots", label, "size", quota.alias("quota"))
+
+
+def few_shot_samples(
+    rows: DataFrame,
+    key: str,
+    label: str,
+    shots: Sequence[int],
+    seed: int = 42,
+    stratify: bool = True,
 ) -> DataFrame:
-    """Exactly ``n`` rows, classes in proportion; adds ``mode``.
+    """Samples of exactly ``shots`` rows each, classes in proportion.
 
-    ``all`` when there are no more than ``n`` rows, ``stratified`` where quotas
-    exist, else ``random``. A class of any size is cut by rank and never gathered.
+    Adds ``shots`` and ``mode``: ``all`` when there are no more rows, ``stratified``
+    where quotas exist, else ``random``. A row appears once per sample it is in. A
+    class of any size is cut by rank and never gathered; all sizes share the passes.
     """
+    shots = [int(n) for n in shots]
     order = order_hash(F.col(key), seed=seed)
+    facts = _class_facts(rows.groupBy(label).agg(F.count(F.lit(1)).alias("size")))
+
+    def sizes(total: Column) -> list[Column]:
+        return [F.least(F.lit(n).cast("bigint"), total) for n in shots]
+
+    plain = cuts_as_column(cut_points(rows.select(key), order, sizes))
     keyed = rows.withColumn("_order", order)
-    plain = cuts_as_column(
-        cut_points(rows.select(key), order, lambda total: [F.least(F.lit(n).cast("bigint"), total)])
-    )
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    if not stratify:
-        mode = F.when(total <= n, F.lit("all")).otherwise(F.lit("random"))
-        return keyed.withColumn("mode", mode).where(up_to(F.col("_order"), plain, 0)).drop("_order")
-
-    quotas = class_quotas(rows, label, n)
-    targets = quotas.select(label, F.lit(0).alias("cut"), F.col("quota").alias("rank"))
-    cuts = cut_points(rows.select(key, label), order, targets, by=[label])
-    has_quotas = quotas.agg(F.count(F.lit(1)) > 0).scalar()
-    mode = (
-        F.when(total <= n, F.lit("all"))
-        .when(has_quotas, F.lit("stratified"))
-        .otherwise(F.lit("random"))
-    )
-    # At most n classes have a cut, see class_quotas.
-    return (
-        keyed.join(F.broadcast(cuts.select(label, F.col("at").alias("_class_cut"))), label, "left")
-        .withColumn("mode", mode)
-        .where(
-            F.when(
-                F.col("mode") == "stratified", F.col("_order") <= F.coalesce("_class_cut", F.lit(""))
-            ).otherwise(up_to(F.col("_order"), plain, 0))
+    if stratify:
+        targets = class_quotas(rows, label, shots).select(
+            label, F.col("shots").alias("cut"), F.col("quota").alias("rank")
         )
-        .drop("_order", "_class_cut")
-    )
+        cuts = cut_points(rows.select(key, label), order, targets, by=[label])
+        per_class = cuts.groupBy(label).agg(
+            F.map_from_entries(F.collect_list(F.struct("cut", "at"))).alias("_cuts")
+        )
+        # At most as many classes as the largest sample has rows, see class_quotas.
+        keyed = keyed.join(F.broadcast(per_class), label, "left")
+    samples = []
+    for place, n in enumerate(shots):
+        whole = facts["total"] <= n
+        drawn = up_to(F.col("_order"), plain, place)
+        mode = F.when(whole, F.lit("all")).otherwise(F.lit("random"))
+        if stratify:
+            possible = _stratifiable(facts, F.lit(n))
+            in_class = F.col("_order") <= F.coalesce(F.element_at("_cuts", F.lit(n)), F.lit(""))
+            mode = F.when(possible & ~whole, F.lit("stratified")).otherwise(mode)
+            drawn = F.when(possible & ~whole, in_class).otherwise(drawn)
+        samples.append(F.when(drawn, F.struct(F.lit(n).alias("shots"), mode.alias("mode"))))
+    return keyed.select(*rows.columns, F.inline(F.array_compact(F.array(*samples))))
+
+
+def few_shot_sample(
+    rows: DataFrame, key: str, label: str, n: int, seed: int = 42, stratify: bool = True
+) -> DataFrame:
+    """One sample of exactly ``n`` rows, see :func:`few_shot_samples`."""
+    return few_shot_samples(rows, key, label, [n], seed, stratify).drop("shots")
 
 
 def label_histogram(rows: DataFrame, label: str) -> DataFrame:

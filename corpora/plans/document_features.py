@@ -34,10 +34,11 @@ def selected_documents(
     needed = [text, order] + [c for c in (id_column, group) if c is not None]
     require_columns(table, *needed)
     rows = table if group is None else in_groups(table, group, groups)
-    rows = rows.dropna(subset=[text]).withColumn(text, T.clean_document(F.col(text)))
-    rows = between_words(rows, text, min_words, max_words)
+    # Words are counted on the raw text, which spares cleaning the texts left out.
+    rows = between_words(rows.dropna(subset=[text]), text, min_words, max_words)
     if sample_n is not None:
         rows = random_rows(rows, order, sample_n, seed)
+    rows = rows.withColumn(text, T.clean_document(F.col(text)))
     if id_column is not None:
         return rows.withColumn("doc_id", F.col(id_column).cast("string"))
     numbered = numbered_by_key(rows, order, "_number")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions import text as T
 from corpora.functions.scores import BAND
-from corpora.operators.hygiene import keep_first, require_columns
+from corpora.operators.hygiene import computed_once, keep_first, require_columns
 from corpora.operators.splits import three_way_split
 from corpora.session import materialize
 
@@ -34,7 +34,7 @@ def cleaned_essays(
     require_columns(raw, essay, overall, order)
     present = raw.drop(*UNUSED).dropna(subset=[essay, overall])
     first = keep_first(present, [F.col(essay)], order)
-    scored = first.withColumn(overall, T.to_number(F.col(overall))).where(
+    scored = computed_once(first, **{overall: T.to_number(F.col(overall))}).where(
         F.col(overall).between(BAND.low, BAND.high)
     )
     long_enough = scored.where(F.length(essay) >= min_length)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from corpora.functions.scores import SCALES, Scale
 from corpora.operators.metrics import score_metrics
 from corpora.operators.modelling import calibrate
-from corpora.operators.splits import few_shot_sample
+from corpora.operators.splits import few_shot_samples
 from corpora.session import materialize
 from corpora.sources.runs import run_dimensions
 
@@ -36,14 +35,9 @@ def calibrated_transfer(
     """Metrics of source-scale predictions after calibration on ``n`` target rows.
 
     ``preds`` holds ``(key, gold, pred)`` with predictions on the source scale. For
-    each number of shots a stratified sample fits the line; all rows are scored. The
-    samples are small and read once, the scored rows are one union.
+    each number of shots a stratified sample fits the line; all rows are scored.
     """
     base = materialize(preds.select(key, "gold", "pred"), "transfer")
-    samples = [
-        few_shot_sample(base, key, "gold", n, seed).select(F.lit(n).alias("shots"), "gold", "pred")
-        for n in shots
-    ]
-    sampled = materialize(reduce(DataFrame.unionByName, samples), "shots")
+    sampled = few_shot_samples(base, key, "gold", shots, seed)
     repeated = base.withColumn("shots", F.explode(F.array(*[F.lit(n) for n in shots])))
     return score_metrics(calibrate(sampled, repeated, ["shots"]), ["shots"], scale)

@@ -11,6 +11,7 @@ from corpora.operators.hygiene import require_rows
 from corpora.operators.selection import overflow_point, within_budget
 from corpora.operators.splits import eval_and_subsets
 from corpora.session import materialize
+from corpora.sources.tables import text_column
 
 
 def text_keys(documents: DataFrame, key: str, text: str = "text", dedup: bool = True) -> DataFrame:
@@ -19,7 +20,7 @@ def text_keys(documents: DataFrame, key: str, text: str = "text", dedup: bool =
     Everything up to the final read works on this narrow table. The aggregation is
     combined before the shuffle, so copies of one text cost nothing extra.
     """
-    stripped = documents.select(key, T.strip(F.col(text)).alias("_text")).where(F.length("_text") > 0)
+    stripped = text_column(documents, text).select(key, F.col(text).alias("_text"))
     length = T.token_length(F.col("_text")).cast("bigint")
     if not dedup:
         return stripped.select(key, length.alias("length"))

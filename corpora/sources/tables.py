@@ -63,6 +63,17 @@ def read_table(
     raise ValueError(f"unsupported table {path!r}: a .csv or .parquet path is needed")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    Text work is bound by processor time, and a file with few row groups would leave
+    cores idle. Input with enough partitions stays where it is: on large data this
+    moves nothing.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def union_tables(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows of all tables; a column a table lacks is NULL in its rows."""
     for other in others:

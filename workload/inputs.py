@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.functions.scores import EXAM_CODES
+from corpora.sources.tables import spread
 
 LEVELS = [" a1", "A2 ", "b1", "B2", "C1", "C2"]
 CODES = [code for code, _ in EXAM_CODES] + ["9.9"]
@@ -18,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work on its texts."""
+    return spread(table(spark, folder, name))
+
+
 def _element(values: list[str], place: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
 
@@ -29,7 +35,7 @@ def band_score() -> Column:
 
 def learner(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with untidy proficiency labels."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return docs.withColumn("cefr", _element(LEVELS, F.col("doc_id") % 6))
 
 
@@ -43,7 +49,7 @@ def rated(spark: SparkSession, folder: str) -> DataFrame:
         .when(place == 3, F.lit("12"))
         .otherwise(band_score().cast("string"))
     )
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         "doc_id",
         F.col("text").alias("Essay"),
         overall.alias("Overall"),
@@ -82,12 +88,13 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpora_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("lang").alias("corpus"), "text", "doc_id")
+    docs = texts(spark, folder, "documents")
+    return docs.select(F.col("lang").alias("corpus"), "text", "doc_id")
 
 
 def downstream(spark: SparkSession, folder: str) -> DataFrame:
     benchmark = table(spark, folder, "benchmark").select(F.lit("benchmark").alias("corpus"), "text")
-    talks = table(spark, folder, "conversations")
+    talks = texts(spark, folder, "conversations")
     return benchmark.unionByName(talks.select(F.lit("conversations").alias("corpus"), "text"))
 
 

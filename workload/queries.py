@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +94,7 @@ def _scripts(spark, folder):
         F.lit('</p> <NS type="M"><c>missing</c></NS></coded_answer></answer2>'),
     )
     end = F.when(F.col("doc_id") % 50 == 7, F.lit("")).otherwise(F.lit("</script>"))
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "n_chars", clean.alias("clean"))
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "n_chars", clean.alias("clean"))
     docs = docs.withColumn("first", first).withColumn("rest", rest)
     return docs.select(
         F.concat(F.lit("/exam/s"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"),
@@ -146,7 +145,7 @@ def q10_band_rows(spark, folder):
 
 @query
 def q11_selected_documents(spark, folder):
-    docs = inputs.table(spark, folder, "documents").withColumnRenamed("doc_id", "row_no")
+    docs = inputs.texts(spark, folder, "documents").withColumnRenamed("doc_id", "row_no")
     chosen = document_features.selected_documents(
         docs, "row_no", group="lang", groups=["en", "fr"], min_words=50, max_words=400
     )
@@ -154,7 +153,7 @@ def q11_selected_documents(spark, folder):
 
 
 def _budget(spark, folder):
-    docs = inputs.table(spark, folder, "documents")
+    docs = inputs.texts(spark, folder, "documents")
     return token_budget.budgeted_parts(docs, "doc_id", max_tokens=20000, fraction=0.5, least=10)
 
 
@@ -180,7 +179,7 @@ def q13_mapped_scores(spark, folder):
 
 @query
 def q14_features_with_metadata(spark, folder):
-    docs = inputs.table(spark, folder, "documents").withColumns(
+    docs = inputs.texts(spark, folder, "documents").withColumns(
         {"row_no": F.col("doc_id"), "doc_id": F.concat(F.lit("essay "), F.col("doc_id").cast("string"))}
     )
     again = docs.withColumns({"row_no": F.col("row_no") + 1000000000, "source": F.lit("copy")})
@@ -193,7 +192,7 @@ def q14_features_with_metadata(spark, folder):
 
 @query
 def q15_linked_by_position(spark, folder):
-    features = profile.surface_features(inputs.table(spark, folder, "documents"))
+    features = profile.surface_features(inputs.texts(spark, folder, "documents"))
     files = inputs.table(spark, folder, "pages").select("page_id", F.col("url").alias("doc_id"))
     features = features.select(F.col("doc_id").alias("feature_no"), "n_words")
     return linking.link_by_position(features, files, "feature_no", "page_id")
@@ -226,11 +225,7 @@ def q16_split_sizes(spark, folder):
 @query
 def q17_few_shot(spark, folder):
     rows = inputs.labelled(spark, folder)
-    samples = [
-        splits.few_shot_sample(rows, "doc_id", "label", n).withColumn("shots", F.lit(n))
-        for n in (50, 100, 200)
-    ]
-    return reduce(DataFrame.unionByName, samples)
+    return splits.few_shot_samples(rows, "doc_id", "label", [50, 100, 200])
 
 
 @query
@@ -278,7 +273,7 @@ def q27_few_shot_fallback(spark, folder):
 def q28_clean_documents(spark, folder):
     odd = F.translate("text", "qxzw", "\u00a0\u3000\u0085\x1c")
     odd = F.replace(odd, F.lit("k"), F.lit("\0"))
-    docs = inputs.table(spark, folder, "documents")
+    docs = inputs.texts(spark, folder, "documents")
     return docs.select("doc_id", T.clean_document(odd).alias("clean"), T.strip(odd).alias("stripped"))
 
 
@@ -474,7 +469,7 @@ def q44_transfer_grid(spark, folder):
 
 
 def _profile(spark, folder):
-    docs = profile.surface_features(inputs.table(spark, folder, "documents"))
+    docs = profile.surface_features(inputs.texts(spark, folder, "documents"))
     return docs.select("doc_id", "lang", *profile.SURFACE_FEATURES)
 
 
@@ -496,7 +491,7 @@ def q46_external_analyser(spark, folder):
             n_parts=split.str.len(), longest=[max(map(len, parts), default=0) for parts in split]
         )
 
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
     return profile.analyse_in_batches(docs, analyse, "doc_id bigint, n_parts bigint, longest bigint")
 
 
@@ -517,7 +512,7 @@ def q47_closest_groups(spark, folder):
 def q48_score_regression(spark, folder):
     essays = materialize(
         splits.three_way_split(
-            inputs.table(spark, folder, "documents").withColumn("score", inputs.band_score()), "doc_id"
+            inputs.texts(spark, folder, "documents").withColumn("score", inputs.band_score()), "doc_id"
         ).select("split", "text", "score"),
         "regression",
     )
@@ -534,7 +529,7 @@ def q49_calibrated_transfer(spark, folder):
 
 @query
 def q50_truncated_sequences(spark, folder):
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
     cut = sequences.truncated_sequence(docs, 128)
     return cut.select(
         "doc_id",
@@ -547,5 +542,5 @@ def q50_truncated_sequences(spark, folder):
 
 @query
 def q51_masked_positions(spark, folder):
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
     return sequences.masked_positions(docs, "doc_id")
