@@ -61,8 +61,9 @@ def keep_essay_characters(text: Column) -> Column:
 
 
 def drop_undecodable(text: Column) -> Column:
-    """Remove the replacement characters that stand for invalid bytes."""
-    return F.replace(text, F.lit("\ufffd"), F.lit(""))
+    """Remove bytes that are not valid UTF-8."""
+    repaired = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 
 def words(text: Column, lowercase: bool = True) -> Column:

@@ -38,12 +38,14 @@ def three_way_split(
     units = units.distinct() if grouped else units
     order = order_hash(F.col(key), seed=seed)
     cuts = cuts_as_column(cut_points(units, order, ranks))
+    place, at = F.col("_order"), F.col("_cuts")
     split = (
-        F.when(up_to(order, cuts, 0), F.lit("test"))
-        .when(up_to(order, cuts, 1), F.lit("dev"))
+        F.when(up_to(place, at, 0), F.lit("test"))
+        .when(up_to(place, at, 1), F.lit("dev"))
         .otherwise(F.lit("train"))
     )
-    return rows.withColumn("split", split)
+    ordered = rows.withColumns({"_order": order, "_cuts": cuts})
+    return ordered.withColumn("split", split).drop("_order", "_cuts")
 
 
 def leakage(rows: DataFrame, key: str) -> DataFrame:
@@ -85,16 +87,17 @@ def eval_and_subsets(
 
     order = order_hash(F.col(key), seed=seed)
     cuts = cuts_as_column(cut_points(rows.select(key), order, ranks))
-    held = up_to(order, cuts, 0)
+    held = up_to(F.col("_order"), F.col("_cuts"), 0)
     subset = F.lit(None).cast("double")
     for place, fraction in reversed(list(enumerate(fractions, start=1))):
-        subset = F.when(up_to(order, cuts, place), F.lit(float(fraction))).otherwise(subset)
-    return rows.withColumns(
-        {
-            "part": F.when(held, F.lit("eval")).otherwise(F.lit("train")),
-            "subset": F.when(~held, subset),
-        }
-    )
+        inside = up_to(F.col("_order"), F.col("_cuts"), place)
+        subset = F.when(inside, F.lit(float(fraction))).otherwise(subset)
+    columns = {
+        "part": F.when(held, F.lit("eval")).otherwise(F.lit("train")),
+        "subset": F.when(~held, subset),
+    }
+    ordered = rows.withColumns({"_order": order, "_cuts": cuts})
+    return ordered.withColumns(columns).drop("_order", "_cuts")
 
 
 def random_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -128,8 +131,9 @@ def class_quotas(rows: DataFrame, label: str, shots: Sequence[int]) -> DataFrame
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
     facts = _class_facts(sizes)
     n = F.explode(F.array(*[F.lit(int(s)) for s in shots]))
-    wanted = sizes.withColumn("shots", n).where(_stratifiable(facts, F.col("shots")))
-    exact = F.col("size") * F.col("shots").cast("double") / facts["total"]
+    wanted = sizes.withColumn("_facts", facts).withColumn("shots", n)
+    wanted = wanted.where(_stratifiable(F.col("_facts"), F.col("shots")))
+    exact = F.col("size") * F.col("shots").cast("double") / F.col("_facts.total")
     shares = wanted.withColumns({"floor": F.floor(exact), "remainder": exact - F.floor(exact)})
     sample = Window.partitionBy("shots")
     place = F.row_number().over(sample.orderBy(F.desc("remainder"), label))
@@ -160,7 +164,8 @@ def few_shot_samples(
         return [F.least(F.lit(n).cast("bigint"), total) for n in shots]
 
     plain = cuts_as_column(cut_points(rows.select(key), order, sizes))
-    keyed = rows.withColumn("_order", order)
+    keyed = rows.withColumns({"_order": order, "_plain": plain, "_facts": facts})
+    plain, facts = F.col("_plain"), F.col("_facts")
     if stratify:
         targets = class_quotas(rows, label, shots).select(
             label, F.col("shots").alias("cut"), F.col("quota").alias("rank")

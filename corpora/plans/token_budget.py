@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpora.functions import text as T
 from corpora.functions.ordering import order_hash
 from corpora.operators.hygiene import require_rows
-from corpora.operators.selection import overflow_point, within_budget
+from corpora.operators.selection import overflow_point
 from corpora.operators.splits import eval_and_subsets
 from corpora.session import materialize
 from corpora.sources.tables import text_column
@@ -63,9 +63,11 @@ def budgeted_parts(
     order = order_hash(F.col(key), seed=seed)
     affordable = F.lit(True)
     if max_tokens > 0:
-        require_rows(within_budget(pool, order, F.col("length"), max_tokens), 1, "texts within budget")
         past = overflow_point(pool, order, F.col("length"), max_tokens).scalar()
-        affordable = (F.col("part") == "eval") | (order < F.coalesce(past, F.lit("g")))
+        first = pool.agg(F.min(order)).scalar()
+        none = F.raise_error(F.lit(f"a budget of {max_tokens} tokens keeps no text"))
+        end = F.when(past == first, none.cast("string")).otherwise(F.coalesce(past, F.lit("g")))
+        affordable = (F.col("part") == "eval") | (order < end)
     kept = F.col("in_subset") & F.col("short") & affordable
     return parts.withColumn("kept", kept)
 

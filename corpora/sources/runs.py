@@ -96,8 +96,8 @@ def long_metric_rows(files: DataFrame) -> DataFrame:
 def read_run_metrics(spark: SparkSession, root: str, files: str = "*_metrics.json") -> DataFrame:
     """Metrics of all runs under a folder, long, with their dimensions; one scan."""
     found = (
-        spark.read.options(recursiveFileLookup=True, pathGlobFilter=files, wholetext=True)
-        .text(root)
+        spark.read.options(recursiveFileLookup=True, pathGlobFilter=files)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     run, split = run_place(F.col("path"))

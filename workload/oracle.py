@@ -96,7 +96,7 @@ _missing = ", ".join(quoted(m) for m in MISSING)
 ORACLE["q04_corpus_files"] = rf"""
 with lines as (
     select 'documents' as corpus,
-           unnest(string_split_regex(replace(text, chr(65533), ''), '\r\n|\r|\n')) as text
+           unnest(string_split_regex(text, '\r\n|\r|\n')) as text
     from documents
     union all select 'benchmark', text from benchmark where text not in ({_missing})
     union all select 'conversations', text from conversations),
