@@ -49,6 +49,18 @@ def keep_first(rows: DataFrame, on: Sequence[Column], order: str) -> DataFrame:
     return rows.join(winners, order, "left_semi")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: Sequence[str], salts: int = 16) -> DataFrame:
+    """Rows with the columns of their group, where one group may hold most rows.
+
+    ``groups`` has one row per key and is small beside the rows; it is repeated per
+    salt, so that the rows of one key meet it in several tasks. Equal rows of
+    different partitions get different salts.
+    """
+    salt = F.pmod(F.spark_partition_id() + F.hash(*rows.columns), F.lit(salts))
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [*key, "_salt"]).drop("_salt")
+
+
 def in_bands(rows: DataFrame, level: str, bands: dict[str, Sequence[str]]) -> DataFrame:
     """One row per band that admits the level; levels of no band fall out.
 

@@ -88,24 +88,28 @@ def top_words(tallied: DataFrame, k: int, first_seen: DataFrame | None = None) -
 def first_places(
     texts: DataFrame, order: str, lowercase: bool = True, corpus: str = "corpus", text: str = "text"
 ) -> DataFrame:
-    """First place ``(order key, position)`` of each word of each corpus."""
+    """First place of each word of each corpus, by text and then by position.
+
+    ``order`` is a whole number that orders the texts. Both parts of a place fit in
+    one decimal, whose minimum is kept in the hash table of the partial aggregation.
+    """
+    place = F.col(order).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at")
     return (
         texts.select(
             F.col(corpus).alias("corpus"),
-            F.col(order).alias("_order"),
+            F.col(order),
             F.posexplode(T.words(F.col(text), lowercase)).alias("_at", "word"),
         )
         .groupBy("corpus", "word")
-        .agg(F.min(F.struct("_order", "_at")).alias("first_place"))
+        .agg(F.min(place).alias("first_place"))
     )
 
 
 def corpus_pairs(pretraining: DataFrame, downstream: DataFrame) -> DataFrame:
     """Every pretraining corpus with every downstream corpus, one row per report row."""
     names = downstream.agg(F.collect_set("corpus").alias("names")).scalar()
-    return pretraining.select(
-        F.col("corpus").alias("pretraining_name"), F.explode(names).alias("downstream_name")
-    ).distinct()
+    corpora = pretraining.select(F.col("corpus").alias("pretraining_name")).distinct()
+    return corpora.withColumn("downstream_name", F.explode(names))
 
 
 _PAIR = ["pretraining_name", "downstream_name"]

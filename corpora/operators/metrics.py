@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions.ordering import value_bucket
 from corpora.functions.scores import Scale, class_index
+from corpora.operators.hygiene import join_groups
 
 Bounds = tuple[Column, Column]
 
@@ -49,7 +50,7 @@ def centred_ranks(
     by = list(by)
     if bounds is None:
         ends = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-        counts = counts.join(ends, by)
+        counts = join_groups(counts, ends, by)
         bounds = F.col("_low"), F.col("_high")
     placed = counts.withColumn("_bucket", value_bucket(F.col(value), *bounds))
     group = Window.partitionBy(*by)

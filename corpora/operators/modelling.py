@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions import text as T
 from corpora.functions.scores import Scale, denormalize, normalize
+from corpora.operators.hygiene import join_groups
 from corpora.operators.metrics import score_metrics
 from corpora.session import materialize
 
@@ -44,7 +45,8 @@ def score_regression(
     )
     train = data.where(F.col("split") == "train")
     prepared = prepare.fit(train)
-    vectors = prepared.transform(train)
+    # Every fit reads the vectors; the texts are split into words once.
+    vectors = materialize(prepared.transform(train), "vectors")
     held = prepared.transform(data.where(F.col("split") != "train"))
     reports = None
     for strength in strengths:
@@ -67,7 +69,8 @@ def score_regression(
 def calibrate(shots: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Predictions moved to the gold scale by a line fitted per group on ``shots``.
 
-    Both hold ``(*by, gold, pred)``; the fit is one aggregation and one row per group.
+    Both hold ``(*by, gold, pred)``; the fit is one aggregation with one row per
+    group, which large groups meet in several tasks.
     Without spread among the shots the mean of their gold scores is predicted.
     """
     by = list(by)
@@ -77,4 +80,4 @@ def calibrate(shots: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame
         F.avg("gold").alias("_mean"),
     )
     moved = F.coalesce(F.col("_slope") * F.col("pred") + F.col("_intercept"), F.col("_mean"))
-    return rows.join(lines, by).withColumn("pred", moved).drop("_slope", "_intercept", "_mean")
+    return join_groups(rows, lines, by).withColumn("pred", moved).drop("_slope", "_intercept", "_mean")

@@ -96,8 +96,8 @@ def closest_groups(
     """Mean absolute difference of group means from a target's, in deviations.
 
     ``profile`` is a :func:`group_profile`; ``spread`` gives one ``sd`` per feature.
-    Groups meet targets per feature, so only the small profile table is joined.
-    One row per group and target; the closest group has the least value.
+    Groups meet targets per feature. The broadcast sides have one row per feature and
+    listed target. One row per group and target; the closest group has the least value.
     """
     means = profile.select("group", "feature", "mean")
     goals = means.where(F.col("group").isin(list(targets))).select(
@@ -105,9 +105,9 @@ def closest_groups(
     )
     z = F.abs(F.col("mean") - F.col("goal")) / F.when(F.col("sd") > 0, F.col("sd"))
     return (
-        means.join(goals, "feature")
+        means.join(F.broadcast(goals), "feature")
         .where(F.col("group") != F.col("target"))
-        .join(spread.select("feature", "sd"), "feature")
+        .join(F.broadcast(spread.select("feature", "sd")), "feature")
         .groupBy("target", "group")
         .agg(F.avg(z).alias("mean_abs_z"))
     )

@@ -12,6 +12,7 @@ from corpora.operators.hygiene import between_words, in_groups, require_columns
 from corpora.operators.linking import link_by_file, with_metadata
 from corpora.operators.selection import numbered_by_key
 from corpora.operators.splits import random_rows
+from corpora.session import materialize
 
 
 def selected_documents(
@@ -37,11 +38,12 @@ def selected_documents(
     # Words are counted on the raw text, which spares cleaning the texts left out.
     rows = between_words(rows.dropna(subset=[text]), text, min_words, max_words)
     if sample_n is not None:
-        rows = random_rows(rows, order, sample_n, seed)
+        rows = random_rows(materialize(rows, "counted"), order, sample_n, seed)
     rows = rows.withColumn(text, T.clean_document(F.col(text)))
     if id_column is not None:
         return rows.withColumn("doc_id", F.col(id_column).cast("string"))
-    numbered = numbered_by_key(rows, order, "_number")
+    # Numbering reads the keys twice; the texts are cleaned and counted once.
+    numbered = numbered_by_key(materialize(rows, "documents"), order, "_number")
     place = F.col("_number") - 1
     name = F.concat(F.lit("doc_"), F.when(place < 1000000, F.lpad(place, 6, "0")).otherwise(place.cast("string")))
     return numbered.withColumn("doc_id", name).drop("_number")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
-from corpora.operators.hygiene import require_columns
+from corpora.operators.hygiene import join_groups, require_columns
 from corpora.sources.tables import read_csv, text_column, union_tables
 
 SUFFIXES = (".txt", ".csv", ".parquet")
@@ -41,7 +41,7 @@ def manifest_rows(manifest: DataFrame, order: str) -> DataFrame:
         order, *[T.strip(F.col(c).cast("string")).alias(c) for c in ("name", "path")]
     ).where((F.col("name") != "") & (F.col("path") != ""))
     first = rows.groupBy("name").agg(F.min(order).alias("first_row"))
-    return rows.join(first, "name").select("name", "first_row", order, "path")
+    return join_groups(rows, first, ["name"]).select("name", "first_row", order, "path")
 
 
 def corpora_from_manifest(spark: SparkSession, path: str) -> list[Corpus]:
