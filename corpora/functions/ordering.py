@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 4
-VALUE_BUCKETS = 4096
+VALUE_BUCKETS = 1 << 20
 
 
 def order_hash(*keys: Column, seed: int | str = 42) -> Column:

@@ -20,6 +20,7 @@ def tally(
     min_length: int = 3,
     corpus: str = "corpus",
     text: str = "text",
+    order: str | None = None,
 ) -> DataFrame:
     """Occurrences per corpus and word, in one pass over the texts.
 
@@ -27,6 +28,10 @@ def tally(
     keep at least one word, and one row ``word = NULL`` with the number of texts
     that keep none; so corpus statistics need no second pass. Frequent words and
     large corpora are combined before the shuffle.
+
+    With ``order``, a whole number that orders the texts, ``first_place`` tells where
+    a word first appears. Text and position share one decimal, whose minimum stays in
+    the hash table of the partial aggregation.
     """
     found = T.words(F.col(text), lowercase)
     if stop_words is not None:
@@ -34,12 +39,18 @@ def tally(
     marked = F.when(F.size("found") > 0, F.concat("found", F.array(F.lit("")))).otherwise(
         F.array(F.lit(None).cast("string"))
     )
-    return (
-        texts.select(F.col(corpus).alias("corpus"), found.alias("found"))
-        .select("corpus", F.explode(marked).alias("word"))
-        .groupBy("corpus", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    measures = [F.count(F.lit(1)).alias("n")]
+    if order is None:
+        found_in = texts.select(F.col(corpus).alias("corpus"), found.alias("found"))
+        rows = found_in.select("corpus", F.explode(marked).alias("word"))
+    else:
+        text_place = F.col(order).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)")
+        found_in = texts.select(
+            F.col(corpus).alias("corpus"), text_place.alias("_text"), found.alias("found")
+        )
+        rows = found_in.select("corpus", "_text", F.posexplode(marked).alias("_at", "word"))
+        measures.append(F.min(F.col("_text") + F.col("_at")).alias("first_place"))
+    return rows.groupBy("corpus", "word").agg(*measures)
 
 
 def word_counts(tallied: DataFrame) -> DataFrame:
@@ -59,18 +70,13 @@ def corpus_statistics(tallied: DataFrame) -> DataFrame:
     )
 
 
-def top_words(tallied: DataFrame, k: int, first_seen: DataFrame | None = None) -> DataFrame:
+def top_words(tallied: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent words per corpus with rank, share and statistics.
 
-    Equal counts are ordered by word, or by first place when ``first_seen``
-    (see :func:`first_places`) is given.
+    Equal counts are ordered by first place where the tally has it, else by word.
     """
     counts = word_counts(tallied)
-    tie: list[Column] = [F.col("word")]
-    if first_seen is not None:
-        counts = counts.join(first_seen, ["corpus", "word"])
-        tie = [F.col("first_place")]
-    ranking = [F.desc("n"), *tie]
+    ranking = [F.desc("n"), "first_place" if "first_place" in tallied.columns else "word"]
     if k > _PRUNED_LIMIT:
         # Keep the k best of each part first, so no task orders a whole vocabulary.
         parts = Window.partitionBy("corpus", F.pmod(F.hash("word"), F.lit(64))).orderBy(*ranking)
@@ -85,26 +91,6 @@ def top_words(tallied: DataFrame, k: int, first_seen: DataFrame | None = None) -
     )
 
 
-def first_places(
-    texts: DataFrame, order: str, lowercase: bool = True, corpus: str = "corpus", text: str = "text"
-) -> DataFrame:
-    """First place of each word of each corpus, by text and then by position.
-
-    ``order`` is a whole number that orders the texts. Both parts of a place fit in
-    one decimal, whose minimum is kept in the hash table of the partial aggregation.
-    """
-    place = F.col(order).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at")
-    return (
-        texts.select(
-            F.col(corpus).alias("corpus"),
-            F.col(order),
-            F.posexplode(T.words(F.col(text), lowercase)).alias("_at", "word"),
-        )
-        .groupBy("corpus", "word")
-        .agg(F.min(place).alias("first_place"))
-    )
-
-
 def corpus_pairs(pretraining: DataFrame, downstream: DataFrame) -> DataFrame:
     """Every pretraining corpus with every downstream corpus, one row per report row."""
     names = downstream.agg(F.collect_set("corpus").alias("names")).scalar()

@@ -27,7 +27,9 @@ def link_by_file(features: DataFrame, files: DataFrame) -> DataFrame:
     """Features with the ``doc_id`` of their file, matched on the base name.
 
     ``files`` holds one row ``(doc_id, temp_filename)`` per document. Features
-    without a known file keep a NULL ``doc_id``.
+    without a known file keep a NULL ``doc_id``. A file name on many feature rows is
+    left to the skew handling of adaptive execution: only the side of the features
+    can repeat a key, and a left join may split that side.
     """
     column = file_column(features)
     if column is None:
@@ -39,11 +41,12 @@ def link_by_file(features: DataFrame, files: DataFrame) -> DataFrame:
 def link_by_position(features: DataFrame, files: DataFrame, feature_key: str, file_key: str) -> DataFrame:
     """Features with the ``doc_id`` of the file at the same place.
 
-    Both sides are numbered by an explicit numeric key; rows beyond the shorter
-    side stay out.
+    Both sides are numbered by an explicit unique key; rows beyond the shorter side
+    stay out.
     """
     left = numbered_by_key(features, feature_key, "_position")
-    right = numbered_by_key(files, file_key, "_position").select("_position", "doc_id")
+    keyed = files.select("doc_id", F.col(file_key).alias("_key"))
+    right = numbered_by_key(keyed, "_key", "_position").drop("_key")
     return left.join(right, "_position").drop("_position")
 
 

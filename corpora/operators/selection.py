@@ -13,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpora.functions.ordering import hash_bucket, value_bucket
+from corpora.functions.ordering import hash_bucket
+from corpora.session import materialize
 
 Ranks = Callable[[Column], Sequence[Column]]
 
@@ -37,8 +38,8 @@ def cut_points(
     """Order hash found at given ranks: ``(*by, cut, at)``.
 
     ``ranks`` is either a function from the number of rows (per group) to a list of
-    ranks, or a table ``(*by, cut, rank)`` with one row per wanted cut. A rank of
-    zero yields no row. Order hashes must be unique per group.
+    ranks, or a short table ``(*by, cut, rank)`` with one row per wanted cut. A rank
+    of zero yields no row. Order hashes must be unique per group.
     """
     by = list(by)
     keyed = rows.select(*by, order.alias("_order")).withColumn("_bucket", hash_bucket(F.col("_order")))
@@ -53,8 +54,9 @@ def cut_points(
     bounds = wanted.where((F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))).select(
         *by, "_bucket", "cut", (F.col("_rank") - before).alias("_offset")
     )
-    # One row per cut and group: the caller's list of cuts bounds the broadcast.
-    inside = keyed.join(F.broadcast(bounds), [*by, "_bucket"])
+    if not by or isinstance(ranks, DataFrame):
+        bounds = F.broadcast(bounds)  # one row per cut that the caller lists
+    inside = keyed.join(bounds, [*by, "_bucket"])
     position = F.row_number().over(Window.partitionBy(*by, "cut").orderBy("_order"))
     return (
         inside.withColumn("_position", position)
@@ -114,27 +116,22 @@ def within_budget(rows: DataFrame, order: Column, amount: Column, cap: int) -> D
     return rows.where((amount > 0) & (order < F.coalesce(at, F.lit("g"))))
 
 
-def numbered(rows: DataFrame, bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
-    """Rank 1..n in the given order; ``bucket`` must be monotone in that order.
+def numbered_by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rank 1..n in the order of a unique key.
 
-    Each bucket is numbered on its own and shifted by the rows before it. The
-    offsets are one row per bucket, a fixed maximum.
+    The rows are written once, in ranges of the key that Spark balances by sampling;
+    each range is numbered on its own and shifted by the rows before it. The ranges
+    are part of the written table, so a repeated task finds the same ones.
     """
-    keyed = rows.withColumn("_bucket", bucket)
-    offsets = _cumulated(keyed, [], F.count(F.lit(1))).select(
-        "_bucket", (F.col("_upto") - F.col("_n")).alias("_before")
-    )
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    ranges = rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    placed = materialize(ranges, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
     return (
-        keyed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        placed.withColumn("_inside", inside)
+        .join(F.broadcast(offsets), "_range")  # one row per shuffle partition
         .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_before")
+        .drop("_range", "_inside", "_before")
     )
-
-
-def numbered_by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rank 1..n by a unique numeric key."""
-    ends = rows.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high")).alias("ends")).scalar()
-    bucket = value_bucket(F.col(key), ends["low"], ends["high"])
-    return numbered(rows, bucket, [F.col(key)], name)

@@ -30,7 +30,7 @@ def selected_documents(
     """Cleaned documents within word bounds, with ``doc_id``.
 
     Without an id column, ids number the selected documents in ``order``, a unique
-    numeric key.
+    key.
     """
     needed = [text, order] + [c for c in (id_column, group) if c is not None]
     require_columns(table, *needed)
@@ -42,8 +42,7 @@ def selected_documents(
     rows = rows.withColumn(text, T.clean_document(F.col(text)))
     if id_column is not None:
         return rows.withColumn("doc_id", F.col(id_column).cast("string"))
-    # Numbering reads the keys twice; the texts are cleaned and counted once.
-    numbered = numbered_by_key(materialize(rows, "documents"), order, "_number")
+    numbered = numbered_by_key(rows, order, "_number")
     place = F.col("_number") - 1
     name = F.concat(F.lit("doc_"), F.when(place < 1000000, F.lpad(place, 6, "0")).otherwise(place.cast("string")))
     return numbered.withColumn("doc_id", name).drop("_number")

@@ -10,7 +10,6 @@ from corpora.operators.lexical import (
     corpus_pairs,
     corpus_statistics,
     divergence,
-    first_places,
     tally,
     top_words,
     word_counts,
@@ -96,13 +95,12 @@ def top_words_report(
 ) -> DataFrame:
     """The ``k`` most frequent words of each corpus, 9 columns.
 
-    With ``order`` (a unique key of the texts) equal counts are listed in the order
-    in which the words first appear, else alphabetically.
+    With ``order`` (a whole number, unique per text) equal counts are listed in the
+    order in which the words first appear, else alphabetically.
     """
     stops = stop_words(stopword_library) if remove_function_words else None
-    counted = materialize(tally(texts, lowercase, stops, min_word_len), "tally")
-    seen = None if order is None else first_places(texts, order, lowercase)
-    best = top_words(counted, k, seen)
+    counted = materialize(tally(texts, lowercase, stops, min_word_len, order=order), "tally")
+    best = top_words(counted, k)
     if paths is None:
         best = best.withColumn("corpus_paths", F.lit(None).cast("string"))
     else:

@@ -48,8 +48,8 @@ def test_top_words(spark):
         ("a", 1, "a", 2), ("a", 2, "b", 2), ("a", 3, "c", 2), ("b", 1, "q", 1),
     ]
     assert best[0].relative_frequency == pytest.approx(2 / 7)
-    seen = lexical.first_places(texts, "place")
-    first = lexical.top_words(lexical.tally(texts), 3, seen).where("corpus = 'a'").orderBy("rank")
+    placed = lexical.tally(texts, order="place")
+    first = lexical.top_words(placed, 3).where("corpus = 'a'").orderBy("rank")
     assert [r.word for r in first.collect()] == ["b", "c", "a"]
     many = lexical.top_words(lexical.tally(texts), 5000).where("corpus = 'a'").orderBy("rank")
     assert [r.word for r in many.collect()] == ["a", "b", "c", "z"]

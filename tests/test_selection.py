@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpora.functions.ordering import order_hash, value_bucket
+from corpora.functions.ordering import VALUE_BUCKETS, order_hash, value_bucket
 from corpora.operators import selection, splits
 from corpora.operators.hygiene import keep_first, require_rows
 
@@ -87,11 +87,18 @@ def test_numbers_follow_the_key(spark):
     assert {(r.k, r.n) for r in got} == {(k * k, k + 1) for k in range(300)}
 
 
+def test_numbers_with_uneven_keys(spark):
+    keys = [-(10**15), *range(400), *range(10**12, 10**12 + 300), 10**18]
+    rows = spark.createDataFrame([(k,) for k in reversed(keys)], "k bigint")
+    got = selection.numbered_by_key(rows, "k", "n").collect()
+    assert {(r.k, r.n) for r in got} == {(k, i) for i, k in enumerate(keys, start=1)}
+
+
 def test_buckets_are_monotone(spark):
     values = [-5.0, 0.0, 0.1, 3.0, 3.0, 19.99, 20.0, 99.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     b = [r[0] for r in rows.select(value_bucket(F.col("v"), F.lit(0), F.lit(20))).collect()]
-    assert b == sorted(b) and max(b) == 4095
+    assert b == sorted(b) and max(b) == VALUE_BUCKETS - 1
 
 
 def test_three_way_split_by_group(spark):
