@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
-from corpora.sources.tables import read_csv
 
 
 def run_path(path: Column) -> Column:

@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpora.operators import lexical
 from corpora.plans.lexical_alignment import alignment_report, top_words_report
