@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,18 @@ def token_length(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_possessive(TOKEN)))
 
 
+def length_by(count: Callable[[list[str]], Sequence[int]]) -> Callable[[Column], Column]:
+    """Token lengths by a caller's tokenizer, which counts a batch of texts at a time.
+
+    For lengths that the default tokens cannot give; batches go to Python workers.
+    """
+
+    def lengths(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(count(texts.tolist())), index=texts.index)
+
+    return F.pandas_udf(lengths, "bigint")
+
+
 def safe_key(value: Column, fallback: Column) -> Column:
     """A name usable as a file name: at most 120 of the characters A-Z a-z 0-9 _ . -"""
     plain = F.btrim(F.regexp_replace(value.cast("string"), "[^A-Za-z0-9_.-]+", "_"), F.lit("_"))

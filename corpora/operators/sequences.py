@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions import text as T
 from corpora.functions.ordering import order_hash
+from corpora.operators.selection import numbered_by_key
 
 # Markers around a sequence and in place of a masked token.
 START, END, MASK = "[CLS]", "[SEP]", "[MASK]"
@@ -46,8 +47,8 @@ def masked_positions(
     """Positions to predict: ``(key, position, label, action, input)``.
 
     A position is chosen by the hash of seed, document and position. Of the chosen
-    ones 80% become the mask marker, 10% a random token (``input`` is NULL, for the
-    caller's vocabulary to fill) and 10% stay.
+    ones 80% become the mask marker, 10% a random token (``input`` is NULL until
+    :func:`with_random_tokens` fills it) and 10% stay.
     """
     chosen = F.substring(order_hash(F.col(key), F.col("position"), seed=seed), 1, 8)
     fate = F.substring(order_hash(F.col(key), F.col("position"), seed=f"{seed}:action"), 1, 8)
@@ -65,3 +66,22 @@ def masked_positions(
         .withColumn("action", action)
         .withColumn("input", shown)
     )
+
+
+def with_random_tokens(
+    masked: DataFrame, vocabulary: DataFrame, key: str, seed: int = 42
+) -> DataFrame:
+    """:func:`masked_positions` with a token of the vocabulary at random positions.
+
+    ``vocabulary`` holds distinct tokens in the column ``token``. The token is picked
+    by the hash of seed, document and position, evenly over the vocabulary; only the
+    random positions are joined.
+    """
+    numbered = numbered_by_key(vocabulary.select("token"), "token", "_place")
+    size = numbered.agg(F.count(F.lit(1))).scalar()
+    digest = order_hash(F.col(key), F.col("position"), seed=f"{seed}:token")
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    random = masked.where(F.col("action") == "random").withColumn("_place", number % size + 1)
+    filled = random.join(numbered, "_place").withColumn("input", F.col("token"))
+    others = masked.where(F.col("action") != "random")
+    return others.unionByName(filled.select(*masked.columns))

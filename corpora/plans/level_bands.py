@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
@@ -31,14 +31,19 @@ def banded_corpus(
 
 
 def band_summary(
-    banded: DataFrame, text: str = "text", bands: dict[str, Sequence[str]] | None = None
+    banded: DataFrame,
+    text: str = "text",
+    bands: dict[str, Sequence[str]] | None = None,
+    length_of: Callable[[Column], Column] = T.token_length,
+    tokenizer: str = T.TOKENIZER,
 ) -> DataFrame:
     """Rows and tokens per band, in band order; an empty band has zeros."""
     names = list(bands or BANDS)
     spark = banded.sparkSession
     order = spark.createDataFrame(list(enumerate(names)), "place int, split string")
-    sizes = banded.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(T.token_length(F.col(text))).alias("total_tokens")
+    lengths = banded.select("band", length_of(F.col(text)).alias("_length"))
+    sizes = lengths.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("_length").alias("total_tokens")
     )
     zero = F.lit(0).cast("bigint")
     return (
@@ -48,6 +53,6 @@ def band_summary(
             "split",
             F.coalesce("n_rows", zero).alias("n_rows"),
             F.coalesce("total_tokens", zero).alias("total_tokens"),
-            F.lit(T.TOKENIZER).alias("tokenizer"),
+            F.lit(tokenizer).alias("tokenizer"),
         )
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
@@ -14,14 +16,20 @@ from corpora.session import materialize
 from corpora.sources.tables import text_column
 
 
-def text_keys(documents: DataFrame, key: str, text: str = "text", dedup: bool = True) -> DataFrame:
+def text_keys(
+    documents: DataFrame,
+    key: str,
+    text: str = "text",
+    dedup: bool = True,
+    length_of: Callable[[Column], Column] = T.token_length,
+) -> DataFrame:
     """``(key, length)`` of the texts to use, the first of equal ones.
 
     Everything up to the final read works on this narrow table. The aggregation is
     combined before the shuffle, so copies of one text cost nothing extra.
     """
     stripped = text_column(documents, text).select(key, F.col(text).alias("_text"))
-    length = T.token_length(F.col("_text")).cast("bigint")
+    length = length_of(F.col("_text")).cast("bigint")
     if not dedup:
         return stripped.select(key, length.alias("length"))
     return (
@@ -43,15 +51,17 @@ def budgeted_parts(
     dedup: bool = True,
     seed: int = 42,
     least: int = 100,
+    length_of: Callable[[Column], Column] = T.token_length,
 ) -> DataFrame:
     """Every usable text with its way through the plan, one narrow row per key.
 
     ``(key, length, part, in_subset, short, kept)``. The order is: duplicates out,
     evaluation part, subset of the training pool, length limit, token budget. The
     evaluation part is limited in length but never capped. The budget is filled in
-    hash order and ends at the first text that would pass it.
+    hash order and ends at the first text that would pass it. ``length_of`` counts the
+    tokens of a text column, see :func:`corpora.functions.text.length_by`.
     """
-    keys = materialize(text_keys(documents, key, text, dedup), "text-keys")
+    keys = materialize(text_keys(documents, key, text, dedup, length_of), "text-keys")
     require_rows(keys, least, "texts")
     parts = eval_and_subsets(keys, key, [fraction], eval_share, seed)
     in_subset = (F.col("part") == "eval") | F.col("subset").isNotNull()
@@ -77,7 +87,7 @@ def budgeted_corpus(documents: DataFrame, parts: DataFrame, key: str) -> DataFra
     return documents.join(parts.where("kept").select(key, "part", "length"), key)
 
 
-def budget_report(parts: DataFrame) -> DataFrame:
+def budget_report(parts: DataFrame, tokenizer: str = T.TOKENIZER) -> DataFrame:
     """Rows and tokens of both parts at each stage of the plan."""
     stages = {
         "split": F.lit(True),
@@ -100,5 +110,5 @@ def budget_report(parts: DataFrame) -> DataFrame:
     return (
         parts.groupBy("part")
         .agg(measures.alias("_stages"))
-        .select("part", F.inline("_stages"), F.lit(T.TOKENIZER).alias("tokenizer"))
+        .select("part", F.inline("_stages"), F.lit(tokenizer).alias("tokenizer"))
     )

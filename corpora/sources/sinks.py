@@ -36,3 +36,16 @@ def write_runs(preds: DataFrame, root: str) -> str:
     """Predictions ``(run, gold, pred)`` as ``<root>/run=<run>/test_predictions.csv``."""
     named = preds.select("run", F.lit("test_predictions.csv").alias("file"), "gold", "pred")
     return write_parts(named, root, ["run", "file"], "csv")
+
+
+def write_run_metrics(
+    report: DataFrame, root: str, metrics: Sequence[str], prefix: str = "eval"
+) -> str:
+    """Metrics of ``(run, split, ...)`` as ``<root>/run=<run>/file=<split>_metrics.json``.
+
+    Each file holds one object whose names carry the prefix.
+    """
+    named = F.struct(*[F.col(name).alias(f"{prefix}_{name}") for name in metrics])
+    file = F.concat("split", F.lit("_metrics.json"))
+    body = report.select("run", file.alias("file"), F.to_json(named).alias("value"))
+    return write_parts(body, root, ["run", "file"], "text")

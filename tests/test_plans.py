@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpora.functions import text as T
 from corpora.operators import hygiene, linking, profile, sequences
 from corpora.plans import document_features, exam_answers, level_bands, rated_essays, token_budget
 
@@ -188,3 +189,27 @@ def test_group_filter(spark):
     table = spark.createDataFrame([(1,), (2,), (None,)], "g int")
     assert hygiene.in_groups(table, "g", ["2"]).count() == 1
     assert hygiene.in_groups(table, "g").count() == 3
+
+
+def test_lengths_by_a_callers_tokenizer(spark):
+    def count(texts):
+        return [len(t.split("-")) for t in texts]
+
+    docs = spark.createDataFrame([(1, "a-b-c"), (2, "d"), (3, "a-b-c")], "k bigint, text string")
+    keys = token_budget.text_keys(docs, "k", length_of=T.length_by(count))
+    assert {(r.k, r.length) for r in keys.collect()} == {(1, 3), (2, 1)}
+    banded = docs.withColumn("band", F.lit("C1"))
+    summary = level_bands.band_summary(banded, bands={"C1": ["C1"]}, length_of=T.length_by(count), tokenizer="dash")
+    assert [tuple(r) for r in summary.collect()] == [("C1", 3, 7, "dash")]
+
+
+def test_random_tokens_come_from_the_vocabulary(spark):
+    table = spark.range(60).select(F.col("id").alias("k"), F.repeat(F.lit("word "), 300).alias("text"))
+    masked = sequences.masked_positions(table, "k")
+    vocabulary = spark.createDataFrame([(w,) for w in "abcd"], "token string")
+    rows = sequences.with_random_tokens(masked, vocabulary, "k").collect()
+    assert len(rows) == masked.count()
+    drawn = [r.input for r in rows if r.action == "random"]
+    assert set(drawn) == set("abcd")
+    assert all(0.15 < drawn.count(w) / len(drawn) < 0.35 for w in "abcd")
+    assert {r.input for r in rows if r.action != "random"} == {"[MASK]", "word"}

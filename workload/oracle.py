@@ -657,8 +657,8 @@ select doc_id,
        least(len(tokens), 126) + 2 as length, len(tokens) > 126 as truncated
 from split"""
 
-ORACLE["q51_masked_positions"] = f"""
-with split as (select doc_id, {token_list('text')} as tokens from documents),
+_masked = f"""
+split as (select doc_id, {token_list('text')} as tokens from documents),
 placed as (
     select doc_id, cast(generate_subscripts(tokens, 1) - 1 as integer) as position,
            unnest(tokens) as label
@@ -670,5 +670,18 @@ acted as (
     select doc_id, position, label,
            case when fate < 'cccccccc' then 'mask' when fate < 'e6666666' then 'random' else 'keep' end
                as action
-    from chosen)
+    from chosen)"""
+ORACLE["q51_masked_positions"] = f"""
+with {_masked}
 select *, case action when 'mask' then '[MASK]' when 'keep' then label end as input from acted"""
+ORACLE["q51_random_tokens"] = f"""
+with {_masked},
+vocabulary as (
+    select token, row_number() over (order by token) as spot, count(*) over () as size
+    from (select distinct unnest({token_list('text')}) as token from benchmark)),
+picked as (
+    select acted.*,
+           cast('0x' || substr({place("doc_id || ':' || position", '42:token')}, 1, 15) as bigint)
+               % (select max(size) from vocabulary) + 1 as spot
+    from acted where action = 'random')
+select doc_id, position, label, action, token as input from picked join vocabulary using (spot)"""

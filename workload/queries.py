@@ -413,17 +413,9 @@ def q40_metric_files(spark, folder):
     root = scratch_path(spark, "metrics") + "/runs"
     saved = inputs.saved_predictions(spark, folder)
     per_run = saved.groupBy("run").agg(*metrics.error_columns(F.col("gold"), F.col("pred")))
-    file = F.element_at(
-        F.array(F.lit("dev_metrics.json"), F.lit("test_metrics.json")), F.col("n").cast("int") % 2 + 1
-    )
-    body = per_run.select(
-        "run",
-        file.alias("file"),
-        F.to_json(
-            F.struct(F.round("rmse", 6).alias("eval_rmse"), F.round("pearson", 6).alias("test_pearson"))
-        ).alias("value"),
-    )
-    sinks.write_parts(body, root, ["run", "file"], "text")
+    split = F.when(F.col("n") % 2 == 0, F.lit("dev")).otherwise(F.lit("test"))
+    report = rounded(per_run, 6).withColumn("split", split)
+    sinks.write_run_metrics(report, root, ["rmse", "pearson"])
     found = runs.read_run_metrics(spark, root, "part-*")
     return found.select("run_id", "model", "adapted", "shots", "split", "metric", "value")
 
@@ -544,3 +536,11 @@ def q50_truncated_sequences(spark, folder):
 def q51_masked_positions(spark, folder):
     docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
     return sequences.masked_positions(docs, "doc_id")
+
+
+@query
+def q51_random_tokens(spark, folder):
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
+    masked = materialize(sequences.masked_positions(docs, "doc_id"), "masked")
+    vocabulary = inputs.table(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    return sequences.with_random_tokens(masked, vocabulary.distinct(), "doc_id").where("action = 'random'")
