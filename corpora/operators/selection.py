@@ -119,19 +119,21 @@ def within_budget(rows: DataFrame, order: Column, amount: Column, cap: int) -> D
 def numbered_by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Rank 1..n in the order of a unique key.
 
-    The rows are written once, in ranges of the key that Spark balances by sampling;
-    each range is numbered on its own and shifted by the rows before it. The ranges
-    are part of the written table, so a repeated task finds the same ones.
+    Only the keys are ordered: they are written once, in ranges that Spark balances
+    by sampling; each range is numbered on its own and shifted by the rows before it.
+    The ranges are part of the written table, so a repeated task finds the same ones.
+    The rows get their number by a join on the key. Costly rows should be written
+    before, as they are read once for the keys and once for the join.
     """
-    ranges = rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
-    placed = materialize(ranges, "ranges")
+    ranges = rows.select(key).repartitionByRange(F.col(key))
+    placed = materialize(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return (
+    numbers = (
         placed.withColumn("_inside", inside)
         .join(F.broadcast(offsets), "_range")  # one row per shuffle partition
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_inside", "_before")
+        .select(key, (F.col("_before") + F.col("_inside")).alias(name))
     )
+    return rows.join(numbers, key)

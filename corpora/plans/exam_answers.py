@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.operators.hygiene import keep_first, require_columns
 from corpora.operators.splits import three_way_split
 from corpora.session import materialize
+from corpora.sources.annotated import parsed_answers, read_scripts, scored_answers
+
+
+def answers_from_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored answers of all annotated scripts under a folder, with ``answer_key``.
+
+    The parsed answers are written once, so that no later pass parses again.
+    """
+    answers = parsed_answers(read_scripts(spark, folder))
+    return materialize(scored_answers(answers, key="answer_key"), "parsed")
 
 
 def prepared_answers(answers: DataFrame, order: str) -> DataFrame:

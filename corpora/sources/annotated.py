@@ -82,11 +82,16 @@ def parse_errors(answers: DataFrame) -> DataFrame:
     return answers.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def scored_answers(answers: DataFrame) -> DataFrame:
-    """Answers with a known score code, in the columns of the exam study."""
+def scored_answers(answers: DataFrame, key: str | None = None) -> DataFrame:
+    """Answers with a known score code, in the columns of the exam study.
+
+    ``key`` names a column to add: a unique text that orders the answers by path.
+    """
     file_name = T.base_name(F.col("path"))
     known = mapped_codes(answers.where(F.col("error").isNull()), "answer_s", exam_codes(answers.sparkSession))
+    keys = [] if key is None else [F.concat_ws("|", "path", "answer_id").alias(key)]
     return known.select(
+        *keys,
         F.regexp_replace(file_name, r"\.[^.]*$", "").alias("script_id"),
         file_name.alias("file_name"),
         "answer_id",

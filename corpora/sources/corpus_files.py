@@ -46,7 +46,7 @@ def manifest_rows(manifest: DataFrame, order: str) -> DataFrame:
 
 def corpora_from_manifest(spark: SparkSession, path: str) -> list[Corpus]:
     """The corpora a manifest CSV lists; a manifest is a list of paths to read."""
-    table = read_csv(spark, path).coalesce(1).withColumn("row_no", F.monotonically_increasing_id())
+    table = read_csv(spark, path, row_key="row_no")
     grouped: dict[str, list[str]] = {}
     for row in manifest_rows(table, "row_no").orderBy("row_no").collect():
         grouped.setdefault(row["name"], []).append(row["path"])

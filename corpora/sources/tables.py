@@ -35,19 +35,29 @@ def read_csv(
     paths: str | Sequence[str],
     schema: StructType | str | None = None,
     multi_line: bool = True,
+    row_key: str | None = None,
     **options: object,
 ) -> DataFrame:
     """CSV with a header; quoted cells may hold line breaks and doubled quotes.
 
     Files whose header differs from the schema fail instead of shifting columns.
     ``multi_line=False`` lets large files without line breaks in cells be split.
+    ``row_key`` names a column to add: a unique text that orders the rows by path and
+    then by place in the file, whatever the partitions.
     """
     reader = spark.read.options(
         header=True, multiLine=multi_line, escape='"', enforceSchema=False, encoding="UTF-8", **options
     )
     if schema is not None:
         reader = reader.schema(schema)
-    return missing_to_null(reader.csv(paths if isinstance(paths, str) else list(paths)))
+    rows = reader.csv(paths if isinstance(paths, str) else list(paths))
+    if row_key is None:
+        return missing_to_null(rows)
+    # A block of a file is read in order by one task, so ids rise within a block.
+    places = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    padded = [F.lpad(place.cast("string"), 20, "0") for place in places]
+    key = F.concat_ws("|", F.col("_metadata.file_path"), *padded)
+    return missing_to_null(rows.select("*", key.alias(row_key)))
 
 
 def read_table(

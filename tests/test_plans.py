@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
-from corpora.operators import hygiene, linking, profile, sequences
+from corpora.operators import hygiene, linking, profile, sequences, splits
+from corpora.sources import sinks, tables
 from corpora.plans import document_features, exam_answers, level_bands, rated_essays, token_budget
 
 
@@ -213,3 +214,46 @@ def test_random_tokens_come_from_the_vocabulary(spark):
     assert set(drawn) == set("abcd")
     assert all(0.15 < drawn.count(w) / len(drawn) < 0.35 for w in "abcd")
     assert {r.input for r in rows if r.action != "random"} == {"[MASK]", "word"}
+
+
+def test_exam_study_from_files(spark, tmp_path):
+    for i in range(40):
+        folder = tmp_path / ("a" if i % 2 else "b")
+        folder.mkdir(exist_ok=True)
+        answers = "".join(
+            f"<answer{n}><exam_score>3.{n}</exam_score><coded_answer><p>Text {i // 2 * 2 if n == 2 else i}"
+            f" no {n}</p></coded_answer></answer{n}>"
+            for n in (1, 2)
+        )
+        (folder / f"s{i}.xml").write_text(f"<x>{answers}</x>")
+    answers = exam_answers.answers_from_folder(spark, str(tmp_path))
+    assert answers.count() == 80
+    split = exam_answers.split_answers(answers, "answer_key")
+    rows = split.collect()
+    # of each shared second answer the one with the lesser path stays, that in folder a
+    assert len(rows) == 60
+    assert all("/a/" in r.answer_key for r in rows if r.answer_id == "answer2")
+    assert {r.mapped_score for r in rows} == {12.0, 13.0}
+    path = sinks.write_parts(split, str(tmp_path / "out"), "split", "csv")
+    back = tables.read_csv(spark, path)
+    assert back.groupBy("split").count().count() == 3 and back.count() == 60
+    leaks = splits.leakage(back, "script_id").collect()
+    assert [r.shared for r in leaks] == [0, 0, 0]
+
+
+def test_essay_study_from_files(spark, tmp_path):
+    body = "An essay that is long enough to stay in the study, with more than one hundred characters in it. "
+    for name in ("2.csv", "1.csv"):
+        lines = [f'"{body}{i if i % 4 else name}\nend",{4 + i % 5},{1 + i % 2},{name}' for i in range(40)]
+        (tmp_path / name).write_text("Essay,Overall,Task_Type,From\n" + "\n".join(lines) + "\n")
+    raw = tables.read_csv(
+        spark, [str(tmp_path / "2.csv"), str(tmp_path / "1.csv")],
+        "Essay string, Overall string, Task_Type int, From string", row_key="row",
+    )
+    cleaned = rated_essays.cleaned_essays(raw, "row")
+    rows = cleaned.collect()
+    own = [r for r in rows if r.Essay.endswith(".csv end")]
+    shared = [r for r in rows if not r.Essay.endswith(".csv end")]
+    assert len(own) == 2 and len(shared) == 30 and {r.From for r in shared} == {"1.csv"}
+    split = rated_essays.split_essays(cleaned, "row").collect()
+    assert {r.Task_Type for r in split} == {2} and {r.split for r in split} == {"train", "dev", "test"}
