@@ -23,7 +23,11 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
 
 
 def value_bucket(value: Column, low: Column, high: Column, buckets: int = VALUE_BUCKETS) -> Column:
-    """Bucket number that never falls as ``value`` rises between ``low`` and ``high``."""
+    """Bucket number that never falls as ``value`` rises.
+
+    Buckets are even between ``low`` and ``high``; values beyond fall in the outer ones.
+    """
     low, high, value = (c.cast("double") for c in (low, high, value))
     share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * buckets), F.lit(buckets - 1).cast("bigint"))
+    inside = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    return F.least(F.floor(inside * buckets), F.lit(buckets - 1).cast("bigint"))

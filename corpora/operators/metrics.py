@@ -93,14 +93,28 @@ def rank_correlation(
     ``pairs`` are :func:`score_pairs`. NULL when one side is constant.
     """
     by = list(by)
-    ranked = pairs
-    for side in ("gold", "pred"):
+
+    def ranks(side: str) -> DataFrame:
         values = pairs.groupBy(*by, side).agg(F.sum("n").alias("n"))
-        ranked = ranked.join(centred_ranks(values, by, side, f"_{side}", bounds), [*by, side])
-    cross = F.sum(F.col("n") * F.col("_gold") * F.col("_pred"))
-    spread = [F.sum(F.col("n") * F.col(c) * F.col(c)) for c in ("_gold", "_pred")]
-    scale = F.sqrt(spread[0]) * F.sqrt(spread[1])
-    return ranked.groupBy(*by).agg(F.when(scale > 0, cross / scale).alias("spearman"))
+        return centred_ranks(values, by, side, f"_{side}", bounds)
+
+    # Summed per gold score before that side is joined, so that a score which a third
+    # of the rows share is one row when it meets its rank.
+    n, rank = F.col("n"), F.col("_pred")
+    per_gold = (
+        pairs.join(ranks("pred"), [*by, "pred"])
+        .groupBy(*by, "gold")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(n * rank).alias("_sum"),
+            F.sum(n * rank * rank).alias("_squares"),
+        )
+        .join(ranks("gold"), [*by, "gold"])
+    )
+    gold = F.col("_gold")
+    scale = F.sqrt(F.sum(n * gold * gold)) * F.sqrt(F.sum("_squares"))
+    spearman = F.when(scale > 0, F.sum(gold * F.col("_sum")) / scale)
+    return per_gold.groupBy(*by).agg(spearman.alias("spearman"))
 
 
 def confusion(pairs: DataFrame, by: Sequence[str], scales: ScaleChoice) -> DataFrame:

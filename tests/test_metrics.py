@@ -59,6 +59,17 @@ def test_metrics_against_pandas(spark):
         assert got.qwk == pytest.approx(kappa(*index))
 
 
+def test_spearman_with_values_beyond_the_scale(spark):
+    draw = random.Random(9)
+    rows = [("r", draw.choice(S.BAND.values), draw.choice([-1e6, 1e9, draw.uniform(0, 10)])) for _ in range(300)]
+    part = pd.DataFrame(rows, columns=["run", "gold", "pred"])
+    expected = part.gold.rank().corr(part.pred.rank())
+    bounded = metrics.score_metrics(frame(spark, rows), ["run"], S.BAND).first().spearman
+    pairs = metrics.score_pairs(frame(spark, rows), ["run"])
+    assert bounded == pytest.approx(expected)
+    assert metrics.rank_correlation(pairs, ["run"]).first().spearman == pytest.approx(expected)
+
+
 def test_undefined_metrics(spark):
     rows = [("flat", 5.0, 5.0), ("flat", 5.0, 5.0), ("one", 3.0, 4.0), ("part", 4.0, 6.0), ("part", 5.0, 6.0)]
     found = {r.run: r for r in metrics.score_metrics(frame(spark, rows), ["run"], S.BAND).collect()}
@@ -104,7 +115,8 @@ def test_run_comparison(spark):
     table = spark.createDataFrame(rows, "model string, adapted boolean, shots int, rmse double")
     change = comparison.adapted_against_base(table, ["model", "shots"]).collect()
     assert [(r.model, r.shots, round(r.rmse_change, 6)) for r in change] == [("bert", 50, -0.2)]
-    grid = {(r.model, r.adapted): (r.rmse_50, r.rmse_100, r.rmse_200) for r in comparison.transfer_grid(table, ["model", "adapted"]).collect()}
+    cells = comparison.transfer_grid(table, ["model", "adapted"]).collect()
+    grid = {(r.model, r.adapted): (r.rmse_50, r.rmse_100, r.rmse_200) for r in cells}
     assert grid[("bert", True)] == (0.7, None, 0.5)
     long = comparison.long_metrics(table, ["model", "shots"], ["rmse"]).collect()
     assert {(r.metric, r.value) for r in long} == {("rmse", x) for x in (0.7, 0.9, 0.5, 0.6)}
