@@ -31,3 +31,36 @@ with v as (
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
 """
+
+ORACLE["op8_quality_rules"] = r"""
+with d as (
+    select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+    from (select doc_id, coalesce(text, '') as text from documents)
+), g as (
+    select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+    from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)
+), r as (
+    select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1
+), c as (
+    select doc_id, count(distinct place) as n
+    from (select doc_id, unnest([i, i + 1, i + 2]) as place from r) group by doc_id
+), m as (
+    select d.doc_id, len(w) as n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+           len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines,
+           coalesce(c.n, 0) as n_repeat_words,
+           length(regexp_replace(text, '\P{Lu}+', '', 'g')) as n_capitals
+    from d left join c on d.doc_id = c.doc_id
+), b as (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+       cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+       cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+       not (base_failed or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines
+            or 10 * n_capitals > 3 * word_chars or word_chars < 3 * n_words
+            or word_chars > 12 * n_words) as kept
+from b
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import packing, token_counts, topk, warc
+from corpora.llm import packing, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,10 @@ def op9_web_archives(spark, folder):
 def op10_top_inner_products(spark, folder):
     rows = table(spark, folder, "embeddings")
     return topk.top_inner_products(rows, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query
+def op8_quality_rules(spark, folder):
+    report = quality.quality_report(table(spark, folder, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return report.select("doc_id", *names, "base_failed", "kept")
