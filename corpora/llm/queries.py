@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import packing, quality, token_counts, topk, warc
+from corpora.llm import packing, pii, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,8 @@ def op8_quality_rules(spark, folder):
     report = quality.quality_report(table(spark, folder, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return report.select("doc_id", *names, "base_failed", "kept")
+
+
+@query
+def op4_personal_data(spark, folder):
+    return pii.digests(pii.personal_data(table(spark, folder, "documents")))
