@@ -228,37 +228,51 @@ def features(span: Column) -> Column:
 FEATURES = ["kind", *LABELERS, "size", "digits"]
 
 
-def pattern_counts(docs: DataFrame, text: str = "text") -> list[tuple[tuple, int]]:
-    """How many spans and candidates of all texts have each combination of features."""
+def pattern_counts(docs: DataFrame, text: str = "text") -> list[tuple[bool, tuple, int]]:
+    """Whether spans are of the base kinds, their features, and how many all texts have of them."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    every = let(base_spans(whole), lambda base: F.concat(base, candidate_spans(whole, base)))
-    rows = docs.select(F.explode(every).alias("s")).select(features(F.col("s")).alias("f"))
-    counts = rows.groupBy("f").count().collect()
-    return sorted((tuple(r["f"][name] for name in FEATURES), r["count"]) for r in counts)
 
+    def known(spans: Column, sure: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(F.lit(sure).alias("sure"), s.alias("s")))
 
-def posteriors(counts: list[tuple[tuple, int]], rounds: int = 40) -> dict[tuple, float]:
-    """Probability that spans of each pattern are personal data, by expectation-maximisation.
+    def both(base: Column) -> Column:
+        return F.concat(known(base, True), known(candidate_spans(whole, base), False))
+
+    rows = docs.select(F.explode(let(base_spans(whole), both)).alias("c"))
+    rows = rows.select(F.col("c.sure").alias("sure"), features(F.col("c.s")).alias("f"))
+    counts = rows.groupBy("sure", "f").count().collect()
+    return sorted((r["sure"], tuple(r["f"][name] for name in FEATURES), r["count"]) for r in counts)
+
+
+def _weight(table: dict, vote: int) -> float:
+    """What a vote adds to the log odds: a labeler is never worse than chance, and none is no evidence."""
+    return vote * max(0.0, vote * math.log(table[True][vote] / table[False][vote]))
+
+
+def posteriors(counts: list[tuple[bool, tuple, int]], rounds: int = 40) -> dict[tuple, float]:
+    """Probability that candidates of each pattern are personal data, by expectation-maximisation.
 
     A span is real or not, with a prior for its kind; each labeler votes by its own
-    probabilities given which. Every table is smoothed by one count.
+    probabilities given which. Spans of the base kinds are known to be real, which fixes the
+    meaning of the two classes. Every table is smoothed by one count.
     """
     start = {True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.2, 0: 0.4, -1: 0.4}}
     chance = [{z: dict(start[z]) for z in (True, False)} for _ in LABELERS]
     prior = defaultdict(lambda: 0.5)
     real: dict[tuple, float] = {}
     for _ in range(rounds):
-        for pattern, _n in counts:
+        for sure, pattern, _n in counts:
             odds = math.log(prior[pattern[0]] / (1 - prior[pattern[0]]))
             for table, vote in zip(chance, pattern[1:]):
-                odds += math.log(table[True][vote] / table[False][vote])
-            real[pattern] = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+                odds += _weight(table, vote)
+            real[sure, pattern] = 1.0 if sure else 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
         sums = [{z: {v: 1.0 for v in (1, 0, -1)} for z in (True, False)} for _ in LABELERS]
         of_kind = defaultdict(lambda: [1.0, 1.0])
-        for pattern, n in counts:
-            p = real[pattern]
-            of_kind[pattern[0]][0] += n * p
-            of_kind[pattern[0]][1] += n * (1 - p)
+        for sure, pattern, n in counts:
+            p = real[sure, pattern]
+            if not sure:
+                of_kind[pattern[0]][0] += n * p
+                of_kind[pattern[0]][1] += n * (1 - p)
             for table, vote in zip(sums, pattern[1:]):
                 table[True][vote] += n * p
                 table[False][vote] += n * (1 - p)
@@ -267,17 +281,17 @@ def posteriors(counts: list[tuple[tuple, int]], rounds: int = 40) -> dict[tuple,
     return real
 
 
-def classifier(counts: list[tuple[tuple, int]]) -> dict:
+def classifier(counts: list[tuple[bool, tuple, int]]) -> dict:
     """Weights of the span classifier: log odds of each feature value under the posteriors."""
     real = posteriors(counts)
-    yes = sum(n * real[p] for p, n in counts) + 1
-    no = sum(n * (1 - real[p]) for p, n in counts) + 1
+    soft = [(pattern, n * real[sure, pattern], n * (1 - real[sure, pattern])) for sure, pattern, n in counts]
+    yes, no = (1 + sum(x[place] for x in soft) for place in (1, 2))
     weights: dict = {"bias": math.log(yes / no)}
     for place, name in enumerate(FEATURES):
         sums = defaultdict(lambda: [1.0, 1.0])
-        for pattern, n in counts:
-            sums[pattern[place]][0] += n * real[pattern]
-            sums[pattern[place]][1] += n * (1 - real[pattern])
+        for pattern, p, q in soft:
+            sums[pattern[place]][0] += p
+            sums[pattern[place]][1] += q
         seen = len(sums)
         weights[name] = {v: math.log(a / (yes + seen) / (b / (no + seen))) for v, (a, b) in sums.items()}
     return weights
