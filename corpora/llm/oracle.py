@@ -64,3 +64,35 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
             or word_chars > 12 * n_words) as kept
 from b
 """
+
+ORACLE["op1_line_dedup"] = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+s as (select doc_id, unnest(range(len(l))) as n, unnest(l) as line from d),
+p as (
+    select doc_id, n, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as t from s
+), f as (
+    select t, min(struct_pack(doc_id := doc_id, n := n)) as first, length(t) as size from p where t <> '' group by t
+), h as (
+    select *, size // 2 as half from f where size >= 20
+    union all select *, (size - 1) // 2 as half from f where size >= 20 and size % 2 = 0
+), c as (
+    select a.t as a, b.t as b, a.first as first, a.size as m, b.size as k
+    from h as a join h as b on a.half = b.half and left(a.t, a.half) = left(b.t, b.half)
+    where b.first < a.first and abs(a.size - b.size) <= 1
+    union select a.t, b.t, a.first, a.size, b.size
+    from h as a join h as b on a.half = b.half and right(a.t, a.half) = right(b.t, b.half)
+    where b.first < a.first and abs(a.size - b.size) <= 1
+), x as (
+    select distinct a from c where case
+        when m = k then len(list_filter(range(1, m + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) <= 1
+        when m > k then len(list_filter(range(m), lambda i: left(a, i) || substr(a, i + 2) = b)) > 0
+        else len(list_filter(range(k), lambda i: left(b, i) || substr(b, i + 2) = a)) > 0 end
+), r as (
+    select p.doc_id, p.n, p.line,
+           p.t = '' or (struct_pack(doc_id := p.doc_id, n := p.n) = f.first and x.a is null) as kept
+    from p left join f on p.t = f.t left join x on p.t = x.a
+)
+select doc_id, count(*) as n_lines, cast(sum(cast(kept as bigint)) as bigint) as n_kept,
+       coalesce(string_agg(line, chr(10) order by n) filter (where kept), '') as text
+from r group by doc_id
+"""

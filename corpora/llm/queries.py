@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import packing, pii, quality, token_counts, topk, warc
+from corpora.llm import line_dedup, packing, pii, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,9 @@ def op8_quality_rules(spark, folder):
 @query
 def op4_personal_data(spark, folder):
     return pii.digests(pii.personal_data(table(spark, folder, "documents")))
+
+
+@query
+def op1_line_dedup(spark, folder):
+    kept = line_dedup.deduplicated_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_kept", "text")
