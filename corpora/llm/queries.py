@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import line_dedup, packing, pii, quality, token_counts, topk, warc
+from corpora.llm import line_dedup, ngram_join, packing, pii, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,8 @@ def op4_personal_data(spark, folder):
 def op1_line_dedup(spark, folder):
     kept = line_dedup.deduplicated_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_kept", "text")
+
+
+@query
+def op7_ngram_jaccard_join(spark, folder):
+    return ngram_join.near_duplicates(table(spark, folder, "documents"), threshold=0.8)
