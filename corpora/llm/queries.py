@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import line_dedup, ngram_join, packing, pii, quality, token_counts, topk, warc
+from corpora.llm import line_dedup, ngram_join, packing, pieces, pii, quality, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def query(function: Query) -> Query:
@@ -72,3 +73,14 @@ def op1_line_dedup(spark, folder):
 @query
 def op7_ngram_jaccard_join(spark, folder):
     return ngram_join.near_duplicates(table(spark, folder, "documents"), threshold=0.8)
+
+
+@query
+def op2_sentencepiece(spark, folder):
+    model = public_tokenizers.path(PIECE_MODEL)
+    docs = table(spark, folder, "documents")
+    read = pieces.decode(pieces.encode(docs, model), model)
+    return read.select(
+        "doc_id", "n_tokens", "ids_crc32", F.md5("text").alias("decoded_md5"),
+        F.length("text").cast("long").alias("decoded_chars"),
+    )
