@@ -33,10 +33,17 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates."""
-    classes = ngram_join.near_duplicates(docs).where("class_id = doc_id")
-    kept = classes.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+    """The first document, by id, of each class of near-duplicates; of equal rows one.
+
+    Rows are told apart by id and text, so null or repeated ids lose no document; null ids come last.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", key.alias("key"))
+    classes = ngram_join.near_duplicates(docs.withColumn("_order", order), id="_order")
+    kept = classes.where("class_id = _order").select(F.col("_order.key").alias("_kept")).distinct()
+    keyed = docs.withColumn("_key", key)
+    first = keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi").dropDuplicates(["_key"])
+    return first.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
