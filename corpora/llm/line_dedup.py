@@ -25,11 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpora.llm.expressions import let
+from corpora.llm.lookup import document_key, passing
 from corpora.session import materialize
 
 _BLANKS = r"[\x20\x09-\x0D]+"
-#: Buckets of the filter that is broadcast: one row each at most, whatever the data.
-_FILTER_BUCKETS = 1 << 20
 _BLOCK = 64
 
 
@@ -37,15 +36,11 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), _BLANKS, " "))
 
 
-def _document_key(id: str, text: Column) -> Column:
-    return F.xxhash64(F.col(id), text)
-
-
 def line_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line that is not blank: its place, plain form and hashes."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(
-        F.col(id).alias("id"), _document_key(id, body).alias("k"),
+        F.col(id).alias("id"), document_key(id, body).alias("k"),
         F.posexplode(F.split(body, "\n")).alias("n", "line"),
     )
     plain = lines.select("id", "k", "n", _plain(F.col("line")).alias("line")).where("line <> ''")
@@ -158,10 +153,7 @@ def _long_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     halves = distinct.where("keys is not null").select("h1", "h2", "first", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     near = materialize(halves.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct(), "near-lines")
-    bucket = F.pmod(F.col("h1"), F.lit(_FILTER_BUCKETS))
-    buckets = near.select(bucket.alias("bucket")).distinct()
-    passed = lines.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
-    passed = passed.select("h1", "h2", "line", F.col("k").alias("lk"), F.col("n").alias("ln"))
+    passed = passing(lines, "h1", near).select("h1", "h2", "line", F.col("k").alias("lk"), F.col("n").alias("ln"))
     firsts = near.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "first")
     firsts = firsts.select("a", "b", "first", F.col("first.k").alias("fk"), F.col("first.n").alias("fn"))
     same = (
@@ -221,7 +213,7 @@ def deduplicated_lines(
         kept = kept.join(gone, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_anti")
     places = kept.groupBy(F.col("first.k").alias("_k")).agg(F.collect_list("first.n").alias("_kept"))
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn(text, body).withColumn("_key", _document_key(id, F.col(text)))
+    keyed = docs.withColumn(text, body).withColumn("_key", document_key(id, F.col(text)))
     joined = keyed.join(places, F.col("_key") == F.col("_k"), "left")
 
     def rebuilt(split: Column) -> Column:

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpora.llm.components import components
+from corpora.llm.lookup import document_key, texts_of
 from corpora.llm.shingles import mixed, shingle_hashes, word_hashes
 from corpora.session import materialize
 
-_FILTER_BUCKETS = 1 << 20
-
 
 def prefix_depth(threshold: float, trees: int, recall: float, longest: int = 8) -> int:
     """The longest prefix at which pairs at the threshold meet in some tree often enough."""
@@ -72,7 +71,7 @@ def signatures(docs: DataFrame, trees: int, depth: int, id: str, text: str) -> D
     """Per row: ``id``, ``k`` (hash of id and text), ``f`` (print of its words; null without words),
     ``keys`` (a prefix hash per tree) and ``sig`` (16 bits of each min-hash)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(id), body).alias("k"), body.alias("t"))
+    rows = docs.select(F.col(id).alias("id"), document_key(id, body).alias("k"), body.alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,17 +205,8 @@ def _verified(threshold: float):
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """``f`` and ``shingles`` of the classes in ``wanted`` (``f``, ``k`` of one of its rows).
-
-    Texts are filtered where they are read by a table of hash buckets, which has a bounded
-    number of rows and is broadcast; only what passes is shuffled.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id), body).alias("k"), body.alias("t"))
-    bucket = F.pmod(F.col("k"), F.lit(_FILTER_BUCKETS))
-    buckets = wanted.select(bucket.alias("bucket")).distinct()
-    passed = rows.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
-    exact = passed.select("k", "t").join(wanted.select("k"), "k", "left_semi")
+    """``f`` and ``shingles`` of the classes in ``wanted`` (``f``, ``k`` of one of its rows)."""
+    exact = texts_of(docs, wanted, id, text).select("t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import line_dedup, ngram_join, packing, pieces, pii, quality, token_counts, topk, warc
+from corpora.llm import line_dedup, ngram_join, packing, pieces, pii, quality
+from corpora.llm import substring_dedup, token_counts, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +85,9 @@ def op2_sentencepiece(spark, folder):
         "doc_id", "n_tokens", "ids_crc32", F.md5("text").alias("decoded_md5"),
         F.length("text").cast("long").alias("decoded_chars"),
     )
+
+
+@query
+def op5_substring_dedup(spark, folder):
+    docs = table(spark, folder, "documents")
+    return substring_dedup.repeated_passages(docs, words=50, threshold=0.8)
