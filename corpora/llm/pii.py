@@ -254,7 +254,7 @@ def posteriors(counts: list[tuple[bool, tuple, int]], rounds: int = 40) -> dict[
 
     A span is real or not, with a prior for its kind; each labeler votes by its own
     probabilities given which. Spans of the base kinds are known to be real, which fixes the
-    meaning of the two classes. Every table is smoothed by one count.
+    meaning of the two classes. The first guess stays in each table with the weight of two spans.
     """
     start = {True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.2, 0: 0.4, -1: 0.4}}
     chance = [{z: dict(start[z]) for z in (True, False)} for _ in LABELERS]
@@ -266,7 +266,7 @@ def posteriors(counts: list[tuple[bool, tuple, int]], rounds: int = 40) -> dict[
             for table, vote in zip(chance, pattern[1:]):
                 odds += _weight(table, vote)
             real[sure, pattern] = 1.0 if sure else 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-        sums = [{z: {v: 1.0 for v in (1, 0, -1)} for z in (True, False)} for _ in LABELERS]
+        sums = [{z: {v: 2 * p for v, p in start[z].items()} for z in start} for _ in LABELERS]
         of_kind = defaultdict(lambda: [1.0, 1.0])
         for sure, pattern, n in counts:
             p = real[sure, pattern]
@@ -282,18 +282,22 @@ def posteriors(counts: list[tuple[bool, tuple, int]], rounds: int = 40) -> dict[
 
 
 def classifier(counts: list[tuple[bool, tuple, int]]) -> dict:
-    """Weights of the span classifier: log odds of each feature value under the posteriors."""
+    """Weights of the span classifier: log odds of each feature value under the posteriors.
+
+    Each class is smoothed by one span with the values that all spans have, so a class with
+    little evidence says little.
+    """
     real = posteriors(counts)
     soft = [(pattern, n * real[sure, pattern], n * (1 - real[sure, pattern])) for sure, pattern, n in counts]
     yes, no = (1 + sum(x[place] for x in soft) for place in (1, 2))
     weights: dict = {"bias": math.log(yes / no)}
     for place, name in enumerate(FEATURES):
-        sums = defaultdict(lambda: [1.0, 1.0])
+        sums = defaultdict(lambda: [0.0, 0.0])
         for pattern, p, q in soft:
             sums[pattern[place]][0] += p
             sums[pattern[place]][1] += q
-        seen = len(sums)
-        weights[name] = {v: math.log(a / (yes + seen) / (b / (no + seen))) for v, (a, b) in sums.items()}
+        share = {v: (p + q) / (yes + no - 2) for v, (p, q) in sums.items()}
+        weights[name] = {v: math.log((p + share[v]) / yes / ((q + share[v]) / no)) for v, (p, q) in sums.items()}
     return weights
 
 

@@ -69,7 +69,8 @@ def test_masking(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd, +12 345 678 90!"), (2, "none"), (3, "a@b.cd")], "doc_id long, text string")
     made = pii.personal_data(docs).select("doc_id", pii.masked(F.col("text"), F.col("pii.spans")).alias("t"))
     assert sorted(map(tuple, made.collect())) == [(1, "é [EMAIL], [PHONE]!"), (2, "none"), (3, "[EMAIL]")]
-    over = spark.sql("select 'abcdefgh' as t, array(struct('x' as kind, 1 as start, 4 as end), struct('y', 2, 6), struct('z', 2, 3)) as s")
+    kinds = "t string, s array<struct<kind:string,start:int,end:int>>"
+    over = spark.createDataFrame([("abcdefgh", [("x", 1, 4), ("y", 2, 6), ("z", 2, 3)])], kinds)
     assert over.select(pii.masked(F.col("t"), F.col("s"))).collect()[0][0] == "a[X][Y]gh"
 
 
