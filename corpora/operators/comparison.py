@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,17 +13,24 @@ def long_metrics(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
     return wide.unpivot(list(keys), list(metrics), "metric", "value")
 
 
+def _of_one_run(which: Column, value: Column, by: Sequence[str]) -> Column:
+    """Aggregate: the value of the one run that meets a condition; several fail."""
+    several = F.raise_error(F.lit(f"several runs for one value of {list(by)}")).cast("double")
+    return F.when(F.count_if(which) > 1, several).otherwise(F.max(F.when(which, value)))
+
+
 def adapted_against_base(
     runs: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("rmse",), adapted: str = "adapted"
 ) -> DataFrame:
     """Adapted and base value of each metric side by side, with their difference.
 
-    One row per group that has both kinds of run.
+    One row per group that has both kinds of run. A group with several runs of one
+    kind fails: add the key that tells them apart.
     """
     columns = []
     for metric in metrics:
-        with_it = F.max(F.when(F.col(adapted), F.col(metric)))
-        without = F.max(F.when(~F.col(adapted), F.col(metric)))
+        with_it = _of_one_run(F.col(adapted), F.col(metric), by)
+        without = _of_one_run(~F.col(adapted), F.col(metric), by)
         columns += [
             with_it.alias(f"adapted_{metric}"),
             without.alias(f"base_{metric}"),
@@ -39,8 +46,11 @@ def transfer_grid(
     metric: str = "rmse",
     shots: Sequence[int] = (50, 100, 200),
 ) -> DataFrame:
-    """One row per group, one column ``<metric>_<shots>`` per number of shots."""
+    """One row per group, one column ``<metric>_<shots>`` per number of shots.
+
+    A cell with several runs fails.
+    """
     cells = [
-        F.max(F.when(F.col("shots") == n, F.col(metric))).alias(f"{metric}_{n}") for n in shots
+        _of_one_run(F.col("shots") == n, F.col(metric), by).alias(f"{metric}_{n}") for n in shots
     ]
     return runs.groupBy(*by).agg(*cells)

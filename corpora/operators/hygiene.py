@@ -42,10 +42,13 @@ def keep_first(rows: DataFrame, on: Sequence[Column], order: str) -> DataFrame:
 
     The winners come from an aggregation over digests, which is combined before
     the shuffle, so one text on a third of all rows costs one row per task. The
-    wide rows move once, by the unique order key, and never by the skewed one.
+    wide rows move once, by the unique order key, and never by the skewed one. A row
+    without an order key has no place among its equals and fails.
     """
     digest = F.sha2(F.to_json(F.struct(*on)), 256) if len(on) > 1 else F.sha2(on[0].cast("string"), 256)
-    winners = rows.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
+    missing = F.raise_error(F.lit(f"a row has no {order}")).cast(dict(rows.dtypes)[order])
+    known = F.coalesce(F.col(order), missing)
+    winners = rows.groupBy(digest.alias("_digest")).agg(F.min(known).alias(order)).select(order)
     return rows.join(winners, order, "left_semi")
 
 

@@ -41,13 +41,16 @@ def link_by_file(features: DataFrame, files: DataFrame) -> DataFrame:
 def link_by_position(features: DataFrame, files: DataFrame, feature_key: str, file_key: str) -> DataFrame:
     """Features with the ``doc_id`` of the file at the same place.
 
-    Both sides are numbered by an explicit unique key; rows beyond the shorter side
-    stay out.
+    Both sides are numbered by an explicit unique key. Files beyond the number of
+    features stay out; features without a file fail when the result is read.
     """
     left = numbered_by_key(features, feature_key, "_position")
     keyed = files.select("doc_id", F.col(file_key).alias("_key"))
-    right = numbered_by_key(keyed, "_key", "_position").drop("_key")
-    return left.join(right, "_position").drop("_position")
+    right = numbered_by_key(keyed, "_key", "_position").drop("_key").withColumn("_found", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("no file for the feature at place "), F.col("_position").cast("string")))
+    linked = left.join(right, "_position", "left")
+    known = F.when(F.col("_found"), F.col("doc_id")).otherwise(lost.cast(dict(files.dtypes)["doc_id"]))
+    return linked.withColumn("doc_id", known).drop("_position", "_found")
 
 
 def with_metadata(

@@ -27,11 +27,13 @@ def _choose(scales: ScaleChoice, column: Callable[[Scale], Column]) -> Column:
 
 
 def error_columns(gold: Column, pred: Column) -> list[Column]:
-    """Aggregates for any ``groupBy``: number of rows, RMSE and Pearson."""
+    """Aggregates for any ``groupBy``: rows with both scores, their RMSE and Pearson."""
+    both = gold.isNotNull() & pred.isNotNull()
+    gold, pred = F.when(both, gold), F.when(both, pred)
     deviation = F.stddev_pop(gold) * F.stddev_pop(pred)
     pearson = F.when(deviation > 0, F.covar_pop(gold, pred) / deviation)
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count(gold).alias("n"),
         F.sqrt(F.avg((gold - pred) * (gold - pred))).alias("rmse"),
         pearson.alias("pearson"),
     ]
@@ -85,13 +87,23 @@ def score_pairs(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     return preds.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_correlation(
-    pairs: DataFrame, by: Sequence[str], bounds: Bounds | None = None
-) -> DataFrame:
+def _as_one_key(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``pairs`` with the group as one struct ``_by``, in which missing keys match each other."""
+    return pairs.select(F.struct(*by).alias("_by"), "gold", "pred", "n")
+
+
+def rank_correlation(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Spearman per group, ties at their average rank: ``(*by, spearman)``.
 
-    ``pairs`` are :func:`score_pairs`. NULL when one side is constant.
+    ``pairs`` are :func:`score_pairs`. NULL when one side is constant. A missing key is
+    a group of its own.
     """
+    return _rank_correlation(_as_one_key(pairs, by), ["_by"]).select("_by.*", "spearman")
+
+
+def _rank_correlation(
+    pairs: DataFrame, by: Sequence[str], bounds: Bounds | None = None
+) -> DataFrame:
     by = list(by)
 
     def ranks(side: str) -> DataFrame:
@@ -137,8 +149,21 @@ def quadratic_kappa(
 
     ``pairs`` are :func:`score_pairs`. Weights are squared differences of class
     indexes. ``compact`` numbers only the classes that occur in the group, ``fixed``
-    all classes of the scale. NULL when only one class occurs.
+    all classes of the scale. NULL when only one class occurs. A missing key is a
+    group of its own.
     """
+    if not isinstance(scales, Scale):
+        name, known = scales
+        scales = (F.col("_by")[name] if isinstance(name, str) else name, known)
+        if not isinstance(name := scales[0], Column):
+            raise TypeError("a scale is chosen by a key column")
+    keyed = _quadratic_kappa(_as_one_key(pairs, by), ["_by"], scales, index)
+    return keyed.select("_by.*", "qwk")
+
+
+def _quadratic_kappa(
+    pairs: DataFrame, by: Sequence[str], scales: ScaleChoice, index: str = "compact"
+) -> DataFrame:
     if index not in ("compact", "fixed"):
         raise ValueError(f"index must be 'compact' or 'fixed', got {index!r}")
     cells = confusion(pairs, by, scales)
@@ -154,10 +179,17 @@ def quadratic_kappa(
                 "b": F.array_position("_classes", F.col("b")),
             }
         )
-    n, a, b = (F.col(c).cast("bigint") for c in ("n", "a", "b"))
-    observed = F.sum(n * (a - b) * (a - b))
-    expected = F.sum(n * a * a) + F.sum(n * b * b) - (2 * F.sum(n * a) * F.sum(n * b)) / F.sum(n)
-    return cells.groupBy(*by).agg(F.when(expected != 0, 1 - observed / expected).alias("qwk"))
+    # Whole decimals: exact, and wide enough for the product of two sums over all rows.
+    n, a, b = (F.col(c).cast("decimal(19,0)") for c in ("n", "a", "b"))
+
+    def over_all(value: Column) -> Column:
+        return F.sum(value.cast("decimal(27,0)")).cast("decimal(27,0)")
+
+    total, of_a, of_b = (over_all(x).cast("decimal(19,0)") for x in (n, n * a, n * b))
+    observed = over_all(n * (a - b) * (a - b)).cast("decimal(19,0)") * total
+    expected = over_all(n * (a * a + b * b)).cast("decimal(19,0)") * total - 2 * (of_a * of_b)
+    share = observed.cast("double") / expected.cast("double")
+    return cells.groupBy(*by).agg(F.when(expected != 0, 1 - share).alias("qwk"))
 
 
 def score_metrics(
@@ -185,10 +217,10 @@ def score_metrics(
             scales = (F.col("_run")[name], known)
         ends = [_choose(scales, lambda scale, e=e: F.lit(getattr(scale, e))) for e in ("low", "high")]
         bounds = (ends[0], ends[1])
-    report = errors.join(rank_correlation(pairs, key, bounds), key)
+    report = errors.join(_rank_correlation(pairs, key, bounds), key)
     measures = ["n", "rmse", "pearson", "spearman"]
     if scales is not None:
-        report = report.join(quadratic_kappa(pairs, key, scales, index), key)
+        report = report.join(_quadratic_kappa(pairs, key, scales, index), key)
         measures.append("qwk")
     if undefined is not None:
         report = report.fillna(undefined, ["pearson", "spearman"])

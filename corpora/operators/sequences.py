@@ -36,33 +36,42 @@ def truncated_sequence(documents: DataFrame, max_length: int, text: str = "text"
     )
 
 
-def _hex_share(share: float) -> str:
-    """Digest prefix below which that share of all digests lies."""
-    return format(int(share * 16**8), "08x")
+def _within(digest: Column, share: float) -> Column:
+    """Whether a digest is among that share of all digests."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(share * 16**8)
 
 
 def masked_positions(
-    documents: DataFrame, key: str, probability: float = 0.15, seed: int = 42, text: str = "text"
+    documents: DataFrame,
+    key: str,
+    probability: float = 0.15,
+    seed: int = 42,
+    text: str = "text",
+    max_length: int | None = None,
 ) -> DataFrame:
     """Positions to predict: ``(key, position, label, action, input)``.
 
     A position is chosen by the hash of seed, document and position. Of the chosen
     ones 80% become the mask marker, 10% a random token (``input`` is NULL until
-    :func:`with_random_tokens` fills it) and 10% stay.
+    :func:`with_random_tokens` fills it) and 10% stay. With ``max_length`` positions are
+    those of :func:`truncated_sequence` of that length, counted without its markers.
     """
-    chosen = F.substring(order_hash(F.col(key), F.col("position"), seed=seed), 1, 8)
-    fate = F.substring(order_hash(F.col(key), F.col("position"), seed=f"{seed}:action"), 1, 8)
+    chosen = order_hash(F.col(key), F.col("position"), seed=seed)
+    fate = order_hash(F.col(key), F.col("position"), seed=f"{seed}:action")
     action: Column = (
-        F.when(fate < _hex_share(0.8), F.lit("mask"))
-        .when(fate < _hex_share(0.9), F.lit("random"))
+        F.when(_within(fate, 0.8), F.lit("mask"))
+        .when(_within(fate, 0.9), F.lit("random"))
         .otherwise(F.lit("keep"))
     )
     shown = F.when(F.col("action") == "mask", F.lit(MASK)).when(
         F.col("action") == "keep", F.col("label")
     )
+    content = T.tokens(F.col(text))
+    if max_length is not None:
+        content = F.slice(content, 1, max_length - 2)
     return (
-        documents.select(key, F.posexplode(T.tokens(F.col(text))).alias("position", "label"))
-        .where(chosen < _hex_share(probability))
+        documents.select(key, F.posexplode(content).alias("position", "label"))
+        .where(_within(chosen, probability))
         .withColumn("action", action)
         .withColumn("input", shown)
     )

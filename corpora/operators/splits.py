@@ -155,8 +155,11 @@ def few_shot_samples(
     Adds ``shots`` and ``mode``: ``all`` when there are no more rows, ``stratified``
     where quotas exist, else ``random``. A row appears once per sample it is in. A
     class of any size is cut by rank and never gathered; all sizes share the passes.
+    Rows without a label are a class of their own.
     """
-    shots = [int(n) for n in shots]
+    shots, columns = [int(n) for n in shots], rows.columns
+    # In a struct missing labels match each other.
+    rows, label = rows.withColumn("_label", F.struct(label)), "_label"
     order = order_hash(F.col(key), seed=seed)
     facts = _class_facts(rows.groupBy(label).agg(F.count(F.lit(1)).alias("size")))
 
@@ -187,7 +190,7 @@ def few_shot_samples(
             mode = F.when(possible & ~whole, F.lit("stratified")).otherwise(mode)
             drawn = F.when(possible & ~whole, in_class).otherwise(drawn)
         samples.append(F.when(drawn, F.struct(F.lit(n).alias("shots"), mode.alias("mode"))))
-    return keyed.select(*rows.columns, F.inline(F.array_compact(F.array(*samples))))
+    return keyed.select(*columns, F.inline(F.array_compact(F.array(*samples))))
 
 
 def few_shot_sample(

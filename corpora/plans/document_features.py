@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
@@ -48,9 +48,20 @@ def selected_documents(
     return numbered.withColumn("doc_id", name).drop("_number")
 
 
+def file_name(id: Column, fallback: Column) -> Column:
+    """File name under which an analyser sees a document; different ids get different names.
+
+    A name that is not the id itself ends with a digest of the id.
+    """
+    name, own = T.safe_key(id, fallback), id.cast("string")
+    mark = F.concat(F.lit("-"), F.substring(F.md5(F.coalesce(own, F.lit(""))), 1, 16))
+    unique = F.when(name.eqNullSafe(own), name).otherwise(F.concat(name, mark))
+    return F.concat(unique, F.lit(".txt"))
+
+
 def document_files(documents: DataFrame, fallback: str) -> DataFrame:
     """File name under which an analyser sees each document."""
-    name = F.concat(T.safe_key(F.col("doc_id"), F.col(fallback)), F.lit(".txt"))
+    name = file_name(F.col("doc_id"), F.col(fallback))
     return documents.select("doc_id", name.alias("temp_filename")).distinct()
 
 

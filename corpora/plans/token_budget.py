@@ -22,13 +22,15 @@ def text_keys(
     text: str = "text",
     dedup: bool = True,
     length_of: Callable[[Column], Column] = T.token_length,
+    min_char_len: int = 1,
 ) -> DataFrame:
-    """``(key, length)`` of the texts to use, the first of equal ones.
+    """``(key, length)`` of the texts of at least ``min_char_len`` characters, the first of equal ones.
 
     Everything up to the final read works on this narrow table. The aggregation is
     combined before the shuffle, so copies of one text cost nothing extra.
     """
     stripped = text_column(documents, text).select(key, F.col(text).alias("_text"))
+    stripped = stripped.where(F.length("_text") >= min_char_len)
     length = length_of(F.col("_text")).cast("bigint")
     if not dedup:
         return stripped.select(key, length.alias("length"))
@@ -52,6 +54,7 @@ def budgeted_parts(
     seed: int = 42,
     least: int = 100,
     length_of: Callable[[Column], Column] = T.token_length,
+    min_char_len: int = 1,
 ) -> DataFrame:
     """Every usable text with its way through the plan, one narrow row per key.
 
@@ -61,7 +64,7 @@ def budgeted_parts(
     hash order and ends at the first text that would pass it. ``length_of`` counts the
     tokens of a text column, see :func:`corpora.functions.text.length_by`.
     """
-    keys = materialize(text_keys(documents, key, text, dedup, length_of), "text-keys")
+    keys = materialize(text_keys(documents, key, text, dedup, length_of, min_char_len), "text-keys")
     require_rows(keys, least, "texts")
     parts = eval_and_subsets(keys, key, [fraction], eval_share, seed)
     in_subset = (F.col("part") == "eval") | F.col("subset").isNotNull()
@@ -82,9 +85,12 @@ def budgeted_parts(
     return parts.withColumn("kept", kept)
 
 
-def budgeted_corpus(documents: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """Documents that stay, with their part; the one place where texts move."""
-    return documents.join(parts.where("kept").select(key, "part", "length"), key)
+def budgeted_corpus(documents: DataFrame, parts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Documents that stay, stripped as they were measured, with their part.
+
+    The one place where texts move.
+    """
+    return text_column(documents, text).join(parts.where("kept").select(key, "part", "length"), key)
 
 
 def budget_report(parts: DataFrame, tokenizer: str = T.TOKENIZER) -> DataFrame:

@@ -15,6 +15,12 @@ from corpora.sources.tables import read_csv, text_column, union_tables
 SUFFIXES = (".txt", ".csv", ".parquet")
 
 
+def _glob(*suffixes: str) -> str:
+    """Pattern of file names with one of the suffixes, in any case of letters."""
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "{" + ",".join(f"*{s}" for s in either) + "}"
+
+
 @dataclass(frozen=True)
 class Corpus:
     """A name and the files or folders that make up the corpus."""
@@ -82,10 +88,9 @@ def discovered_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         last = path.rstrip("/").rsplit("/", 1)[-1]
         if "." in last and not last.lower().endswith(SUFFIXES):
             raise ValueError(f"unsupported file type: {path}")
-    globs = ",".join(f"*{s},*{s.upper()}" for s in SUFFIXES)
     files = (
         spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="{" + globs + "}")
+        .options(recursiveFileLookup=True, pathGlobFilter=_glob(*SUFFIXES))
         .load(outermost(paths))
         .select(T.decoded_path(F.col("path")).alias("path"))
     )
@@ -101,16 +106,16 @@ def _read_path(spark: SparkSession, path: str, text: str | None, multi_line: boo
     kinds = {row["kind"] for row in found.select(suffix.alias("kind")).distinct().collect()}
     parts = []
     if "txt" in kinds:
-        lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.{txt,TXT}").text(path)
+        lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=_glob(".txt")).text(path)
         lines = lines.withColumn("text", T.drop_undecodable(F.col("value")))
         parts.append(text_column(lines, "text"))
     if kinds & {"csv", "parquet"} and text is None:
         raise ValueError(f"a text column must be named for the tables in {path}")
     if "csv" in kinds:
-        options = {"recursiveFileLookup": True, "pathGlobFilter": "*.{csv,CSV}"}
+        options = {"recursiveFileLookup": True, "pathGlobFilter": _glob(".csv")}
         parts.append(text_column(read_csv(spark, path, multi_line=multi_line, **options), text))
     if "parquet" in kinds:
-        reader = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.{parquet,PARQUET}")
+        reader = spark.read.options(recursiveFileLookup=True, pathGlobFilter=_glob(".parquet"))
         parts.append(text_column(reader.parquet(path), text))
     named = [p.select(F.col(text if text in p.columns else "text").alias("text")) for p in parts]
     return union_tables(*named).select(F.lit(path).alias("path"), "text")

@@ -150,3 +150,39 @@ def test_regression_learns(spark):
     report = {r.split: r for r in modelling.score_regression(essays, S.BAND, strengths=[0.01, 1.0]).collect()}
     assert set(report) == {"dev", "test"}
     assert report["test"].pearson > 0.99 and report["test"].rmse < 1
+
+
+def test_missing_keys_are_groups(spark):
+    rows = [(None, 1.0, 1.0), (None, 2.0, 2.0), (None, 3.0, 2.5), ("a", 1.0, 2.0), ("a", 2.0, 1.0)]
+    pairs = metrics.score_pairs(spark.createDataFrame(rows, "run string, gold double, pred double"), ["run"])
+    ranks = {r.run: r.spearman for r in metrics.rank_correlation(pairs, ["run"]).collect()}
+    assert abs(ranks["a"] + 1.0) < 1e-12 and abs(ranks[None] - 1.0) < 1e-12
+
+
+def test_kappa_of_very_many_rows(spark):
+    cells = [(1.0, 1.0, 4 * 10**9), (2.0, 2.0, 3 * 10**9), (2.0, 1.0, 2 * 10**9), (1.0, 2.0, 10**9)]
+    pairs = spark.createDataFrame([("x", *c) for c in cells], "run string, gold double, pred double, n bigint")
+    small = spark.createDataFrame([("x", g, p, n // 10**9) for g, p, n in cells], pairs.schema)
+    big, little = (metrics.quadratic_kappa(p, ["run"], S.BAND).collect()[0].qwk for p in (pairs, small))
+    assert abs(big - little) < 1e-12 and abs(big - 0.4) < 1e-12
+
+
+def test_several_runs_of_a_kind_fail(spark):
+    rows = [("m", 50, True, 1.0), ("m", 50, True, 2.0), ("m", 50, False, 3.0)]
+    table = spark.createDataFrame(rows, "model string, shots int, adapted boolean, rmse double")
+    with pytest.raises(Exception, match="several runs"):
+        comparison.adapted_against_base(table, ["model", "shots"]).collect()
+    with pytest.raises(Exception, match="several runs"):
+        comparison.transfer_grid(table, ["model", "adapted"]).collect()
+
+
+def test_regression_needs_dev_rows(spark):
+    essays = spark.createDataFrame([("train", f"word{i} text", float(i % 5 + 1)) for i in range(20)] + [("test", "word", 3.0)], "split string, text string, score double")
+    with pytest.raises(Exception, match="no dev rows"):
+        modelling.score_regression(essays, S.BAND, strengths=[0.1], features=16).collect()
+
+
+def test_rows_with_one_score_do_not_count(spark):
+    frame = spark.createDataFrame([(1.0, 2.0), (2.0, None), (None, 9.0), (3.0, 3.0)], "gold double, pred double")
+    row = frame.agg(*metrics.error_columns(F.col("gold"), F.col("pred"))).collect()[0]
+    assert row.n == 2 and abs(row.rmse - 0.5**0.5) < 1e-12 and row.pearson == 1.0

@@ -116,7 +116,10 @@ def test_features_meet_their_documents(spark):
         [(0, "a b", "x", "first"), (1, "c", "y", "other"), (2, "a b", "z", "second")],
         "row_no bigint, doc_id string, text string, note string",
     )
-    features = spark.createDataFrame([("/t/a_b.txt", 1.0), ("c.txt", 2.0), ("/t/lost.txt", 3.0)], "File string, f double")
+    named = docs.select("doc_id", document_features.file_name(F.col("doc_id"), F.col("row_no")).alias("file"))
+    file = {r.doc_id: r.file for r in named.collect()}
+    assert file["c"] == "c.txt" and file["a b"].startswith("a_b-")
+    features = spark.createDataFrame([("/t/" + file["a b"], 1.0), ("c.txt", 2.0), ("/t/lost.txt", 3.0)], "File string, f double")
     merged = document_features.features_with_metadata(features, docs, "row_no")
     assert merged.columns[0] == "doc_id" and "text" not in merged.columns
     assert {(r.doc_id, r.f, r.note) for r in merged.collect()} == {
@@ -126,11 +129,36 @@ def test_features_meet_their_documents(spark):
         linking.link_by_file(features.withColumnRenamed("File", "f_name"), docs)
 
 
-def test_position_links_to_the_shorter_side(spark):
+def test_colliding_names_do_not_multiply_features(spark):
+    docs = spark.createDataFrame([(0, "a b", "x"), (1, "a_b", "y"), (2, "a/b", "z")], "row_no bigint, doc_id string, text string")
+    name = document_features.file_name(F.col("doc_id"), F.col("row_no"))
+    features = docs.select(name.alias("File"), F.col("row_no").cast("double").alias("f"))
+    merged = document_features.features_with_metadata(features, docs, "row_no").collect()
+    assert sorted((r.f, r.doc_id) for r in merged) == [(0.0, "a b"), (1.0, "a_b"), (2.0, "a/b")]
+
+
+def test_position_links_every_feature_or_fails(spark):
     features = spark.createDataFrame([(10, 1.0), (30, 3.0), (20, 2.0)], "no bigint, f double")
-    files = spark.createDataFrame([(7, "b"), (5, "a")], "no bigint, doc_id string")
+    files = spark.createDataFrame([(7, "b"), (5, "a"), (9, None), (11, "d")], "no bigint, doc_id string")
     linked = linking.link_by_position(features, files, "no", "no").collect()
-    assert {(r.f, r.doc_id) for r in linked} == {(1.0, "a"), (2.0, "b")}
+    assert {(r.f, r.doc_id) for r in linked} == {(1.0, "a"), (2.0, "b"), (3.0, None)}
+    with pytest.raises(Exception, match="no file for the feature at place 3"):
+        linking.link_by_position(features, files.where("no < 9"), "no", "no").collect()
+
+
+def test_every_position_can_be_chosen(spark):
+    docs = spark.createDataFrame([(i, "one two three four five") for i in range(100)], "doc_id bigint, text string")
+    assert sequences.masked_positions(docs, "doc_id", 1.0).count() == 500
+    assert sequences.masked_positions(docs, "doc_id", 0.0).count() == 0
+    cut = sequences.masked_positions(docs, "doc_id", 1.0, max_length=5)
+    assert cut.count() == 300 and cut.agg(F.max("position")).collect()[0][0] == 2
+
+
+def test_budgeted_texts_are_stripped(spark):
+    docs = spark.createDataFrame([(i, f"  t{i} x  ") for i in range(300)] + [(999, " z ")], "doc_id bigint, text string")
+    parts = token_budget.budgeted_parts(docs, "doc_id", min_char_len=2)
+    texts = {r.text for r in token_budget.budgeted_corpus(docs, parts, "doc_id").collect()}
+    assert "t0 x" in texts and "z" not in texts and all(t == t.strip() for t in texts)
 
 
 def test_surface_features(spark):

@@ -172,6 +172,18 @@ def test_few_shot_with_a_hot_class(spark):
         assert abs(classes[0] - n * 2 / 3) < 1
 
 
+def test_keep_first_needs_order_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "k int, t string")
+    with pytest.raises(Exception, match="a row has no k"):
+        keep_first(rows, [F.col("t")], "k").collect()
+
+
+def test_rows_without_a_label_are_drawn(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "xy"[i % 2]) for i in range(500)], "k int, label string")
+    sample = splits.few_shot_sample(rows, "k", "label", 100).collect()
+    assert len(sample) == 100 and sum(r.label is None for r in sample) == 20
+
+
 def test_keep_first(spark):
     rows = spark.createDataFrame(
         [(3, "x"), (1, "x"), (2, "y"), (5, None), (4, None), (6, "x ")], "k int, t string"

@@ -208,3 +208,12 @@ def test_scales(spark):
 
 def test_scratch_folder_is_the_named_one(spark):
     assert os.path.isdir(scratch_dir(spark))
+
+
+def test_suffixes_in_any_case(spark, tmp_path):
+    for name in ("a.txt", "b.TXT", "c.Txt", "d.tXt"):
+        (tmp_path / name).write_text(f"text of {name}\n")
+    (tmp_path / "e.Csv").write_text("text\nfrom a table\n")
+    corpora = corpus_files.make_corpora(spark, [str(tmp_path)])
+    texts = {r.text for r in corpus_files.read_corpora(spark, corpora, "text").collect()}
+    assert len(texts) == 5 and "text of c.Txt" in texts

@@ -222,7 +222,8 @@ ORACLE["q12_token_budget"] = f"with {_parts}" + " union all ".join([
 ])
 ORACLE["q12_budgeted_corpus"] = f"""
 with {_parts}
-select doc_id, documents.text, part, length from decided join documents using (doc_id) where kept"""
+select doc_id, {stripped('documents.text')} as text, part, length
+from decided join documents using (doc_id) where kept"""
 
 _mapped = f"""
 codes(answer_s, mapped_score) as (select * from {_code_table} t),
@@ -234,17 +235,19 @@ with {_mapped} select doc_id, script_id, answer_id, answer_s, mapped_score from
 
 _sentences = "greatest(1, len(regexp_extract_all(text, '[.!?]+')))"
 ORACLE["q14_features_with_metadata"] = f"""
-select 'essay ' || doc_id as doc_id, 'essay_' || doc_id || '.txt' as temp_filename,
-       '/out/essay_' || doc_id || '.txt' as Filename,
+select id as doc_id, file as temp_filename, '/out/' || file as Filename,
        cast(len({word_list('text')}) as integer) as n_words,
        cast({_sentences} as integer) as n_sentences, lang, source, doc_id as row_no
-from documents"""
+from (select *, case when doc_id % 2 = 0 then 'essay ' else 'essay_' end || doc_id // 2 as id,
+             'essay_' || doc_id // 2 || case when doc_id % 2 = 0 then '-' || substr(md5(id), 1, 16) else '' end
+                 || '.txt' as file
+      from documents)"""
 
 ORACLE["q15_linked_by_position"] = f"""
 with left_side as (
     select doc_id as feature_no, cast(len({word_list('text')}) as integer) as n_words,
            row_number() over (order by doc_id) as spot from documents),
-right_side as (select url as doc_id, row_number() over (order by page_id) as spot from pages)
+right_side as (select doc_id, row_number() over (order by doc_id desc) as spot from documents)
 select feature_no, n_words, doc_id from left_side join right_side using (spot)"""
 
 ORACLE["q15_safe_keys"] = """
@@ -662,7 +665,7 @@ split as (select doc_id, {token_list('text')} as tokens from documents),
 placed as (
     select doc_id, cast(generate_subscripts(tokens, 1) - 1 as integer) as position,
            unnest(tokens) as label
-    from split),
+    from (select doc_id, tokens[1:126] as tokens from split)),
 chosen as (
     select *, substr({place("doc_id || ':' || position", '42:action')}, 1, 8) as fate
     from placed where substr({place("doc_id || ':' || position")}, 1, 8) < '26666666'),
@@ -684,4 +687,6 @@ picked as (
            cast('0x' || substr({place("doc_id || ':' || position", '42:token')}, 1, 15) as bigint)
                % (select max(size) from vocabulary) + 1 as spot
     from acted where action = 'random')
-select doc_id, position, label, action, token as input from picked join vocabulary using (spot)"""
+select doc_id, position, label, action, token as input from picked join vocabulary using (spot)
+union all
+select *, case action when 'mask' then '[MASK]' else label end from acted where action <> 'random'"""

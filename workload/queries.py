@@ -179,11 +179,11 @@ def q13_mapped_scores(spark, folder):
 
 @query
 def q14_features_with_metadata(spark, folder):
-    docs = inputs.texts(spark, folder, "documents").withColumns(
-        {"row_no": F.col("doc_id"), "doc_id": F.concat(F.lit("essay "), F.col("doc_id").cast("string"))}
-    )
+    number = F.floor(F.col("doc_id") / 2).cast("string")  # ids in pairs that one cleaned name would join
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("essay ")).otherwise(F.lit("essay_")), number)
+    docs = inputs.texts(spark, folder, "documents").withColumns({"row_no": F.col("doc_id"), "doc_id": name})
     again = docs.withColumns({"row_no": F.col("row_no") + 1000000000, "source": F.lit("copy")})
-    file = F.concat(F.lit("/out/"), T.safe_key(F.col("doc_id"), F.col("row_no")), F.lit(".txt"))
+    file = F.concat(F.lit("/out/"), document_features.file_name(F.col("doc_id"), F.col("row_no")))
     features = profile.surface_features(docs).select(file.alias("Filename"), "n_words", "n_sentences")
     return document_features.features_with_metadata(
         features, docs.unionByName(again).drop("n_chars"), "row_no"
@@ -193,9 +193,9 @@ def q14_features_with_metadata(spark, folder):
 @query
 def q15_linked_by_position(spark, folder):
     features = profile.surface_features(inputs.texts(spark, folder, "documents"))
-    files = inputs.table(spark, folder, "pages").select("page_id", F.col("url").alias("doc_id"))
+    files = inputs.table(spark, folder, "documents").select((-F.col("doc_id")).alias("place"), "doc_id")
     features = features.select(F.col("doc_id").alias("feature_no"), "n_words")
-    return linking.link_by_position(features, files, "feature_no", "page_id")
+    return linking.link_by_position(features, files, "feature_no", "place")
 
 
 @query
@@ -535,12 +535,12 @@ def q50_truncated_sequences(spark, folder):
 @query
 def q51_masked_positions(spark, folder):
     docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
-    return sequences.masked_positions(docs, "doc_id")
+    return sequences.masked_positions(docs, "doc_id", max_length=128)
 
 
 @query
 def q51_random_tokens(spark, folder):
     docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
-    masked = materialize(sequences.masked_positions(docs, "doc_id"), "masked")
+    masked = materialize(sequences.masked_positions(docs, "doc_id", max_length=128), "masked")
     vocabulary = inputs.table(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token"))
-    return sequences.with_random_tokens(masked, vocabulary.distinct(), "doc_id").where("action = 'random'")
+    return sequences.with_random_tokens(masked, vocabulary.distinct(), "doc_id")
