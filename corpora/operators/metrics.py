@@ -39,6 +39,24 @@ def error_columns(gold: Column, pred: Column) -> list[Column]:
     ]
 
 
+def weighted_error_columns(gold: Column, pred: Column, n: Column) -> list[Column]:
+    """:func:`error_columns` of distinct pairs of scores that stand for ``n`` rows each."""
+    gold, pred, total = gold.cast("double"), pred.cast("double"), F.sum(n)
+
+    def mean(value: Column) -> Column:
+        return F.sum(n * value) / total
+
+    spread = [F.greatest(mean(x * x) - mean(x) * mean(x), F.lit(0.0)) for x in (gold, pred)]
+    constant = (F.min(gold) == F.max(gold)) | (F.min(pred) == F.max(pred))
+    deviation = F.sqrt(spread[0]) * F.sqrt(spread[1])
+    covariance = mean(gold * pred) - mean(gold) * mean(pred)
+    return [
+        total.alias("n"),
+        F.sqrt(mean((gold - pred) * (gold - pred))).alias("rmse"),
+        F.when(~constant & (deviation > 0), covariance / deviation).alias("pearson"),
+    ]
+
+
 def centred_ranks(
     counts: DataFrame, by: Sequence[str], value: str, name: str, bounds: Bounds | None = None
 ) -> DataFrame:
@@ -208,8 +226,9 @@ def score_metrics(
     # The keys travel as one struct, in which missing keys match each other.
     key = ["_run"]
     whole = preds.dropna(subset=["gold", "pred"]).select(F.struct(*by).alias("_run"), "gold", "pred")
-    errors = whole.groupBy(*key).agg(*error_columns(F.col("gold"), F.col("pred")))
+    # All measures follow from the counted pairs, so the rows are read and shuffled once.
     pairs = score_pairs(whole, key)
+    errors = pairs.groupBy(*key).agg(*weighted_error_columns(F.col("gold"), F.col("pred"), F.col("n")))
     bounds = None
     if scales is not None:
         if not isinstance(scales, Scale):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
@@ -69,6 +69,20 @@ def score_regression(
     return metrics.where(F.col("strength") == best)
 
 
+def line_columns(gold: str = "gold", pred: str = "pred") -> list[Column]:
+    """Aggregates: the line from predictions to gold scores, and the mean gold score."""
+    return [
+        F.regr_slope(gold, pred).alias("slope"),
+        F.regr_intercept(gold, pred).alias("intercept"),
+        F.avg(gold).alias("mean"),
+    ]
+
+
+def on_line(pred: Column, line: Column) -> Column:
+    """A prediction moved along a line of :func:`line_columns`; without spread the mean."""
+    return F.coalesce(line["slope"] * pred + line["intercept"], line["mean"])
+
+
 def calibrate(shots: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Predictions moved to the gold scale by a line fitted per group on ``shots``.
 
@@ -77,10 +91,7 @@ def calibrate(shots: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame
     Without spread among the shots the mean of their gold scores is predicted.
     """
     by = list(by)
-    lines = shots.groupBy(*by).agg(
-        F.regr_slope("gold", "pred").alias("_slope"),
-        F.regr_intercept("gold", "pred").alias("_intercept"),
-        F.avg("gold").alias("_mean"),
-    )
-    moved = F.coalesce(F.col("_slope") * F.col("pred") + F.col("_intercept"), F.col("_mean"))
-    return join_groups(rows, lines, by).withColumn("pred", moved).drop("_slope", "_intercept", "_mean")
+    lines = shots.groupBy(*by).agg(*line_columns())
+    lines = lines.select(*by, F.struct("slope", "intercept", "mean").alias("_line"))
+    moved = on_line(F.col("pred"), F.col("_line"))
+    return join_groups(rows, lines, by).withColumn("pred", moved).drop("_line")
