@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 HASH_DIGITS = 4
 VALUE_BUCKETS = 1 << 20
+#: Buckets for each doubling of the distance beyond the bounds.
+OUTER_STEPS = 4096
 
 
 def order_hash(*keys: Column, seed: int | str = 42) -> Column:
@@ -25,9 +27,14 @@ def hash_bucket(digest: Column, digits: int = HASH_DIGITS) -> Column:
 def value_bucket(value: Column, low: Column, high: Column, buckets: int = VALUE_BUCKETS) -> Column:
     """Bucket number that never falls as ``value`` rises.
 
-    Buckets are even between ``low`` and ``high``; values beyond fall in the outer ones.
+    Buckets are even between ``low`` and ``high``. Beyond, they widen with the distance,
+    so that values far outside are still spread over many.
     """
     low, high, value = (c.cast("double") for c in (low, high, value))
-    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    inside = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    return F.least(F.floor(inside * buckets), F.lit(buckets - 1).cast("bigint"))
+    span = F.when(high > low, high - low).otherwise(F.lit(1.0))
+    share = (value - low) / span
+    clipped = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    inside = F.least(F.floor(clipped * buckets), F.lit(buckets - 1).cast("bigint"))
+    above = buckets + F.floor(F.log2(F.greatest(share, F.lit(1.0))) * OUTER_STEPS)
+    below = -1 - F.floor(F.log2(F.greatest(1 - share, F.lit(1.0))) * OUTER_STEPS)
+    return F.when(share > 1, above).when(share < 0, below).otherwise(inside)

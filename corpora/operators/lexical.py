@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
-
-# Spark prunes a per-group row_number before the shuffle up to this limit.
-_PRUNED_LIMIT = 1000
+from corpora.operators.hygiene import join_groups
 
 
 def tally(
@@ -77,11 +75,10 @@ def top_words(tallied: DataFrame, k: int) -> DataFrame:
     """
     counts = word_counts(tallied)
     ranking = [F.desc("n"), "first_place" if "first_place" in tallied.columns else "word"]
-    if k > _PRUNED_LIMIT:
-        # Keep the k best of each part first, so no task orders a whole vocabulary.
-        parts = Window.partitionBy("corpus", F.pmod(F.hash("word"), F.lit(64))).orderBy(*ranking)
-        counts = counts.withColumn("_part", F.row_number().over(parts))
-        counts = counts.where(F.col("_part") <= k).drop("_part")
+    # Keep the k best of each part first, so no task orders a whole vocabulary.
+    parts = Window.partitionBy("corpus", F.pmod(F.hash("word"), F.lit(64))).orderBy(*ranking)
+    counts = counts.withColumn("_part", F.row_number().over(parts))
+    counts = counts.where(F.col("_part") <= k).drop("_part")
     rank = F.row_number().over(Window.partitionBy("corpus").orderBy(*ranking))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= k)
     share = F.when(F.col("n_tokens") > 0, F.col("n") / F.col("n_tokens")).otherwise(F.lit(0.0))
@@ -158,7 +155,7 @@ def divergence(
     s = F.lit(float(smoothing))
     p = (F.col("a") + s) / (F.col("a_total") + s * F.col("vocab"))
     q = (F.col("b") + s) / (F.col("b_total") + s * F.col("vocab"))
-    terms = joint.join(totals, _PAIR).withColumns({"p": p, "q": q})
+    terms = join_groups(joint, totals, _PAIR).withColumns({"p": p, "q": q})
     mean = F.lit(0.5) * (F.col("p") + F.col("q"))
     sums = terms.groupBy(*_PAIR).agg(
         F.first("vocab").alias("full_vocab_size"),

@@ -65,11 +65,15 @@ def centred_ranks(
     ``counts`` holds ``(*by, value, n)`` with one row per distinct value. Values go
     to monotone buckets, so even the values of one huge group are ordered in many
     tasks; a bucket's rows before it come from a table of bucket sums. ``bounds``
-    are the ends between which most values lie; they default to the group's own.
+    are the ends between which most values lie; they default to the group's own 5th and
+    95th percentile, which no outlier moves.
     """
     by = list(by)
     if bounds is None:
-        ends = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        middle = F.percentile_approx(value, [0.05, 0.95], 1000).alias("_ends")
+        ends = counts.groupBy(*by).agg(middle).select(
+            *by, F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high")
+        )
         counts = join_groups(counts, ends, by)
         bounds = F.col("_low"), F.col("_high")
     placed = counts.withColumn("_bucket", value_bucket(F.col(value), *bounds))

@@ -22,6 +22,12 @@ def _statistics(tallied: DataFrame, side: str) -> DataFrame:
     return stats.select(*[F.col(c).alias(f"{side}_{'name' if c == 'corpus' else c}") for c in stats.columns])
 
 
+def _named(tallied: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """Names of the corpora with texts and of those listed."""
+    names = tallied.select("corpus")
+    return names if paths is None else names.unionByName(paths.select("corpus"))
+
+
 def _paths(paths: DataFrame | None, report: DataFrame, side: str) -> DataFrame:
     name, joined = f"{side}_name", f"{side}_paths"
     if paths is None:
@@ -44,7 +50,8 @@ def alignment_report(
 
     Both inputs hold ``(corpus, text)``. Each text is read and split into words
     once; the word counts, far smaller than the texts, are kept in the shared folder
-    and serve all pairs. Sorted by downstream name, divergence, pretraining name.
+    and serve all pairs. Corpora that a table of paths names stay in the report without
+    texts too. Sorted by downstream name, divergence, pretraining name.
     """
     stops = stop_words(stopword_library) if remove_function_words else None
     left, right = (
@@ -52,11 +59,12 @@ def alignment_report(
         for side, texts in (("pretraining", pretraining), ("downstream", downstream))
     )
     left_stats, right_stats = _statistics(left, "pretraining"), _statistics(right, "downstream")
-    pairs = corpus_pairs(left.select("corpus"), right.select("corpus"))
+    pairs = corpus_pairs(_named(left, pretraining_paths), _named(right, downstream_paths))
     report = (
         divergence(word_counts(left), word_counts(right), pairs, smoothing)
-        .join(left_stats, "pretraining_name")
-        .join(right_stats, "downstream_name")
+        .join(left_stats, "pretraining_name", "left")
+        .join(right_stats, "downstream_name", "left")
+        .fillna(0, [f"{side}_n_{what}" for side in ("pretraining", "downstream") for what in ("texts", "tokens", "types")])
     )
     report = _paths(pretraining_paths, report, "pretraining")
     report = _paths(downstream_paths, report, "downstream")

@@ -115,3 +115,14 @@ def test_reports(spark):
         "n_texts", "n_tokens", "n_types",
     ]
     assert {(r.corpus_name, r.word, r["count"]) for r in top.collect()} == {("a", "cat", 1), ("b", "dog", 2)}
+
+
+def test_corpora_without_texts_stay_in_the_report(spark):
+    left = spark.createDataFrame([("a", "one two two"), ("b", None), ("b", "123")], "corpus string, text string")
+    right = spark.createDataFrame([("d", "two three")], "corpus string, text string")
+    paths = spark.createDataFrame([("a", "/a"), ("b", "/b"), ("none", "/n")], "corpus string, corpus_paths string")
+    rows = {r.pretraining_name: r for r in alignment_report(left, right, pretraining_paths=paths).collect()}
+    assert set(rows) == {"a", "b", "none"}
+    assert [rows[n].pretraining_n_texts for n in ("a", "b", "none")] == [1, 0, 0]
+    assert rows["none"].pretraining_paths == "/n" and rows["none"].full_vocab_size == 2
+    assert rows["none"].jsd_full_vocab == rows["b"].jsd_full_vocab
