@@ -40,6 +40,32 @@ def adapted_against_base(
     return runs.groupBy(*by).agg(*columns, kinds).where(F.col("_kinds") == 2).drop("_kinds")
 
 
+def bands_against_base(
+    runs: DataFrame,
+    by: Sequence[str] = ("source", "target", "shots"),
+    metrics: Sequence[str] = ("rmse",),
+    model: str = "bert",
+) -> DataFrame:
+    """Runs adapted to one level band beside the base run with the same ``by``.
+
+    Base runs lie in other experiments: those of ``model`` that are neither adapted nor
+    of a band. Missing keys match each other. One row per group and band, with the band's
+    value, the base value (NULL without a base run) and their difference; several runs
+    for one of them fail.
+    """
+    group = F.struct(*by)
+    of_band, is_base = F.col("band").isNotNull(), ~F.col("adapted") & (F.col("model") == model)
+    bands = runs.where(of_band).groupBy(group.alias("_by"), "band").agg(
+        *[_of_one_run(F.lit(True), F.col(m), [*by, "band"]).alias(f"adapted_{m}") for m in metrics]
+    )
+    base = runs.where(~of_band & is_base).groupBy(group.alias("_by")).agg(
+        *[_of_one_run(F.lit(True), F.col(m), by).alias(f"base_{m}") for m in metrics]
+    )
+    sides = [(F.col(f"adapted_{m}"), F.col(f"base_{m}"), f"{m}_change") for m in metrics]
+    measures = [x for a, b, name in sides for x in (a, b, (a - b).alias(name))]
+    return bands.join(base, "_by", "left").select("_by.*", "band", *measures)
+
+
 def transfer_grid(
     runs: DataFrame,
     by: Sequence[str],

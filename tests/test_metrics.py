@@ -167,6 +167,18 @@ def test_kappa_of_very_many_rows(spark):
     assert abs(big - little) < 1e-12 and abs(big - 0.4) < 1e-12
 
 
+def test_bands_meet_the_base_run_of_another_experiment(spark):
+    rows = [
+        ("FCE", "FCE", None, "bert", False, None, 1.0), ("FCE", "FCE", None, None, True, "A1A2", 0.8),
+        ("FCE", "FCE", None, None, True, "B1B2", 1.3), ("FCE", "FCE", None, "roberta", False, None, 5.0),
+        ("FCE", "IELTS", 50, None, True, "A1A2", 0.5),
+    ]
+    kinds = "source string, target string, shots int, model string, adapted boolean, band string, rmse double"
+    out = comparison.bands_against_base(spark.createDataFrame(rows, kinds)).collect()
+    got = {(r.target, r.band): (r.adapted_rmse, r.base_rmse, r.rmse_change and round(r.rmse_change, 9)) for r in out}
+    assert got == {("FCE", "A1A2"): (0.8, 1.0, -0.2), ("FCE", "B1B2"): (1.3, 1.0, 0.3), ("IELTS", "A1A2"): (0.5, None, None)}
+
+
 def test_several_runs_of_a_kind_fail(spark):
     rows = [("m", 50, True, 1.0), ("m", 50, True, 2.0), ("m", 50, False, 3.0)]
     table = spark.createDataFrame(rows, "model string, shots int, adapted boolean, rmse double")

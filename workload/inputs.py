@@ -112,6 +112,16 @@ def run_name() -> Column:
     )
 
 
+def band_run_name(source: str) -> Column:
+    """Place of a run of a band, or of its base run, from the number of its source."""
+    k = F.substring(source, 4, 10).cast("int") % 12
+    shots = _element(["50", "100", "200"], F.floor(k / 4) % 3)
+    band = _element(["a1a2", "b1b2", "b2c1"], k % 4 - 1)
+    return F.when(k % 4 == 0, F.concat(F.lit("Transfer/FCE-_IELTS/base/BERT_"), shots)).otherwise(
+        F.concat(F.lit("Ablation/Transfer/FCE-_IELTS/"), band, F.lit("_"), shots)
+    )
+
+
 def saved_predictions(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
     noise = ((F.col("doc_id") * 37) % 101 - 50) / F.lit(25.0)

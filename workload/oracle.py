@@ -571,6 +571,19 @@ ORACLE["q43_adapted_against_base"] = with_inputs("saved", f"""
 with {_run_metrics}
 select experiment, target, model, shots, {_change}
 from wide group by experiment, target, model, shots having count(distinct adapted) = 2""")
+ORACLE["q43_bands_against_base"] = with_inputs("predictions", """
+with placed as (select *, cast(substr(run_id, 4) as integer) % 12 as k from predictions),
+errors as (
+    select k % 4 as kind, ['50', '100', '200'][k // 4 % 3 + 1] as shots,
+           sqrt(avg((gold - pred) * (gold - pred))) as rmse, corr(gold, pred) as pearson
+    from placed group by all),
+base as (select shots, rmse, pearson from errors where kind = 0)
+select 'FCE' as source, 'IELTS' as target, cast(e.shots as integer) as shots,
+       ['A1A2', 'B1B2', 'B2C1'][kind] as band,
+       round(e.rmse, 9) as adapted_rmse, round(b.rmse, 9) as base_rmse, round(e.rmse - b.rmse, 9) as rmse_change,
+       round(e.pearson, 9) as adapted_pearson, round(b.pearson, 9) as base_pearson,
+       round(e.pearson - b.pearson, 9) as pearson_change
+from errors e left join base b on e.shots = b.shots where kind > 0""")
 _cells = ", ".join(f"round(max(case when shots = {n} then rmse end), 9) as rmse_{n}" for n in (50, 100, 200))
 ORACLE["q44_transfer_grid"] = with_inputs("saved", f"""
 with {_run_metrics}

@@ -451,6 +451,15 @@ def q43_adapted_against_base(spark, folder):
     )
 
 
+@query
+def q43_bands_against_base(spark, folder):
+    """Every fourth source is a base run, the others are runs of one band each."""
+    preds = inputs.predictions(spark, folder).select(inputs.band_run_name("run_id").alias("run_id"), "gold", "pred")
+    report = preds.groupBy("run_id").agg(*metrics.error_columns(F.col("gold"), F.col("pred")))
+    compared = comparison.bands_against_base(runs.run_dimensions(report), metrics=["rmse", "pearson"])
+    return rounded(compared)
+
+
 @query
 def q44_transfer_grid(spark, folder):
     wide = _saved_run_metrics(spark, folder).where(F.col("experiment") == "transfer")
