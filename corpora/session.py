@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_open_runs: list[str] = []
 
 
 def local_session(cores: int | str = "*", app: str = "corpora", memory: str = "8g") -> SparkSession:
@@ -45,9 +48,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[context.applicationId]
 
 
+@contextmanager
+def scratch_run(spark: SparkSession, label: str = "run") -> Iterator[str]:
+    """Keep the tables written meanwhile in one folder, which is deleted in the end.
+
+    Results that read these tables must be written or collected within the block.
+    """
+    folder = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _open_runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _open_runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, within the innermost open run if there is one."""
+    folder = _open_runs[-1] if _open_runs else scratch_dir(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

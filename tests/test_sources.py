@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions import scores as S
 from corpora.operators.hygiene import require_columns
-from corpora.session import scratch_dir
+from corpora.session import materialize, scratch_dir, scratch_path, scratch_run
 from corpora.sources import annotated, corpus_files, runs, sinks, tables
 
 
@@ -217,3 +217,11 @@ def test_suffixes_in_any_case(spark, tmp_path):
     corpora = corpus_files.make_corpora(spark, [str(tmp_path)])
     texts = {r.text for r in corpus_files.read_corpora(spark, corpora, "text").collect()}
     assert len(texts) == 5 and "text of c.Txt" in texts
+
+
+def test_a_run_s_tables_can_be_dropped(spark):
+    with scratch_run(spark) as folder:
+        rows = materialize(spark.range(5), "kept")
+        assert rows.count() == 5 and os.path.isdir(folder)
+        assert scratch_path(spark, "x").startswith(folder)
+    assert not os.path.isdir(folder) and not scratch_path(spark, "x").startswith(folder)
