@@ -28,23 +28,26 @@ from corpora.llm.expressions import let
 from corpora.llm.lookup import document_key, passing
 from corpora.session import materialize
 
-_BLANKS = r"[\x20\x09-\x0D]+"
+#: Runs of blanks within a line, but for single spaces.
+_BLANKS = r"(?:\x20[\x20\x09\x0B-\x0D]|[\x09\x0B-\x0D])[\x20\x09\x0B-\x0D]*+"
 _BLOCK = 64
 
 
-def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), _BLANKS, " "))
+def keyed_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``k`` (the document) and ``t`` (its text, empty for null)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(id).alias("id"), document_key(id, body).alias("k"), body.alias("t"))
 
 
-def line_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line that is not blank: its place, plain form and hashes."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(
-        F.col(id).alias("id"), document_key(id, body).alias("k"),
-        F.posexplode(F.split(body, "\n")).alias("n", "line"),
-    )
-    plain = lines.select("id", "k", "n", _plain(F.col("line")).alias("line")).where("line <> ''")
-    return plain.select(
+def line_table(texts: DataFrame) -> DataFrame:
+    """One row per line that is not blank: its place, plain form and hashes.
+
+    Case and blanks are folded in the whole text, before it is split.
+    """
+    plain = F.regexp_replace(F.lower("t"), _BLANKS, " ")
+    lines = texts.select("id", "k", F.posexplode(F.split(plain, "\n")).alias("n", "line"))
+    lines = lines.select("id", "k", "n", F.trim("line").alias("line")).where("line <> ''")
+    return lines.select(
         "*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
         F.struct(F.col("id").isNull().alias("z"), "id", "k", "n").alias("place"),
     )
@@ -144,29 +147,30 @@ def deletion_hashes(line: Column) -> Column:
     return let(_block_size(F.length(line) - 1), of_blocks)
 
 
-def _long_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near_texts(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     """First occurrences, with text, of lines that share a half with another line.
 
-    Lines are filtered where they are read by a table of hash buckets, which has a bounded
-    number of rows and is broadcast; what passes is joined exactly, on places that are unique.
+    Only documents that hold one of them are split again; they are filtered where they are read.
     """
     halves = distinct.where("keys is not null").select("h1", "h2", "first", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     near = materialize(halves.join(shared, "key", "left_semi").select("h1", "h2", "first").distinct(), "near-lines")
-    passed = passing(lines, "h1", near).select("h1", "h2", "line", F.col("k").alias("lk"), F.col("n").alias("ln"))
-    firsts = near.select(F.col("h1").alias("a"), F.col("h2").alias("b"), "first")
-    firsts = firsts.select("a", "b", "first", F.col("first.k").alias("fk"), F.col("first.n").alias("fn"))
+    holding = passing(texts, "k", near.select(F.col("first.k").alias("k")))
+    lines = line_table(holding).select("line", "h1", "h2", F.col("k").alias("lk"), F.col("n").alias("ln"))
+    firsts = near.select(
+        F.col("h1").alias("a"), F.col("h2").alias("b"), "first", F.col("first.k").alias("fk"), F.col("first.n").alias("fn")
+    )
     same = (
         (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))
         & (F.col("lk") == F.col("fk")) & (F.col("ln") == F.col("fn"))
     )
-    joined = passed.join(firsts, same).select("h1", "h2", "first", "line")
+    joined = lines.join(firsts, same).select("h1", "h2", "first", "line")
     return materialize(joined.dropDuplicates(["h1", "h2"]), "near-texts")
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     """Hashes of the distinct lines that have an earlier line within one edit."""
-    texts = _long_lines(lines, distinct)
+    texts = _near_texts(documents, distinct)
     size = F.length("line")
     deleted = F.transform(
         deletion_hashes(F.col("line")),
@@ -205,11 +209,11 @@ def deduplicated_lines(
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = line_table(docs, id, text)
-    distinct = materialize(distinct_lines(lines, near_from), "distinct-lines")
+    texts = keyed_texts(docs, id, text)
+    distinct = materialize(distinct_lines(line_table(texts), near_from), "distinct-lines")
     kept = distinct.select("h1", "h2", "first")
     if max_edits:
-        gone = near_lines(lines, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+        gone = near_lines(texts, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
         kept = kept.join(gone, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_anti")
     places = kept.groupBy(F.col("first.k").alias("_k")).agg(F.collect_list("first.n").alias("_kept"))
     body = F.coalesce(F.col(text), F.lit(""))
