@@ -38,7 +38,7 @@ CANDIDATES = {
     "phone": r"(?<![0-9+().-])\(?[0-9]{3,5}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,200}+(?![A-Za-z0-9_+/-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
 }
 _TITLES = ["Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor"]
@@ -174,7 +174,8 @@ def candidate_spans(text: Column, base: Column) -> Column:
     digits = text.rlike("[0-9]{2}")
     every = F.concat(
         _found_where(_any_of(text, ["dot)", "dot]", " dot "]), text, _pick(CANDIDATES, "email")),
-        _found_where(digits, text, _pick(CANDIDATES, "phone", "ssn", "iban", "secret")),
+        _found_where(digits, text, _pick(CANDIDATES, "phone", "ssn", "iban")),
+        _found_where(text.rlike("[A-Za-z0-9_+/-]{20}"), text, _pick(CANDIDATES, "secret")),
         _found_where(_any_of(text, _TITLES), text, _pick(CANDIDATES, "name")),
     )
     return F.filter(

@@ -132,3 +132,13 @@ def test_rules_on_nulls_repeats_and_empty_tables(spark):
     docs = docs.withColumn("rejected_by", F.lit(1)).withColumn("n_words", F.lit(2))
     assert [r.rejected_by for r in quality.judged(docs).collect()] == ["few_words"] * 3
     assert quality.judged(docs.limit(0)).count() == 0 and quality.quality_report(docs.limit(0)).count() == 0
+
+
+def test_secrets_depend_on_their_own_letters_only(spark):
+    keys = ["aB3dE5fG7hJ9kL1mN3pQ", "aB3" * 100, "abcdefghijklmnopqrstuvwx"]
+    texts = keys + [f"{key} and 12" for key in keys] + ["aB3dE5fG7hJ9kL1mN3p 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = docs.select("doc_id", pii.candidate_spans(F.col("text"), pii.base_spans(F.col("text"))).alias("s"))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.s] for r in spans.collect()}
+    sizes = [20, 300, 24]
+    assert got == {i: [("secret", 0, n)] for i, n in enumerate(sizes + sizes)} | {6: []}
