@@ -117,3 +117,27 @@ select c.doc_id, min(reached) as class_id,
        (select count(*) from e where e.a = c.doc_id) as n_links
 from c group by c.doc_id
 """
+
+ORACLE["op12_minhash_dedup"] = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), s as (
+    select distinct doc_id, array_to_string(list_slice(w, i, i + 1), ' ') as g
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as i from w where len(w) > 0)
+), z as (select doc_id, count(*) as size from s group by doc_id),
+b as (select a.doc_id as a, b.doc_id as b, count(*) as n
+      from s as a join s as b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (
+    select a, b from b join z as x on x.doc_id = a join z as y on y.doc_id = b
+    where 100 * n >= 80 * (x.size + y.size - n)
+), c(doc_id, reached) as (
+    select doc_id, doc_id from w
+    union select c.doc_id, e.b from c join e on c.reached = e.a
+)
+select c.doc_id, coalesce(any_value(z.size), 0) as n_shingles, min(reached) as component_id,
+       c.doc_id = min(reached) as kept
+from c left join z on z.doc_id = c.doc_id
+group by c.doc_id
+"""

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpora.llm import line_dedup, ngram_join, packing, pieces, pii, quality
-from corpora.llm import substring_dedup, token_counts, topk, warc
+from corpora.llm import alignment, line_dedup, minhash, ngram_join, packing, pieces, pii, quality
+from corpora.llm import substring_dedup, token_counts, topk, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -91,3 +92,20 @@ def op2_sentencepiece(spark, folder):
 def op5_substring_dedup(spark, folder):
     docs = table(spark, folder, "documents")
     return substring_dedup.repeated_passages(docs, words=50, threshold=0.8)
+
+
+@query
+def op11_token_alignment(spark, folder):
+    paths = [public_tokenizers.path(n) for n in (BYTE_TOKENIZER, PIECE_MODEL)]
+    return alignment.token_alignment(table(spark, folder, "documents"), *paths)
+
+
+@query
+def op12_minhash_dedup(spark, folder):
+    return minhash.minhash_near_duplicates(table(spark, folder, "documents"), percent=80, width=2)
+
+
+@query
+def op13_embedding_whitening(spark, folder):
+    found = whitening.whitened_embeddings(table(spark, folder, "embeddings"), components=4, scale=256)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
