@@ -32,27 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpora.llm.pieces import BLANK, load as load_pieces
 from corpora.llm.tokens import _byte_letters
 from corpora.session import materialize
 
-#: A run of white space and what follows it; no token of A crosses the places between.
-_UNITS = re.compile(r"\s*\S+|\s+")
-#: Python counts these as white space, the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_KEPT = 400_000
-_LONGEST_KEPT = 64
+# Fixed value: how byte-level tokenizers part a text.
+_BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A from, A to, B from, B to, and whether all of it is one group (else a group for each token).
-Run = tuple[int, int, int, int, bool]
+def irregular_groups(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Groups of more than two tokens, as first and last index in ``a`` and first and last in ``b``.
 
-
-def aligned_groups(a: list[int], b: list[int]) -> list[Run]:
-    """Groups of two ascending lists of ends that share the last one, stretches of single ones as one."""
-    out: list[Run] = []
+    Both lists of ends ascend and share their last one. Tokens outside these groups stand one to one.
+    """
+    first_a, last_a, first_b, last_b = [], [], [], []
     i, j, n = 0, 0, len(a)
     while i < n:
-        start, width = i, 1
+        width = 1
         while i < n and a[i : i + width] == b[j : j + width]:
             step = min(width, n - i)
             i, j, width = i + step, j + step, 2 * width
@@ -60,167 +54,194 @@ def aligned_groups(a: list[int], b: list[int]) -> list[Run]:
             width //= 2
             if a[i : i + width] == b[j : j + width]:
                 i, j = i + width, j + width
-        if i > start:
-            out.append((start, i, j - (i - start), j, False))
         if i < n:
-            p, q = i, j
-            while a[p] != b[q]:
-                if a[p] < b[q]:
-                    p += 1
+            first_a.append(i)
+            first_b.append(j)
+            one, two = a[i], b[j]
+            while one != two:
+                if one < two:
+                    i += 1
+                    one = a[i]
                 else:
-                    q += 1
-            out.append((i, p + 1, j, q + 1, True))
-            i, j = p + 1, q + 1
-    return out
+                    j += 1
+                    two = b[j]
+            last_a.append(i)
+            last_b.append(j)
+            i, j = i + 1, j + 1
+    return first_a, last_a, first_b, last_b
 
 
 class _Cut:
-    """Ids and byte lengths of a tokenizer's tokens, unit by unit through a cache."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def of_units(self, units: list[str]) -> tuple[bytes, bytes] | None:
-        """Packed ids and lengths, or None if the bytes of some unit are others."""
-        if len(self.known) > _KEPT:
-            self.known.clear()
-        known, ids, lengths = self.known, [], []
-        for unit in units:
-            if unit in known:
-                value = known[unit]
-            else:
-                value = self.cut(unit)
-                if len(unit) <= _LONGEST_KEPT:
-                    known[unit] = value
-            if value is None:
-                return None
-            ids.append(value[0])
-            lengths.append(value[1])
-        return b"".join(ids), b"".join(lengths)
-
-    def _checked(self, ids: list[int], spelled: list[bytes], unit: bytes) -> tuple[bytes, bytes] | None:
-        parts = [spelled[i] for i in ids]
-        if b"".join(parts) != unit:
-            return None
-        return np.array(ids, "<u4").tobytes(), np.array([len(p) for p in parts], "<u4").tobytes()
+    """A tokenizer with the bytes of its tokens; ``encode`` gives the ids of a whole text."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.spelled, self.sizes = spelled, np.array(list(map(len, spelled)), dtype=np.int64)
+
+    def encode(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def tokens(self, text: str, whole: bytes) -> np.ndarray | None:
+        """Ids of a text, or None if their bytes are not ``whole``."""
+        ids = self.encode(text)
+        return np.array(ids, dtype=np.int64) if b"".join(map(self.spelled.__getitem__, ids)) == whole else None
+
+    def ends(self, ids: np.ndarray) -> list[int]:
+        return self.sizes[ids].cumsum().tolist()
 
 
 class ByteTokens(_Cut):
-    """Tokens of a byte-level BPE file; its special strings are ordinary text."""
+    """Tokens of a byte-level BPE file, of a blank and the text; special strings are ordinary text.
+
+    Where the ids of its merged tokens rise in the order of merges, ``tiktoken`` gives the same ids for the same
+    table in a seventh of the time. Only texts of plain characters without very long runs go there.
+    """
+
+    #: Others than those of old Unicode blocks, which both libraries class alike.
+    _other = re.compile("[^\t\n\r -~\xa1-\u024f‐-‧‰-⁞€]")
+    _run = re.compile(r"\S{10000}|\s{10000}")
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
-        splitter = config.get("pre_tokenizer") or {}
-        self.by_units = (
-            config.get("normalizer") is None
-            and splitter.get("type") == "ByteLevel"
-            and bool(splitter.get("use_regex"))
-            and not splitter.get("add_prefix_space")
-        )
         bytes_of = {c: b for b, c in _byte_letters().items()}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spelled = [b""] * (max(names.values()) + 1)
+        special = {t["content"] for t in config.get("added_tokens") or []}
+        spelled = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
-            plain = all(c in bytes_of for c in name)
-            self.spelled[i] = bytes(map(bytes_of.__getitem__, name)) if plain else name.encode()
+            spelled[i] = name.encode() if name in special else bytes(map(bytes_of.__getitem__, name))
+        super().__init__(spelled)
+        ranks = {spelled[i]: i for name, i in names.items() if name not in special}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if _is_ranked(config) else None
 
-    def cut(self, unit: str) -> tuple[bytes, bytes] | None:
-        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        return self._checked(ids, self.spelled, unit.encode())
-
-    def tokens(self, text: str) -> tuple[bytes, bytes] | None:
+    def encode(self, text: str) -> list[int]:
         text = " " + text
-        if not self.by_units or _ODD.search(text):
-            return self.cut(text)
-        return self.of_units(_UNITS.findall(text))
+        if self.fast is None or self._other.search(text) or len(text) > 10000 and self._run.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
+def _is_ranked(config: dict) -> bool:
+    """Whether a file is plain byte-level BPE whose merges give the ids after the 256 bytes' in their order."""
+    model, split = config["model"], config.get("pre_tokenizer") or {}
+    vocab = model["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    return (
+        config.get("normalizer") is None
+        and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
+        and sorted(vocab[c] for c in _byte_letters().values()) == list(range(256))
+        and all(vocab.get(name) == 256 + i for i, name in enumerate(merged))
+        and not model.get("dropout") and not model.get("ignore_merges")
+    )
 
 
 class PieceTokens(_Cut):
-    """Tokens of a sentencepiece model; units are those between which no piece crosses."""
-
-    _units = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+    """Tokens of a sentencepiece model, which puts a blank before the text."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.pieces = load_pieces(path)
-        library = self.pieces.library
-        self.spelled = [library.id_to_piece(i).replace(BLANK, " ").encode() for i in range(library.vocab_size())]
-        for b, i in enumerate(self.pieces.bytes):
-            self.spelled[i] = bytes([b])
-
-    def cut(self, unit: str) -> tuple[bytes, bytes] | None:
-        ids = np.frombuffer(self.pieces.unit(unit), "<u4").tolist()
-        return self._checked(ids, self.spelled, unit.replace(BLANK, " ").encode())
-
-    def tokens(self, text: str) -> tuple[bytes, bytes] | None:
-        if BLANK in text:  # spelled as a blank, so the bytes differ
-            return None
-        return self.of_units(self._units.findall(BLANK + text.replace(" ", BLANK)))
-
-
-_loaded: dict[tuple, _Cut] = {}
-
-
-def _tokens(kind: type, path: str):
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
-
-
-def linked_pairs(a: np.ndarray, b: np.ndarray, groups: list[Run]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs (A above B in 64 bits) of the groups, and the links of each."""
-    pairs, weights = [], []
-    some_a, some_b = [], []
-    for p, q, r, s, one in groups:
-        if not one:
-            pairs.append(a[p:q] << 32 | b[r:s])
-            weights.append(np.ones(q - p, dtype=np.int64))
-        elif (q - p) * (s - r) <= 64:
-            for x in a[p:q].tolist():
-                some_a += [x] * (s - r)
-                some_b += b[r:s].tolist()
-        else:  # a long group: its distinct ids only
-            x, n = np.unique(a[p:q], return_counts=True)
-            y, m = np.unique(b[r:s], return_counts=True)
-            pairs.append((x[:, None] << 32 | y[None, :]).ravel())
-            weights.append((n[:, None] * m[None, :]).ravel())
-    pairs.append(np.array(some_a, dtype=np.int64) << 32 | np.array(some_b, dtype=np.int64))
-    weights.append(np.ones(len(some_a), dtype=np.int64))
-    found, place = np.unique(np.concatenate(pairs), return_inverse=True)
-    return found, np.bincount(place, np.concatenate(weights), len(found)).astype(np.int64)
-
-
-def groups_text(a: list[int], b: list[int], groups: list[Run]) -> str:
-    """All groups in order: A ids, a bar and B ids each, with semicolons between."""
-    one, two = list(map(str, a)), list(map(str, b))
-    parts = []
-    for p, q, r, s, single in groups:
-        if single:
-            parts.append(",".join(one[p:q]) + "|" + ",".join(two[r:s]))
-        else:
-            parts += map("|".join, zip(one[p:q], two[r:s]))
-    return ";".join(parts)
-
-
-def _aligned(first: ByteTokens, second: PieceTokens, text: str) -> tuple:
-    """``n_a``, ``n_b``, ``n_groups``, ``n_links``, the groups' digest, pairs and their links."""
-    cut_a = first.tokens(text) if text else None
-    cut_b = second.tokens(text) if cut_a else None
-    if not cut_b:
-        return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    (a, lengths_a), (b, lengths_b) = ([np.frombuffer(x, "<u4").astype(np.int64) for x in cut] for cut in (cut_a, cut_b))
-    groups = aligned_groups(lengths_a.cumsum().tolist(), lengths_b.cumsum().tolist())
-    pairs, links = linked_pairs(a, b, groups)
-    count = sum(1 if one else q - p for p, q, _, _, one in groups)
-    digest = hashlib.sha256(groups_text(a.tolist(), b.tolist(), groups).encode()).hexdigest()
-    return len(a), len(b), count, int(links.sum()), digest, pairs, links
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = library = SentencePieceProcessor(model_file=path)
+        spelled = [library.id_to_piece(i).replace("▁", " ").encode() for i in range(library.vocab_size())]
+        for b in range(256):
+            spelled[library.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
+        super().__init__(spelled)
+
+    def encode(self, text: str) -> list[int]:
+        return self.library.encode(text)
+
+
+def _ends_group(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of ``size`` tokens are the last of their group."""
+    inside = np.zeros(size + 1, dtype=np.int64)
+    inside[first] += 1
+    inside[last] -= 1
+    return inside[:-1].cumsum() == 0
+
+
+class Groups:
+    """The groups of two arrays of ids: ``closes_a``, ``closes_b`` mark the last tokens."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: list[int], ends_b: list[int]):
+        self.a, self.b = a, b
+        self.irregular = [np.array(x, dtype=np.int64) for x in irregular_groups(ends_a, ends_b)]
+        p, q, r, s = self.irregular
+        self.closes_a, self.closes_b = _ends_group(len(a), p, q), _ends_group(len(b), r, s)
+        self.to_a, self.to_b = np.flatnonzero(self.closes_a) + 1, np.flatnonzero(self.closes_b) + 1
+
+    def __len__(self) -> int:
+        return len(self.to_a)
+
+    def linked_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct id pairs (A above B in 64 bits) of the groups, and the links of each."""
+        p, q, r, s = self.irregular
+        wide, high = q - p + 1, s - r + 1
+        single = [np.ones(len(x), dtype=bool) for x in (self.a, self.b)]
+        for mask, first, last in ((single[0], p, q), (single[1], r, s)):
+            mask[~_ends_group(len(mask), first, last)] = False
+            mask[last] = False
+        short = wide * high <= 64
+        n = (wide * high)[short]
+        place = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        rows, columns = place // np.repeat(high[short], n), place % np.repeat(high[short], n)
+        some_a, some_b = self.a[np.repeat(p[short], n) + rows], self.b[np.repeat(r[short], n) + columns]
+        # tokens that stand one to one follow each other alike on both sides
+        pairs = np.concatenate([self.a[single[0]] << 32 | self.b[single[1]], some_a << 32 | some_b])
+        found, links = np.unique(pairs, return_counts=True)
+        more = [self._long(*group) for group in zip(*(x[~short].tolist() for x in self.irregular))]
+        if more:
+            found, place = np.unique(np.concatenate([found, *[x for x, _ in more]]), return_inverse=True)
+            weights = np.concatenate([links, *[n for _, n in more]])
+            links = np.bincount(place, weights, len(found)).astype(np.int64)
+        return found, links
+
+    def _long(self, p: int, q: int, r: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the distinct ids of a long group, and their links."""
+        x, n = np.unique(self.a[p : q + 1], return_counts=True)
+        y, m = np.unique(self.b[r : s + 1], return_counts=True)
+        return (x[:, None] << 32 | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()
+
+    def text(self, names: list[str], first_of_b: int) -> str:
+        """All groups in order: ids of A, a bar and ids of B each, with semicolons between.
+
+        ``names`` holds for each id of A its text with a comma and with a bar, and from ``first_of_b``
+        on each id of B with a comma and with a semicolon.
+        """
+        before_a = np.concatenate([[0], self.to_a[:-1]])
+        before_b = np.concatenate([[0], self.to_b[:-1]])
+        order = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        order[np.arange(len(self.a)) + np.repeat(before_b, self.to_a - before_a)] = 2 * self.a + self.closes_a
+        order[np.arange(len(self.b)) + np.repeat(self.to_a, self.to_b - before_b)] = first_of_b + 2 * self.b + self.closes_b
+        return "".join(map(names.__getitem__, order.tolist()))[:-1]
+
+
+class Aligner:
+    """Both tokenizers of a worker."""
+
+    def __init__(self, tokenizer: str, model: str):
+        self.first, self.second = ByteTokens(tokenizer), PieceTokens(model)
+        sizes = len(self.first.spelled), len(self.second.spelled)
+        self.names = [f"{i}{end}" for size, ends in zip(sizes, (",|", ",;")) for i in range(size) for end in ends]
+
+    def align(self, text: str) -> tuple:
+        """``n_a``, ``n_b``, ``n_groups``, ``n_links``, the groups' digest, pairs and their links."""
+        whole = (" " + text).encode()
+        a = self.first.tokens(text, whole) if text else None
+        b = self.second.tokens(text, whole) if a is not None else None
+        if b is None:
+            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        groups = Groups(a, b, self.first.ends(a), self.second.ends(b))
+        pairs, links = groups.linked_pairs()
+        named = groups.text(self.names, 2 * len(self.first.spelled))
+        return len(a), len(b), len(groups), int(links.sum()), hashlib.sha256(named.encode()).hexdigest(), pairs, links
+
+
+_aligners: dict[tuple[str, str], Aligner] = {}
 
 
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -231,12 +252,14 @@ def aligned_tokens(docs: DataFrame, tokenizer: str, model: str, id: str, text: s
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _tokens(ByteTokens, tokenizer), _tokens(PieceTokens, model)
+        if (tokenizer, model) not in _aligners:
+            _aligners[tokenizer, model] = Aligner(tokenizer, model)
+        aligner = _aligners[tokenizer, model]
         for batch in batches:
             name = uuid.uuid4().hex
-            for at in range(0, batch.num_rows, 1024):  # results are wider than texts
-                part = batch.slice(at, 1024)
-                made = list(zip(*[_aligned(first, second, t.as_py()) for t in part.column("t")]))
+            for at in range(0, batch.num_rows, 512):  # results are wider than texts
+                part = batch.slice(at, 512)
+                made = list(zip(*[aligner.align(t.as_py()) for t in part.column("t")]))
                 columns = [part.column("id"), pa.array([f"{name}{at + i}" for i in range(part.num_rows)])]
                 columns += [pa.array(x, pa.int64()) for x in made[:4]]
                 columns += [pa.array(made[4], pa.string())]

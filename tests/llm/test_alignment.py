@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -110,14 +111,14 @@ def test_groups_of_random_ends():
         a, b = random_ends(rng, last), random_ends(rng, last)
         if rng.random() < 0.3:
             b = sorted({*a} ^ {x for x in rng.sample(a, min(2, len(a))) if x != last})
-        got = []
-        for p, q, r, s, one in alignment.aligned_groups(a, b):
-            got += [(a[p:q], b[r:s])] if one else [([x], [y]) for x, y in zip(a[p:q], b[r:s])]
+        groups = alignment.Groups(np.arange(len(a)), np.arange(len(b)), a, b)
+        bounds = [zip([0, *x[:-1]], x) for x in (groups.to_a.tolist(), groups.to_b.tolist())]
+        got = [(a[p:q], b[r:s]) for (p, q), (r, s) in zip(*bounds)]
         want, low = [], 0
         for end in sorted({*a} & {*b}):
             want.append(tuple([e for e in ends if low < e <= end] for ends in (a, b)))
             low = end
-        assert got == want
+        assert got == want and len(groups) == len(want)
 
 
 def test_long_text(spark, libraries):
