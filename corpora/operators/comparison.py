@@ -25,8 +25,11 @@ def adapted_against_base(
     """Adapted and base value of each metric side by side, with their difference.
 
     One row per group that has both kinds of run. A group with several runs of one
-    kind fails: add the key that tells them apart.
+    kind fails: add the key that tells them apart. So does a run of which it is not
+    known whether it is adapted.
     """
+    unknown = F.raise_error(F.lit(f"a run has no {adapted} flag")).cast("boolean")
+    runs = runs.withColumn(adapted, F.coalesce(F.col(adapted), unknown))
     columns = []
     for metric in metrics:
         with_it = _of_one_run(F.col(adapted), F.col(metric), by)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +58,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: Sequence[str], salts: i
 
     ``groups`` has one row per key and is small beside the rows; it is repeated per
     salt, so that the rows of one key meet it in several tasks. Equal rows of
-    different partitions get different salts.
+    different partitions get different salts. Missing keys match each other.
     """
     salt = F.pmod(F.spark_partition_id() + F.hash(*rows.columns), F.lit(salts))
     repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(repeated, [*key, "_salt"]).drop("_salt")
+    names = {name: f"_of_{name}" for name in [*key, "_salt"]}
+    salted, repeated = rows.withColumn("_salt", salt), repeated.withColumnsRenamed(names)
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in names.items()]
+    joined = salted.join(repeated, reduce(lambda a, b: a & b, same)).drop("_salt", *names.values())
+    return joined.select(*key, *[c for c in joined.columns if c not in key])
 
 
 def in_bands(rows: DataFrame, level: str, bands: dict[str, Sequence[str]]) -> DataFrame:
@@ -94,6 +99,6 @@ def between_words(rows: DataFrame, text: str, least: int, most: int | None = Non
 def mapped_codes(rows: DataFrame, code: str, codes: DataFrame) -> DataFrame:
     """Rows with a known code, with its value; codes match exactly, untrimmed.
 
-    ``codes`` is a fixed table of score codes, hence the broadcast.
+    ``codes`` is a short table of score codes, which Spark broadcasts if it is small.
     """
-    return rows.join(F.broadcast(codes.withColumnRenamed("code", code)), code)
+    return rows.join(codes.withColumnRenamed("code", code), code)

@@ -68,6 +68,27 @@ def corpus_statistics(tallied: DataFrame) -> DataFrame:
     )
 
 
+def type_sketches(texts: DataFrame, lowercase: bool = True, corpus: str = "corpus", text: str = "text", bits: int = 12) -> DataFrame:
+    """``(corpus, types)``: a mergeable sketch of the distinct words of each corpus.
+
+    A sketch has at most 2 ** ``bits`` small registers, whatever the vocabulary, so words are not shuffled:
+    each task sends one sketch per corpus. Sketches of parts, days or corpora merge by
+    :func:`merged_types` into that of the whole.
+    """
+    words = texts.select(F.col(corpus).alias("corpus"), F.explode(T.words(F.col(text), lowercase)).alias("word"))
+    return words.groupBy("corpus").agg(F.hll_sketch_agg("word", bits).alias("types"))
+
+
+def merged_types(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, types)``: one sketch for each group of sketches, of any sizes."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("types", F.lit(True)).alias("types"))
+
+
+def estimated_types(sketch: Column) -> Column:
+    """Number of distinct words that a sketch has seen, within a few standard errors of 1.04 / 2 ** (bits / 2)."""
+    return F.hll_sketch_estimate(sketch)
+
+
 def top_words(tallied: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent words per corpus with rank, share and statistics.
 

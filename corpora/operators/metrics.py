@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpora.functions.ordering import value_bucket
 from corpora.functions.scores import Scale, class_index
 from corpora.operators.hygiene import join_groups
+from corpora.session import materialize
 
 Bounds = tuple[Column, Column]
 
@@ -39,22 +40,32 @@ def error_columns(gold: Column, pred: Column) -> list[Column]:
     ]
 
 
-def weighted_error_columns(gold: Column, pred: Column, n: Column) -> list[Column]:
-    """:func:`error_columns` of distinct pairs of scores that stand for ``n`` rows each."""
-    gold, pred, total = gold.cast("double"), pred.cast("double"), F.sum(n)
+def pair_errors(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """:func:`error_columns` per group of :func:`score_pairs`: ``(*by, n, rmse, pearson)``.
+
+    The moments are taken around each group's means, which come first, so scores far
+    from zero lose no digits.
+    """
+    by, n = list(by), F.col("n")
 
     def mean(value: Column) -> Column:
-        return F.sum(n * value) / total
+        return F.sum(n * value) / F.sum(n)
 
+    sides = [F.col(c).cast("double") for c in ("gold", "pred")]
+    centres = pairs.groupBy(*by).agg(mean(sides[0]).alias("_gold"), mean(sides[1]).alias("_pred"))
+    centred = join_groups(pairs, centres, by)
+    gold, pred = sides[0] - F.col("_gold"), sides[1] - F.col("_pred")
+    # what rounding of the means leaves over
     spread = [F.greatest(mean(x * x) - mean(x) * mean(x), F.lit(0.0)) for x in (gold, pred)]
-    constant = (F.min(gold) == F.max(gold)) | (F.min(pred) == F.max(pred))
+    constant = (F.min("gold") == F.max("gold")) | (F.min("pred") == F.max("pred"))
     deviation = F.sqrt(spread[0]) * F.sqrt(spread[1])
     covariance = mean(gold * pred) - mean(gold) * mean(pred)
-    return [
-        total.alias("n"),
-        F.sqrt(mean((gold - pred) * (gold - pred))).alias("rmse"),
+    gap = sides[0] - sides[1]
+    return centred.groupBy(*by).agg(
+        F.sum(n).alias("n"),
+        F.sqrt(mean(gap * gap)).alias("rmse"),
         F.when(~constant & (deviation > 0), covariance / deviation).alias("pearson"),
-    ]
+    )
 
 
 def centred_ranks(
@@ -230,9 +241,10 @@ def score_metrics(
     # The keys travel as one struct, in which missing keys match each other.
     key = ["_run"]
     whole = preds.dropna(subset=["gold", "pred"]).select(F.struct(*by).alias("_run"), "gold", "pred")
-    # All measures follow from the counted pairs, so the rows are read and shuffled once.
-    pairs = score_pairs(whole, key)
-    errors = pairs.groupBy(*key).agg(*weighted_error_columns(F.col("gold"), F.col("pred"), F.col("n")))
+    # All measures follow from the counted pairs. They are written, so the rows are read and shuffled
+    # once, and what their keys were made of is in no later plan.
+    pairs = materialize(score_pairs(whole, key), "score-pairs")
+    errors = pair_errors(pairs, key)
     bounds = None
     if scales is not None:
         if not isinstance(scales, Scale):

@@ -69,6 +69,46 @@ def analyse_in_batches(
     return documents.mapInPandas(run, schema)
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def group_quantiles(
+    documents: DataFrame, group: str, features: Sequence[str], shares: Sequence[float] = QUARTILES
+) -> DataFrame:
+    """Exact quantiles per group and feature: ``(group, feature, p25, p50, p75)``, named by their shares.
+
+    Values between two ranks are interpolated. Distinct values are counted before the shuffle; a group's
+    counts meet in one task, which suits features of few values. :func:`quantile_sketches` bounds the rest.
+    """
+    columns = []
+    for name in features:
+        found = F.percentile(F.col(name).cast("double"), [float(s) for s in shares])
+        named = [F.get(found, F.lit(i)).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)]
+        columns.append(F.struct(F.lit(name).alias("feature"), *named))
+    per_group = documents.groupBy(F.col(group).alias("group")).agg(F.array(*columns).alias("_all"))
+    return per_group.select("group", F.inline("_all"))
+
+
+def quantile_sketches(documents: DataFrame, group: str, features: Sequence[str], k: int = 400) -> DataFrame:
+    """``(group, feature, sketch)``: a mergeable sketch of each feature's values.
+
+    A sketch keeps a few times ``k`` values, whatever the rows, and is made in each task, so a group of
+    any size sends a few kilobytes per task. The rank of a quantile it gives is off by less than
+    2.5 / ``k`` in 99 of 100 cases. Sketches of parts merge by :func:`merged_quantiles`.
+    """
+    sketches = [
+        F.struct(F.lit(name).alias("feature"), F.kll_sketch_agg_double(F.col(name).cast("double"), F.lit(k)).alias("sketch"))
+        for name in features
+    ]
+    per_group = documents.groupBy(F.col(group).alias("group")).agg(F.array(*sketches).alias("_all"))
+    return per_group.select("group", F.inline("_all"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """``(*by, sketch)``: one sketch for each group of sketches."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
 def group_profile(documents: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     """Per group and feature: ``(group, feature, n, mean, sd)``, in long form.
 

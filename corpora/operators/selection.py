@@ -122,10 +122,12 @@ def numbered_by_key(rows: DataFrame, key: str, name: str) -> DataFrame:
     Only the keys are ordered: they are written once, in ranges that Spark balances
     by sampling; each range is numbered on its own and shifted by the rows before it.
     The ranges are part of the written table, so a repeated task finds the same ones.
-    The rows get their number by a join on the key. Costly rows should be written
-    before, as they are read once for the keys and once for the join.
+    The rows get their number by a join on the key and are written nowhere; they are
+    read twice, the first time without the columns that their selection does not need.
+    A row without a key has no place and fails.
     """
-    ranges = rows.select(key).repartitionByRange(F.col(key))
+    missing = F.raise_error(F.lit(f"a row has no {key} to be numbered by")).cast(dict(rows.dtypes)[key])
+    ranges = rows.select(F.coalesce(F.col(key), missing).alias(key)).repartitionByRange(F.col(key))
     placed = materialize(ranges.withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -22,19 +22,21 @@ def three_way_split(
     test: float = 0.15,
     dev_of_rest: float = 0.1765,
     seed: int = 42,
+    units: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``split``: test first, then dev out of the rest, the remainder train.
 
     With ``grouped`` the key is shared by several rows and all of them go to one
     split. Sizes round up, over groups or rows. Membership is a comparison of the
-    key's hash with two cuts, so a group of any size needs no join.
+    key's hash with two cuts, so a group of any size needs no join. ``units`` is a narrow
+    table of the keys of ``rows`` to find the cuts in, if these are costly to read twice.
     """
 
     def ranks(total: Column) -> list[Column]:
         first = _share(test, total)
         return [first, first + _share(dev_of_rest, total - first)]
 
-    units = rows.select(key)
+    units = (rows if units is None else units).select(key)
     units = units.distinct() if grouped else units
     order = order_hash(F.col(key), seed=seed)
     cuts = cuts_as_column(cut_points(units, order, ranks))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
-from corpora.operators.hygiene import between_words, in_groups, require_columns
+from corpora.operators.hygiene import between_words, in_groups, require_columns, require_rows
 from corpora.operators.linking import link_by_file, with_metadata
 from corpora.operators.selection import numbered_by_key
 from corpora.operators.splits import random_rows
@@ -30,19 +30,20 @@ def selected_documents(
     """Cleaned documents within word bounds, with ``doc_id``.
 
     Without an id column, ids number the selected documents in ``order``, a unique
-    key.
+    key. If no document is left it fails.
     """
     needed = [text, order] + [c for c in (id_column, group) if c is not None]
     require_columns(table, *needed)
     rows = table if group is None else in_groups(table, group, groups)
     # Words are counted on the raw text, which spares cleaning the texts left out.
     rows = between_words(rows.dropna(subset=[text]), text, min_words, max_words)
+    require_rows(rows, 1, "documents left after filtering")
     if sample_n is not None:
         rows = random_rows(materialize(rows, "counted"), order, sample_n, seed)
     rows = rows.withColumn(text, T.clean_document(F.col(text)))
     if id_column is not None:
         return rows.withColumn("doc_id", F.col(id_column).cast("string"))
-    numbered = numbered_by_key(materialize(rows, "documents"), order, "_number")
+    numbered = numbered_by_key(rows, order, "_number")
     place = F.col("_number") - 1
     name = F.concat(F.lit("doc_"), F.when(place < 1000000, F.lpad(place, 6, "0")).otherwise(place.cast("string")))
     return numbered.withColumn("doc_id", name).drop("_number")

@@ -29,6 +29,10 @@ def prepared_answers(answers: DataFrame, order: str) -> DataFrame:
 def split_answers(
     answers: DataFrame, order: str, test: float = 0.15, dev_of_rest: float = 0.1765, seed: int = 42
 ) -> DataFrame:
-    """Prepared answers with their split; no script is in two splits."""
-    prepared = materialize(prepared_answers(answers, order), "answers")
-    return three_way_split(prepared, "script_id", True, test, dev_of_rest, seed)
+    """Prepared answers with their split; no script is in two splits.
+
+    The scripts' keys are written once, for the two passes that find the cuts; texts are not.
+    """
+    prepared = prepared_answers(answers, order)
+    scripts = materialize(prepared.select("script_id").distinct(), "scripts")
+    return three_way_split(prepared, "script_id", True, test, dev_of_rest, seed, scripts)

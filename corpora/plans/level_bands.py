@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
 from corpora.operators.hygiene import in_bands, require_columns
+from corpora.sources.sinks import write_parts, write_table
 
 # The bands of the study. B2_C1 overlaps with two others.
 BANDS = {
@@ -56,3 +57,25 @@ def band_summary(
             F.lit(tokenizer).alias("tokenizer"),
         )
     )
+
+
+def write_bands(banded: DataFrame, path: str, rows_per_file: int = 1_000_000, **summary: object) -> str:
+    """A folder of rows for each band and the summary of all, under ``path``; returns it.
+
+    The summary is made of the rows as written. ``summary`` are options of :func:`band_summary`.
+    """
+    rows = write_parts(banded, f"{path}/bands", "band", balanced=True, rows_per_file=rows_per_file)
+    spark = banded.sparkSession
+    write_table(band_summary(spark.read.parquet(rows), **summary), f"{path}/summary", "csv")
+    return path
+
+
+def read_bands(spark: SparkSession, path: str, bands: Sequence[str]) -> DataFrame:
+    """The rows of some bands; folders of others are not read."""
+    return spark.read.parquet(f"{path}/bands").where(F.col("band").isin(list(bands)))
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary that :func:`write_bands` left."""
+    kinds = "split string, n_rows bigint, total_tokens bigint, tokenizer string"
+    return spark.read.schema(kinds).options(header=True, escape='"').csv(f"{path}/summary")

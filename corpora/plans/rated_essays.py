@@ -46,8 +46,8 @@ def split_essays(
 ) -> DataFrame:
     """Essays of one task with their split.
 
-    The cleaned rows are written once, so that the two narrow passes which find the
-    cuts read keys and do not repeat the cleaning.
+    The keys of the cleaned rows are written once, for the two passes that find the cuts;
+    texts are not.
     """
-    chosen = materialize(cleaned.where(F.col(task) == task_type), "essays")
-    return three_way_split(chosen, order, seed=seed)
+    chosen = cleaned.where(F.col(task) == task_type)
+    return three_way_split(chosen, order, seed=seed, units=materialize(chosen.select(order), "essay-keys"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.functions import text as T
+from corpora.session import materialize
 
 
 def run_path(path: Column) -> Column:
@@ -104,13 +105,27 @@ def read_run_metrics(spark: SparkSession, root: str, files: str = "*_metrics.jso
     return run_dimensions(rows)
 
 
+def run_files(spark: SparkSession, root: str, files: str) -> DataFrame:
+    """``(file, run_id, split, target)``, a row for each file of saved runs, written once.
+
+    Only names are listed. What a path tells is worked out here, once for each file.
+    """
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=files)
+    file = F.col("_metadata.file_path")
+    run, split = run_place(file)
+    placed = listed.load(root).select(file.alias("file"), run.alias("run_id"), split.alias("split"))
+    return materialize(placed.withColumn("target", run_target(F.col("run_id"))), "run-files")
+
+
 def read_run_predictions(
     spark: SparkSession, root: str, files: str = "*_predictions.csv"
 ) -> DataFrame:
-    """Predictions of all runs under a folder: ``(run_id, split, target, gold, pred)``."""
+    """Predictions of all runs under a folder: ``(run_id, split, target, gold, pred)``.
+
+    Rows meet the table of files by the name of theirs.
+    """
     reader = spark.read.schema("gold double, pred double").options(
         header=True, recursiveFileLookup=True, pathGlobFilter=files
     )
-    run, split = run_place(F.col("_metadata.file_path"))
-    rows = reader.csv(root).select(run.alias("run_id"), split.alias("split"), "gold", "pred")
-    return rows.withColumn("target", run_target(F.col("run_id")))
+    rows = reader.csv(root).select(F.col("_metadata.file_path").alias("file"), "gold", "pred")
+    return rows.join(run_files(spark, root, files), "file").select("run_id", "split", "target", "gold", "pred")

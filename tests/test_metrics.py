@@ -198,3 +198,25 @@ def test_rows_with_one_score_do_not_count(spark):
     frame = spark.createDataFrame([(1.0, 2.0), (2.0, None), (None, 9.0), (3.0, 3.0)], "gold double, pred double")
     row = frame.agg(*metrics.error_columns(F.col("gold"), F.col("pred"))).collect()[0]
     assert row.n == 2 and abs(row.rmse - 0.5**0.5) < 1e-12 and row.pearson == 1.0
+
+
+def test_pearson_of_scores_far_from_zero(spark):
+    rng = np.random.default_rng(1)
+    gold = 1e8 + rng.integers(0, 9, 200)
+    pred = gold + rng.normal(0, 1, 200).round(3)
+    rows = spark.createDataFrame([("r", float(g), float(p)) for g, p in zip(gold, pred)], "run string, gold double, pred double")
+    got = metrics.score_metrics(rows, ["run"], None).collect()[0]
+    want = rows.groupBy("run").agg(*metrics.error_columns(F.col("gold"), F.col("pred"))).collect()[0]
+    assert got.pearson == pytest.approx(np.corrcoef(gold - 1e8, pred - 1e8)[0, 1], abs=1e-9)
+    assert got.pearson == pytest.approx(want.pearson, abs=1e-9) and got.rmse == pytest.approx(want.rmse)
+
+
+def test_runs_without_an_adapted_flag_fail(spark):
+    table = spark.createDataFrame([("m", 50, True, 1.0), ("m", 50, None, 2.0)], "model string, shots int, adapted boolean, rmse double")
+    with pytest.raises(Exception, match="no adapted flag"):
+        comparison.adapted_against_base(table, ["model", "shots"]).collect()
+
+
+def test_calibration_of_a_missing_group(spark):
+    rows = spark.createDataFrame([(None, 2.0 * x + 1, float(x)) for x in range(4)], "run string, gold double, pred double")
+    assert sorted(r.pred for r in modelling.calibrate(rows, rows, ["run"]).collect()) == pytest.approx([1.0, 3.0, 5.0, 7.0])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions.ordering import order_hash, value_bucket
 from corpora.operators import selection, splits
-from corpora.operators.hygiene import keep_first, require_rows
+from corpora.operators.hygiene import join_groups, keep_first, require_rows
 
 
 def digest(key, seed=42):
@@ -200,3 +200,12 @@ def test_row_guard(spark):
     assert require_rows(numbers(spark, 5), 5) is not None
     with pytest.raises(ValueError, match="too few texts: 5"):
         require_rows(numbers(spark, 5), 6, "texts")
+
+
+def test_rows_without_a_key_are_not_lost(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    with pytest.raises(Exception, match="no k to be numbered by"):
+        selection.numbered_by_key(rows, "k", "n").collect()
+    groups = spark.createDataFrame([("a", 10), (None, 20)], "k string, w int")
+    joined = join_groups(rows, groups, ["k"])
+    assert joined.columns == ["k", "v", "w"] and {tuple(r) for r in joined.collect()} == {("a", 1, 10), (None, 2, 20)}

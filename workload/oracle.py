@@ -93,6 +93,9 @@ select Essay as text, label from (select Essay, {number('Overall')} as label fro
 where Essay is not null and label is not null""")
 
 _missing = ", ".join(quoted(m) for m in MISSING)
+ORACLE["q03_labelled_csv"] = with_inputs("rated", f"""
+select Essay as text, label from (select Essay, {number('Overall')} as label from rated)
+where Essay not in ({_missing}) and label is not null""")
 ORACLE["q04_corpus_files"] = rf"""
 with lines as (
     select 'documents' as corpus,
@@ -172,6 +175,11 @@ with {_banded}
 select band as split, count(*) as n_rows, cast(sum(len({token_list('text')})) as bigint) as total_tokens,
        '{T.TOKENIZER}' as tokenizer
 from banded group by band""")
+ORACLE["q10_written_bands"] = with_inputs("learner", f"""
+with {_banded}
+select band, count(*) as n_rows, cast(sum(len({token_list('text')})) as bigint) as total_tokens,
+       '{T.TOKENIZER}' as tokenizer, count(*) as n_read, cast(sum(doc_id) as bigint) as sum_read
+from banded group by band""")
 
 _nul = "replace({}, chr(0), ' ')"
 ORACLE["q11_selected_documents"] = f"""
@@ -371,6 +379,13 @@ ORACLE["q19_word_counts"] = with_inputs("by_language", f"""
 with {tally('by_language')} select corpus, word, n from by_language_counts""")
 ORACLE["q19_corpus_statistics"] = with_inputs("downstream", f"""
 with {tally('downstream')} select * from downstream_stats""")
+ORACLE["q19_streamed_word_counts"] = ORACLE["q19_word_counts"]
+ORACLE["q19_streamed_statistics"] = with_inputs("by_language", f"""
+with {tally('by_language')} select * from by_language_stats""")
+ORACLE["q19_type_sketches"] = with_inputs("by_language", f"""
+with {tally('by_language')}
+select corpus, count(*) as n_types, true as within_bound from by_language_counts group by corpus
+union all select '*', count(distinct word), true from by_language_counts""")
 ORACLE["q29_content_words"] = with_inputs("by_language", f"""
 with {tally('by_language', True)} select corpus, word, n from by_language_counts""")
 
@@ -625,6 +640,11 @@ by_group as (
 ORACLE["q45_group_profile"] = f"""
 with {_long}
 select "group", feature, n, round(mean, 6) as mean, round(sd, 6) as sd from by_group"""
+ORACLE["q45_group_quantiles"] = f"""
+with {_long}
+select lang as "group", feature, round(quantile_cont(value, 0.25), 6) as p25,
+       round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75
+from long group by all"""
 ORACLE["q46_external_analyser"] = f"""
 with parts as (
     select doc_id, list_filter(string_split_regex(text, '[{T.SPACE}]+'), lambda x: x <> '') as parts
@@ -703,3 +723,70 @@ picked as (
 select doc_id, position, label, action, token as input from picked join vocabulary using (spot)
 union all
 select *, case action when 'mask' then '[MASK]' else label end from acted where action <> 'random'"""
+
+
+# --- regression ----------------------------------------------------------------------
+
+_MODEL_FEATURES = ["n_words", "n_sentences", "mean_sentence_length", "mean_word_length", "type_token_ratio"]
+
+
+def _list(item: str, size: int, name: str) -> str:
+    return f"list_transform(range(1, {size + 1}), lambda {name}: {item})"
+
+
+def regression(strengths: list[float]) -> str:
+    """Moments of the splits, models by elimination, and their errors, as the CTE ``path``."""
+    p = len(_MODEL_FEATURES)
+    values = ", ".join(f"cast({f} as double) as v{i}" for i, f in enumerate(_MODEL_FEATURES, 1))
+    known = " and ".join(f"{f} is not null" for f in _MODEL_FEATURES)
+    places = range(1, p + 2)
+    second = ", ".join("[" + ", ".join(f"covar_pop(v{i}, v{j})" for j in places) + "]" for i in places)
+    first = _list(
+        _list(f"case when j = {p + 1} then c[i][j] / sqrt(c[i][i]) when i = j then 1 + strength "
+              "else c[i][j] / sqrt(c[i][i] * c[j][j]) end", p + 1, "j"), p, "i")
+    step = _list(_list("case when i = k then a[i][j] / a[k][k] else a[i][j] - a[i][k] * a[k][j] / a[k][k] end", p + 1, "j"), p, "i")
+    return f"""
+{_surface},
+{three_way('documents', 'doc_id')},
+vectors as (
+    select split, {values}, cast(1.0 as double) + (n_chars % 17) * cast(0.5 as double) as v{p + 1}
+    from surface join (select doc_id, n_chars from documents) using (doc_id) join placed using (doc_id)
+    where {known}),
+moments as (
+    select split, count(*) as n, [{', '.join(f'avg(v{i})' for i in places)}] as m, [{second}] as c
+    from vectors group by split),
+train as (select m, c from moments where split = 'train'),
+steps(strength, k, a) as (
+    select strength, 1, {first} from train, (select unnest({strengths}::double[]) as strength)
+    union all select strength, k + 1, {step} from steps where k <= {p}),
+weights as (
+    select strength, m, {_list(f'a[i][{p + 1}] / sqrt(c[i][i])', p, 'i')} as w from steps, train where k = {p + 1}),
+models as (select strength, w, m[{p + 1}] - list_sum({_list('w[i] * m[i]', p, 'i')}) as b from weights),
+parts as (
+    select strength, split, n, c[{p + 1}][{p + 1}] as yy, list_sum({_list(f'w[i] * c[i][{p + 1}]', p, 'i')}) as xy,
+           list_sum({_list('list_sum(' + _list('w[i] * w[j] * c[i][j]', p, 'j') + ')', p, 'i')}) as xx,
+           m[{p + 1}] - b - list_sum({_list('w[i] * m[i]', p, 'i')}) as bias
+    from models, moments),
+path as (
+    select strength, split, n, sqrt(yy - 2 * xy + xx + bias * bias) as rmse, xy / sqrt(xx * yy) as pearson from parts)"""
+
+
+ORACLE["q48_penalty_path"] = f"""
+with recursive {regression([0.01, 0.1, 1.0])}
+select strength, split, n, round(rmse, 6) as rmse, round(pearson, 6) as pearson from path"""
+_prediction = " + ".join(["b", *[f"w[{i}] * v{i}" for i, _ in enumerate(_MODEL_FEATURES, 1)]])
+ORACLE["q48_score_regression"] = f"""
+with scored as (
+    with recursive {regression([0.01, 0.1, 1.0])},
+    best as (select strength from path where split = 'dev' order by rmse, strength limit 1)
+    select split, strength, v{len(_MODEL_FEATURES) + 1} as gold, round({_prediction}, 6) as pred
+    from models join best using (strength), vectors where split <> 'train'),
+{ranks('scored', 'split')},
+{kappas('scored', 'split', BAND)},
+errors as (
+    select split, any_value(strength) as strength, count(*) as n,
+           sqrt(avg((gold - pred) * (gold - pred))) as rmse, corr(gold, pred) as pearson
+    from scored group by split)
+select split, strength, n, round(rmse, 6) as rmse, round(pearson, 6) as pearson,
+       round(spearman, 6) as spearman, round(qwk, 6) as qwk
+from errors join spearmans using (split) join kappas using (split)"""

@@ -17,6 +17,7 @@ from corpora.plans import document_features, exam_answers, lexical_alignment, le
 from corpora.plans import rated_essays, run_comparison, token_budget
 from corpora.session import materialize, scratch_path
 from corpora.sources import annotated, corpus_files, runs, sinks, tables
+from corpora.streaming import word_counts
 from workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,13 @@ def q03_labelled_texts(spark, folder):
     return tables.labelled_texts(rated, "Essay", "score")
 
 
+@query
+def q03_labelled_csv(spark, folder):
+    rated = inputs.rated(spark, folder).withColumn("score", T.to_number(F.col("Overall")))
+    path = sinks.write_table(rated.select("Essay", "score"), scratch_path(spark, "labelled") + ".csv", "csv")
+    return tables.labelled_texts(tables.read_table(spark, path), "Essay", "score")
+
+
 @query
 def q04_corpus_files(spark, folder):
     root = scratch_path(spark, "corpus-files")
@@ -143,6 +151,19 @@ def q10_band_rows(spark, folder):
     return level_bands.banded_corpus(inputs.learner(spark, folder)).select("doc_id", "cefr", "band")
 
 
+@query
+def q10_written_bands(spark, folder):
+    """Bands and their summary written and read back, the rows of each band by its folder alone."""
+    banded = level_bands.banded_corpus(inputs.learner(spark, folder).select("doc_id", "text", "cefr"))
+    path = level_bands.write_bands(banded, scratch_path(spark, "bands"))
+    found = [level_bands.read_bands(spark, path, [band]).select("band", "doc_id") for band in level_bands.BANDS]
+    counted = tables.union_tables(*found).groupBy("band").agg(
+        F.count(F.lit(1)).alias("n_read"), F.sum("doc_id").alias("sum_read")
+    )
+    summary = level_bands.read_summary(spark, path).withColumnRenamed("split", "band")
+    return summary.join(counted, "band")
+
+
 @query
 def q11_selected_documents(spark, folder):
     docs = inputs.texts(spark, folder, "documents").withColumnRenamed("doc_id", "row_no")
@@ -290,6 +311,41 @@ def q19_corpus_statistics(spark, folder):
     return lexical.corpus_statistics(lexical.tally(inputs.downstream(spark, folder)))
 
 
+def _streamed(spark, folder):
+    """The tally of texts that arrive in three parts, with a new run of the stream for each."""
+    texts = inputs.corpora_by_language(spark, folder)
+    inbox, checkpoint = scratch_path(spark, "inbox"), scratch_path(spark, "stream")
+    for part in range(3):
+        texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part).write.mode("append").parquet(inbox)
+        word_counts.advance(word_counts.arriving(spark, inbox, texts.schema), checkpoint)
+    return word_counts.tallied(spark, checkpoint)
+
+
+@query
+def q19_streamed_word_counts(spark, folder):
+    return lexical.word_counts(_streamed(spark, folder))
+
+
+@query
+def q19_streamed_statistics(spark, folder):
+    return lexical.corpus_statistics(_streamed(spark, folder))
+
+
+@query
+def q19_type_sketches(spark, folder):
+    """Distinct words of each corpus and of all, by merged sketches, beside the exact numbers."""
+    texts = inputs.corpora_by_language(spark, folder)
+    bits = 12
+    sketches = materialize(lexical.type_sketches(texts, bits=bits), "sketches")
+    whole = lexical.merged_types(sketches).select(F.lit("*").alias("corpus"), "types")
+    counts = lexical.word_counts(materialize(lexical.tally(texts), "tally"))
+    exact = counts.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_types"))
+    of_all = counts.agg(F.count_distinct("word").alias("n_types")).select(F.lit("*").alias("corpus"), "n_types")
+    gap = F.abs(lexical.estimated_types(F.col("types")) - F.col("n_types")) / F.col("n_types")
+    both = exact.unionByName(of_all).join(sketches.unionByName(whole), "corpus")
+    return both.select("corpus", "n_types", (gap <= 4 * 1.04 / 2 ** (bits / 2)).alias("within_bound"))
+
+
 @query
 def q20_top_words(spark, folder):
     report = lexical_alignment.top_words_report(inputs.corpora_by_language(spark, folder), 50)
@@ -391,6 +447,7 @@ def q34_snapped_scores(spark, folder):
 # --- saved runs --------------------------------------------------------------------
 
 
+MODEL_FEATURES = [f for f in profile.SURFACE_FEATURES if f != "n_letters"]
 RUN_KEYS = ["run_id", "experiment", "source", "target", "model", "adapted", "shots", "split"]
 
 
@@ -484,6 +541,11 @@ def q45_group_profile(spark, folder):
     return rounded(profile.group_profile(_profile(spark, folder), "lang", profile.SURFACE_FEATURES), 6)
 
 
+@query
+def q45_group_quantiles(spark, folder):
+    return rounded(profile.group_quantiles(_profile(spark, folder), "lang", profile.SURFACE_FEATURES), 6)
+
+
 @query
 def q46_external_analyser(spark, folder):
     def analyse(batch: pd.DataFrame) -> pd.DataFrame:
@@ -509,8 +571,24 @@ def q47_closest_groups(spark, folder):
 # --- models and sequences ------------------------------------------------------------
 
 
+def _essay_features(spark, folder):
+    scored = inputs.texts(spark, folder, "documents").withColumn("score", inputs.band_score())
+    split = splits.three_way_split(scored, "doc_id").select("doc_id", "split", "text", "score")
+    return materialize(profile.surface_features(split).select("split", "score", *MODEL_FEATURES), "essay-features")
+
+
+@query
+def q48_penalty_path(spark, folder):
+    return rounded(modelling.penalty_path(_essay_features(spark, folder), MODEL_FEATURES)[0], 6)
+
+
 @query
 def q48_score_regression(spark, folder):
+    return rounded(modelling.feature_regression(_essay_features(spark, folder), MODEL_FEATURES, S.BAND), 6)
+
+
+@query
+def q48_hashed_text_regression(spark, folder):
     essays = materialize(
         splits.three_way_split(
             inputs.texts(spark, folder, "documents").withColumn("score", inputs.band_score()), "doc_id"
