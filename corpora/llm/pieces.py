@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ BLANK = "▁"
 #: Units that no piece crosses: a run of blanks and what follows it, or a line end.
 _UNITS = re.compile("▁*[^▁\n]+|▁+|\n")
 _NEVER = -np.inf
+#: Entries of a worker's caches, and about how many bytes of results it holds before it hands them on.
+_KEPT = 100_000
+_HELD = 4 << 20
+#: Ids that are spelled at once.
+_BLOCK = 1 << 16
 
 State = tuple[int, int]
 
@@ -111,7 +117,7 @@ class Pieces:
         if two[0] == BLANK and one[-1] != BLANK or "\n" in (one, two):
             return True
         if (one, two) not in self.fitting:
-            if len(self.fitting) > 500_000:
+            if len(self.fitting) > _KEPT:
                 self.fitting.clear()
             self.fitting[one, two] = self.merged(one + two) == [one, two]
         return self.fitting[one, two]
@@ -140,7 +146,7 @@ class Pieces:
 
     def encoded(self, plain: str) -> bytes:
         """Ids of a string that begins and ends where no piece crosses."""
-        if len(self.units) > 400_000:
+        if len(self.units) > _KEPT:
             self.units.clear()
         units, known = _UNITS.findall(plain), self.units
         try:
@@ -150,8 +156,9 @@ class Pieces:
 
     def decoded(self, ids: bytes) -> str:
         """The text of packed ids, without the blank put before it."""
-        whole = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return whole.decode(errors="replace").removeprefix(" ")
+        every, spell = np.frombuffer(ids, dtype="<u4"), self.spelled.__getitem__
+        blocks = [b"".join(map(spell, every[at : at + _BLOCK].tolist())) for at in range(0, len(every), _BLOCK)]
+        return b"".join(blocks).decode(errors="replace").removeprefix(" ")
 
 
 _loaded: dict[str, Pieces] = {}
@@ -313,6 +320,25 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of about ``_HELD`` bytes of a column, of a row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for row, size in enumerate(sizes.tolist()):
+            if held and held + size > _HELD:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
+def _tasks(chunks: int) -> int:
+    """A task for each chunk, or for a few if there are thousands."""
+    return max(1, min(chunks, 2000), chunks // 16)
+
+
 def _giant(rows: DataFrame, model: str, chunk: int) -> DataFrame:
     """``id``, ``ids`` of the texts in ``rows`` (``id``, ``t``), each dealt out as chunks."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -333,7 +359,8 @@ def _giant(rows: DataFrame, model: str, chunk: int) -> DataFrame:
     names = ["id", "name", "n", "low", "a", "b", "size", "s"]
     fields = f"id {kind}, name string, n int, low bigint, a bigint, b bigint, size bigint, s string"
     chunks = materialize(rows.mapInArrow(cut, fields), "chunks")
-    dealt = chunks.repartition(max(1, min(chunks.count(), 2000)), "name", "n")
+    tasks = _tasks(chunks.count())
+    dealt = chunks.repartition(tasks, "name", "n")
 
     def opened(row: dict) -> Chunk:
         # one character of padding keeps a chunk's own start from looking like the text's
@@ -366,7 +393,7 @@ def _giant(rows: DataFrame, model: str, chunk: int) -> DataFrame:
     )
     ends = made.groupBy("name").applyInPandas(chosen, "name2 string, n2 int, ends string")
     same = (F.col("name") == F.col("name2")) & (F.col("n") == F.col("n2"))
-    known = chunks.join(ends, same).drop("name2", "n2").repartition(max(1, min(chunks.count(), 2000)), "name", "n")
+    known = chunks.join(ends, same).drop("name2", "n2").repartition(tasks, "name", "n")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,10 +406,8 @@ def _giant(rows: DataFrame, model: str, chunk: int) -> DataFrame:
             yield _rows(columns, ["id", "name", "n", "ids"])
 
     traced = known.mapInArrow(trace, f"id {kind}, name string, n int, ids binary")
-    parts = F.array_sort(F.collect_list(F.struct("n", "ids")))
-    joined = traced.groupBy("name").agg(F.first("id").alias("id"), parts.alias("parts"))
-    ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return joined.select("id", ids.alias("ids"))
+    whole = F.expr("listagg(ids) within group (order by n)").alias("ids")  # joined at once
+    return traced.groupBy("name").agg(F.first("id").alias("id"), whole).select("id", F.coalesce("ids", F.lit(b"")).alias("ids"))
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], opened) -> Iterator[pa.RecordBatch]:
@@ -414,7 +439,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in batches:
+        for batch in _portions(batches, "t"):
             ids = [pieces.encoded(plain_form(t.as_py())) for t in batch.column("t")]
             yield _rows([batch.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -430,7 +455,7 @@ def decode(encoded: DataFrame, model: str, id: str = "doc_id") -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in batches:
+        for batch in _portions(batches, "ids"):
             ids = [i.as_py() for i in batch.column("ids")]
             columns = [batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64())]
             columns += [pa.array([zlib.crc32(i) for i in ids], pa.int64())]
