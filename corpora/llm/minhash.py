@@ -7,12 +7,15 @@ its own random order of all bins meets first among the filled ones (optimal dens
 signatures agree in a bin with a chance of the sets' similarity, whatever the sizes.
 
 Classes that agree in all values of a band share a bucket. A bucket gives a star of candidates, from
-its least class to each other member, not all pairs; members of several buckets have mostly the same
-centre there, so a group of near copies costs about an edge for each. Edges are confirmed on full
-sets. A star can miss a link between two members that its centre is not linked to. So in buckets
-whose members do not hang together yet, each member outside the bucket's largest component is a
-centre of its own and compared with the members of the other components. Links within one
-component change nothing and are never looked at.
+one member to each other, not all pairs. The centre is the member that meets most others in all its
+buckets: what a group was copied from, as a rule, and then the same one in most of them, so a group
+of near copies costs about an edge for each. Edges are confirmed on full sets. A star misses a link
+between two members that its centre is not linked to. So in buckets whose members do not hang
+together yet, a member outside the largest component is compared with those of all others, another
+one in each bucket and round, for ``rounds`` rounds or until there is none. Each round gives at most an
+edge for each member. Buckets of up to ``rounds`` such members are compared in full; pairs at the
+threshold share 13 buckets on average, each with centres of its own. Links within one component
+change nothing and are never looked at.
 
 At similarity 0.8 the chance that no band agrees is (1 - 0.8 ** rows) ** bands, 3 in ten million.
 
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpora.llm.components import components
-from corpora.llm.lookup import document_key, texts_of
+from corpora.llm.lookup import document_key, passing, texts_of
 from corpora.llm.shingles import mixed, shingle_hashes
 from corpora.session import materialize
 
@@ -43,7 +46,7 @@ _STAR = 256
 _hashes: dict[bytes, int] = {}
 
 
-def shingle_set(text: str, width: int = 2, limit: int = 500_000) -> np.ndarray:
+def shingle_set(text: str, width: int = 2, limit: int = 100_000) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text: A-Z lowered, words split at ASCII blanks."""
     if len(_hashes) > limit:
         _hashes.clear()
@@ -114,45 +117,55 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id: str, text
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``key``, ``f`` and ``least`` (the bucket's least class) of buckets of more than one class."""
-    members = classes.select(F.explode("keys").alias("key"), "f")
-    sizes = members.groupBy(F.col("key").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("least"))
-    return members.join(sizes.where("n > 1"), F.col("key") == F.col("s")).select("key", "f", "least")
+    """``key``, ``f``, ``size`` and ``met``, the members of all buckets that ``f`` is in, of shared buckets."""
+    members = classes.select(F.explode("keys").alias("key"), "f", "size")
+    sizes = members.groupBy(F.col("key").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(members.join(sizes, F.col("key") == F.col("s")).select("key", "f", "size", "n"), "minhash-shared")
+    met = shared.groupBy(F.col("f").alias("g")).agg(F.sum("n").alias("met"))
+    return shared.join(met, F.col("f") == F.col("g")).select("key", "f", "size", "met")
 
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """``a`` (the centre) and ``b`` of each bucket's star, each pair once."""
-    edges = members.where("f <> least").select(F.col("least").alias("a"), F.col("f").alias("b"))
-    return edges.distinct()
+def _comparable(percent: int) -> Column:
+    """Whether sets of ``size`` and of ``centre_size`` can be similar enough at all."""
+    return 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
 
 
-def edges_across(members: DataFrame, joined: DataFrame, compared: DataFrame) -> DataFrame:
-    """``a``, ``b``: pairs of a bucket from different components that were not compared yet.
+def star_edges(members: DataFrame, percent: int) -> DataFrame:
+    """``a`` and ``b``, the lesser first: each bucket's star about the member that meets most others.
 
-    Members outside the largest component of a bucket are centres; members of the others come to
-    them in blocks, so that no task holds a whole bucket.
+    What a group was copied from shares more buckets than its copies do, so it is their centre in
+    all buckets that it is in.
+    """
+    centres = members.groupBy(F.col("key").alias("s")).agg(F.max(F.struct("met", "f", "size")).alias("m"))
+    centres = centres.select("s", F.col("m.f").alias("centre"), F.col("m.size").alias("centre_size"))
+    return _edges(members.join(centres, F.col("key") == F.col("s")).where((F.col("f") != F.col("centre")) & _comparable(percent)))
+
+
+def _edges(met: DataFrame) -> DataFrame:
+    return met.select(F.least("f", "centre").alias("a"), F.greatest("f", "centre").alias("b")).distinct()
+
+
+def centres_outside(members: DataFrame, joined: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``key``, ``f``, ``size``, ``c`` (component) of buckets that do not hang together, and for each a
+    new centre ``s`` (the key), ``centre``, ``centre_size``, ``cc`` (its component).
+
+    A centre is a member outside the bucket's largest component that was none yet (``done`` has ``s`` and
+    ``centre``), another one in each bucket.
     """
     labels = joined.select(F.col("node").alias("m"), "component")
-    placed = members.select("key", "f").join(labels, F.col("f") == F.col("m"), "left")
-    placed = placed.select("key", "f", F.coalesce("component", "f").alias("c"))
+    placed = members.select("key", "f", "size").join(labels, F.col("f") == F.col("m"), "left")
+    placed = placed.select("key", "f", "size", F.coalesce("component", "f").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    per_key = sizes.groupBy(F.col("key").alias("s")).agg(
-        F.max(F.struct("n", "c"))["c"].alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")
+    largest = sizes.groupBy(F.col("key").alias("s")).agg(
+        F.max(F.struct("n", "c"))["c"].alias("largest"), F.count(F.lit(1)).alias("parts")
     )
-    mixed_keys = per_key.where("parts > 1").select("s", "largest", F.ceil(F.col("n") / _STAR).alias("blocks"))
+    mixed_keys = largest.where("parts > 1").select("s", "largest")
     placed = materialize(placed.join(mixed_keys, F.col("key") == F.col("s")).drop("s"), "mixed-buckets")
-    outside = placed.where("c <> largest").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
-        F.col("f").alias("a"), F.col("c").alias("ca"), F.lit(True).alias("out"),
-    )
-    others = placed.select(
-        "key", F.pmod(F.xxhash64("f"), F.col("blocks")).alias("block"),
-        F.col("f").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("largest")).alias("centre"),
-    )
-    # two centres meet once, from the lesser one
-    met = outside.join(others, ["key", "block"]).where("ca <> cb and (not centre or a < b)")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    was = (F.col("key") == F.col("s")) & (F.col("f") == F.col("centre"))
+    left = placed.where("c <> largest").join(done, was, "left_anti")
+    order = F.struct(F.xxhash64("key", "f"), "f", "size", "c")
+    centres = left.groupBy(F.col("key").alias("s")).agg(F.min(order).alias("m"))
+    return placed, centres.select("s", *[F.col(f"m.{x}").alias(y) for x, y in (("f", "centre"), ("size", "centre_size"), ("c", "cc"))])
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, similar) -> DataFrame:
@@ -174,17 +187,17 @@ def confirmed(edges: DataFrame, sets: DataFrame, similar) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, id: str, text: str) -> DataFrame:
     """``f`` and ``shingles`` of the classes of which ``wanted.k`` names a row."""
-    exact = texts_of(docs, wanted, id, text).select("t")
+    exact = texts_of(docs, wanted, id, text).select("t")  # one row for each key, and so for each class
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column("t")]
-            prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [prints, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["f", "shingles"]
-            )
+            for at in range(0, batch.num_rows, 512):  # sets are larger than texts
+                sets = [shingle_set(t.as_py(), width) for t in batch.column("t").slice(at, 512)]
+                prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([prints, lists], names=["f", "shingles"])
 
-    return exact.mapInArrow(make, "f binary, shingles array<bigint>").dropDuplicates(["f"])
+    return exact.mapInArrow(make, "f binary, shingles array<bigint>")
 
 
 def minhash_near_duplicates(
@@ -193,6 +206,7 @@ def minhash_near_duplicates(
     width: int = 2,
     bands: int = 64,
     rows: int = 7,
+    rounds: int = 2,
     id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -207,7 +221,8 @@ def minhash_near_duplicates(
 
     signed = materialize(signatures(docs, bands, rows, width, id, text), "minhash-signatures")
     classes = signed.where("f is not null").groupBy("f").agg(
-        F.min("id").alias("first"), F.min("k").alias("k"), F.any_value("keys").alias("keys")
+        F.min("id").alias("first"), F.min("k").alias("k"), F.any_value("keys").alias("keys"),
+        F.any_value("n_shingles").alias("size"),
     )
     classes = materialize(classes, "minhash-classes")
     members = materialize(buckets(classes), "minhash-buckets")
@@ -217,14 +232,24 @@ def minhash_near_duplicates(
         keys = classes.join(ends, F.col("f") == F.col("w"), "left_semi").select("k")
         return _sets_of(docs, keys, width, id, text)
 
-    stars = materialize(star_edges(members), "minhash-stars")
-    sets = materialize(wanted(stars), "minhash-sets")
-    links = materialize(confirmed(stars, sets, similar), "minhash-links")
+    edges = materialize(star_edges(members, percent), "minhash-stars")
+    # every member of a bucket is an end of its star, so no other sets are needed later
+    sets = materialize(wanted(edges), "minhash-sets")
+    links = materialize(confirmed(edges, sets, similar), "minhash-links")
     joined = materialize(components(links), "minhash-components")
-    # every member of a bucket is an end of its star, so its set is there already
-    across = materialize(edges_across(members, joined, stars), "minhash-across")
-    more = materialize(confirmed(across, sets, similar), "minhash-links")
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    done = members.select(F.col("key").alias("s"), F.col("f").alias("centre")).limit(0)
+    for _ in range(rounds):
+        placed, centres = centres_outside(members, joined, done)
+        centres = materialize(centres, "minhash-centres")
+        if centres.isEmpty():
+            break
+        met = placed.join(centres, F.col("key") == F.col("s")).where((F.col("c") != F.col("cc")) & _comparable(percent))
+        fresh = materialize(_edges(met).join(edges, ["a", "b"], "left_anti"), "minhash-stars")
+        ends = fresh.select(F.explode(F.array("a", "b")).alias("w")).select(F.xxhash64("w").alias("h"))
+        needed = passing(sets.withColumn("h", F.xxhash64("f")), "h", ends).drop("h")
+        links = links.unionByName(materialize(confirmed(fresh, needed, similar), "minhash-links"))
+        joined = materialize(components(links), "minhash-components")
+        done, edges = done.unionByName(centres.select("s", "centre")), edges.unionByName(fresh)
     firsts = classes.select("f", "first").join(joined, F.col("f") == F.col("node"))
     least = firsts.groupBy("component").agg(F.min("first").alias("least"))
     found = joined.join(least, "component").select(F.col("node").alias("f"), "least")
