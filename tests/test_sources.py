@@ -89,6 +89,57 @@ def test_read_corpora(spark, tmp_path):
         corpus_files.discovered_files(spark, [str(tmp_path / "absent")])
 
 
+def test_many_paths_take_one_scan(spark, tmp_path):
+    put(tmp_path / "r/a/one.csv", 'id,text\n1,"x, y"\n2,z\n')
+    put(tmp_path / "r/a/two.csv", '\ufeff"text","other, column",more\nleft,1,2\ntext,"other, column",more\n" kept ",3\n')
+    put(tmp_path / "r/b c/three.txt", "line\n")
+    put(tmp_path / "r/unused/four.csv", "no,such\n1,2\n")
+    spark.createDataFrame([("p",), (None,)], "text string").write.parquet(str(tmp_path / "r/a/t.parquet"))
+    root = str(tmp_path / "r")
+    rows = [("all", f"{root}/a"), ("all", f"file://{root}/b c/"), ("one", f"{root}/a/one.csv"), ("one", f"{root}/b c/three.txt")]
+    table = spark.createDataFrame(rows, "corpus string, path string")
+    os.remove(tmp_path / "r/unused/four.csv")
+    got = sorted(map(tuple, corpus_files.read_corpora(spark, table, "text", root=root).collect()))
+    a, b, one, three = (path for _, path in rows)
+    assert got == sorted([
+        ("all", a, "left"), ("all", a, "kept"), ("all", a, "x, y"), ("all", a, "z"), ("all", a, "p"), ("all", b, "line"),
+        ("one", one, "x, y"), ("one", one, "z"), ("one", three, "line"),
+    ])
+    put(tmp_path / "r/unused/four.csv", "no,such\n1,2\n")
+    with pytest.raises(ValueError, match=r"\['text'\] not found in .*four.csv"):
+        corpus_files.read_corpora(spark, table, "text", root=root)
+    with pytest.raises(ValueError, match="root folder"):
+        corpus_files.read_corpora(spark, table, "text")
+
+
+def test_the_plan_does_not_grow_with_the_paths(spark, tmp_path):
+    for n in range(40):
+        put(tmp_path / f"d{n}/t.txt", f"text {n}\n")
+
+    def plan(count):
+        corpora = [corpus_files.Corpus(f"c{n}", (str(tmp_path / f"d{n}"),)) for n in range(count)]
+        texts = corpus_files.read_corpora(spark, corpora)
+        assert texts.count() == count
+        return [line.split("(")[0].split("[")[0].split("#")[0].strip() for line in texts._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+
+    assert plan(2) == plan(40)
+
+
+def test_manifest_as_a_table(spark, tmp_path):
+    put(tmp_path / "r/a.txt", "one\n")
+    put(tmp_path / "r/b/c.txt", "two\n")
+    manifest = put(tmp_path / "m.csv", f"name,path\nB,{tmp_path}/r/b\nA,{tmp_path}/r/a.txt\nB,{tmp_path}/r/a.txt\n,x\n")
+    texts = corpus_files.read_corpora(spark, corpus_files.manifest_table(spark, manifest), root=str(tmp_path / "r"))
+    assert sorted((r.corpus, r.text) for r in texts.collect()) == [("A", "one"), ("B", "one"), ("B", "two")]
+    lost = spark.createDataFrame([("A", f"{tmp_path}/r/none")], "corpus string, path string")
+    with pytest.raises(ValueError, match="no supported files found in .*none"):
+        corpus_files.read_corpora(spark, lost, root=str(tmp_path / "r"))
+
+
+def test_outermost_paths():
+    assert corpus_files.outermost(["/a/b", "/a b", "/a/", "/a-c", "/a/b/c", "/b.txt", "/b"]) == ["/a", "/a b", "/a-c", "/b", "/b.txt"]
+
+
 NESTED = (
     '<p>I <NS type="RV"><i>goed</i><c>went</c></NS> to  <NS type="MD"><c>the</c></NS> shop '
     '<NS type="S">zz<i>no<NS type="Q"><i>t</i></NS></i>yy</NS>.</p>'
