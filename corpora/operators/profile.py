@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from corpora.functions import text as T
 
@@ -69,6 +72,61 @@ def analyse_in_batches(
     return documents.mapInPandas(run, schema)
 
 
+class Analyser(Protocol):
+    """An external analyser that is started once, gets batches and is closed in the end."""
+
+    def analyse(self, batch: list[dict]) -> Iterable[tuple]: ...
+
+    def close(self) -> None: ...
+
+
+def analyser_table(start: Callable[[], Analyser], schema: StructType, columns: Sequence[str], batch_size: int = 100):
+    """An analyser as a table function over the rows of a table with certain ``columns``.
+
+    Spark starts one analyser for each partition, where the rows are; a table without the columns fails
+    when the query is planned. Batches hold at most ``batch_size`` rows.
+    """
+    needed = list(columns)
+
+    class OfTable:
+        @staticmethod
+        def analyze(documents: AnalyzeArgument) -> AnalyzeResult:
+            known = documents.dataType.fieldNames() if documents.isTable else []
+            if missing := sorted(set(needed) - set(known)):
+                raise ValueError(f"columns {missing} not found; available columns: {known}")
+            return AnalyzeResult(schema)
+
+        def __init__(self):
+            self.analyser, self.held = start(), []
+
+        def eval(self, documents: Row):
+            self.held.append({name: documents[name] for name in needed})
+            if len(self.held) == batch_size:
+                yield from self._results()
+
+        def _results(self):
+            batch, self.held = self.held, []
+            yield from self.analyser.analyse(batch)
+
+        def terminate(self):
+            if self.held:
+                yield from self._results()
+            self.analyser.close()
+
+    return udtf(OfTable)
+
+
+def analyse_by_table_function(
+    documents: DataFrame, start: Callable[[], Analyser], schema: StructType, batch_size: int = 100
+) -> DataFrame:
+    """:func:`analyse_in_batches` for an analyser that is costly to start: once per partition.
+
+    ``start`` makes the analyser in the task; ``analyse`` gets a list of rows as dictionaries and
+    returns tuples in the order of ``schema``.
+    """
+    return analyser_table(start, schema, documents.columns, batch_size)(documents.asTable())
+
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 

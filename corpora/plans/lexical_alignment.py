@@ -112,7 +112,7 @@ def top_words_report(
     if paths is None:
         best = best.withColumn("corpus_paths", F.lit(None).cast("string"))
     else:
-        best = best.join(F.broadcast(paths), "corpus", "left")
+        best = best.join(paths, "corpus", "left")
     return best.select(
         F.col("corpus").alias("corpus_name"),
         "corpus_paths",

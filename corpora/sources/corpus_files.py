@@ -213,6 +213,12 @@ def read_corpora(
     return rows.join(files.select("file", "corpus", "path"), "file").select("corpus", "path", "text")
 
 
+def joined_paths(paths: DataFrame, order: str) -> DataFrame:
+    """``(corpus, corpus_paths)`` of a table of paths, joined in ``order`` for reports."""
+    placed = F.array_sort(F.collect_list(F.struct(order, "path")))
+    return paths.groupBy("corpus").agg(F.array_join(F.transform(placed, lambda x: x["path"]), " | ").alias("corpus_paths"))
+
+
 def corpus_paths(spark: SparkSession, corpora: Sequence[Corpus]) -> DataFrame:
     """``(corpus, corpus_paths)`` with the paths joined for reports."""
     rows = [(c.name, " | ".join(c.paths)) for c in corpora]

@@ -106,6 +106,13 @@ with lines as (
 clean as (select corpus, {stripped('text')} as text from lines)
 select corpus, text, count(*) as n from clean where text <> '' group by all"""
 
+ORACLE["q05_manifest_corpora"] = rf"""
+with texts as (
+    select case when lang in ('en', 'fr') then 'both' else lang end as corpus, 'lang=' || lang as place, text from documents
+    union all select 'benchmark', 'benchmark', text from benchmark where text not in ({_missing})),
+clean as (select corpus, place, {stripped('text')} as text from texts)
+select corpus, place, text, count(*) as n from clean where text <> '' group by all"""
+
 ORACLE["q05_manifest"] = """
 with usable as (
     select page_id, regexp_extract(url, '://([^/]+)', 1) as name, url as path from pages)
@@ -413,13 +420,21 @@ best as (
 {_top}""")
 
 
-def divergences(stop_words: bool = False) -> str:
+ORACLE["q20_top_words_with_paths"] = with_inputs("by_language", f"""
+with {tally('by_language')},
+best as (
+    select *, cast(row_number() over (partition by corpus order by n desc, word) as integer) as rank
+    from by_language_counts)
+{_top.replace('corpus as corpus_name', "corpus as corpus_name, 'z/' || corpus || ' | a/' || corpus as corpus_paths")}""")
+
+
+def divergences(stop_words: bool = False, smoothing: str = "1e-12", others: str = "") -> str:
     return f"""
 {tally('by_language', stop_words)},
 {tally('downstream', stop_words)},
 pairs as (
     select distinct a.corpus as pretraining_name, b.corpus as downstream_name
-    from by_language a, downstream b),
+    from by_language a, downstream b{others}),
 a_side as (
     select pretraining_name, downstream_name, word, n as a
     from pairs join by_language_counts on corpus = pretraining_name),
@@ -434,8 +449,8 @@ totals as (
     from joint group by all),
 shares as (
     select pretraining_name, downstream_name, v,
-           (a + cast(1e-12 as double)) / (na + cast(1e-12 as double) * v) as p,
-           (b + cast(1e-12 as double)) / (nb + cast(1e-12 as double) * v) as q
+           (a + cast({smoothing} as double)) / (na + cast({smoothing} as double) * v) as p,
+           (b + cast({smoothing} as double)) / (nb + cast({smoothing} as double) * v) as q
     from joint join totals using (pretraining_name, downstream_name)),
 sums as (
     select pretraining_name, downstream_name, v as full_vocab_size,
@@ -466,6 +481,19 @@ from sums join by_language_stats x on x.corpus = pretraining_name
 order by downstream_name, (kp + kq) / 2, pretraining_name""")
 
 
+_others = " union all select distinct 'nothing', corpus from downstream"
+ORACLE["q22_report_with_paths"] = with_inputs("by_language downstream", f"""
+with {divergences(False, '1e-6', _others)}
+select pretraining_name, 'z/' || pretraining_name || ' | a/' || pretraining_name as pretraining_paths,
+       downstream_name, 'z/' || downstream_name || ' | a/' || downstream_name as downstream_paths,
+       true as lowercase, false as remove_function_words, cast(null as varchar) as stopword_library,
+       cast(null as integer) as min_word_len, cast(1e-6 as double) as smoothing,
+       coalesce(x.n_texts, 0) as pretraining_n_texts, coalesce(x.n_tokens, 0) as pretraining_n_tokens,
+       coalesce(x.n_types, 0) as pretraining_n_types, y.n_texts as downstream_n_texts,
+       y.n_tokens as downstream_n_tokens, y.n_types as downstream_n_types, full_vocab_size,
+       round((kp + kq) / 2, 9) as jsd_full_vocab, round(sqrt((kp + kq) / 2), 9) as js_distance_full_vocab
+from sums left join by_language_stats x on x.corpus = pretraining_name
+          join downstream_stats y on y.corpus = downstream_name""")
 ORACLE["q22_alignment_report"] = _report(False)
 ORACLE["q29_content_word_report"] = _report(True)
 
@@ -652,6 +680,7 @@ with parts as (
 select doc_id, len(parts) as n_parts,
        coalesce(list_max(list_transform(parts, lambda x: length(x))), 0) as longest
 from parts"""
+ORACLE["q46_table_function"] = ORACLE["q46_external_analyser"]
 ORACLE["q47_closest_groups"] = f"""
 with {_long},
 spread as (select feature, stddev_samp(value) as sd from long group by feature)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpora.functions import scores as S
 from corpora.functions import text as T
@@ -85,6 +86,21 @@ def q05_manifest(spark, folder):
     return corpus_files.manifest_rows(manifest, "page_id")
 
 
+@query
+def q05_manifest_corpora(spark, folder):
+    """Documents by language and benchmark texts as files, read as the corpora that a manifest names."""
+    root = scratch_path(spark, "manifest-corpora")
+    docs = inputs.table(spark, folder, "documents").select("lang", "text")
+    sinks.write_parts(docs, f"{root}/docs", "lang", balanced=True)
+    sinks.write_table(inputs.table(spark, folder, "benchmark"), f"{root}/benchmark", "csv")
+    name = F.when(F.col("lang").isin("en", "fr"), F.lit(" both ")).otherwise(F.col("lang"))
+    rows = docs.select("lang").distinct().select(name.alias("name"), F.concat(F.lit(f"{root}/docs/lang="), "lang").alias("path"))
+    rest = spark.createDataFrame([("benchmark", f"{root}/benchmark"), ("", root)], "name string, path string")
+    manifest = sinks.write_table(rows.unionByName(rest), scratch_path(spark, "manifest"), "csv")
+    texts = corpus_files.read_corpora(spark, corpus_files.manifest_table(spark, manifest), "text", root=root)
+    return texts.groupBy("corpus", T.base_name(F.col("path")).alias("place"), "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _scripts(spark, folder):
     """Every document as an annotated exam script; one file in 50 is cut short."""
     clean = T.keep_essay_characters(F.col("text"))
@@ -377,6 +393,32 @@ def q22_alignment_report(spark, folder):
     return rounded(report.drop("pretraining_paths", "downstream_paths", "smoothing"))
 
 
+def _named_paths(texts, folder, *others):
+    """Two paths for each corpus, and corpora without texts."""
+    known = texts.select("corpus").distinct()
+    for name in others:
+        known = known.unionByName(known.sparkSession.createDataFrame([(name,)], "corpus string"))
+    both = F.posexplode(F.array(F.concat(F.lit("z/"), "corpus"), F.concat(F.lit("a/"), "corpus"))).alias("place", "path")
+    return corpus_files.joined_paths(known.select("corpus", both), "place")
+
+
+@query
+def q20_top_words_with_paths(spark, folder):
+    texts = inputs.corpora_by_language(spark, folder)
+    return rounded(lexical_alignment.top_words_report(texts, 50, paths=_named_paths(texts, folder)))
+
+
+@query
+def q22_report_with_paths(spark, folder):
+    """The report with paths, another smoothing, and a pretraining corpus without texts."""
+    left, right = inputs.corpora_by_language(spark, folder), inputs.downstream(spark, folder)
+    report = lexical_alignment.alignment_report(
+        left, right, smoothing=1e-6,
+        pretraining_paths=_named_paths(left, folder, "nothing"), downstream_paths=_named_paths(right, folder),
+    )
+    return rounded(report)
+
+
 @query
 def q29_content_words(spark, folder):
     counted = lexical.tally(inputs.corpora_by_language(spark, folder), stop_words=ENGLISH)
@@ -558,6 +600,25 @@ def q46_external_analyser(spark, folder):
     return profile.analyse_in_batches(docs, analyse, "doc_id bigint, n_parts bigint, longest bigint")
 
 
+class _Parts:
+    """Stands for an analyser that is costly to start."""
+
+    def analyse(self, batch):
+        for row in batch:
+            parts = row["text"].split()
+            yield row["doc_id"], len(parts), max(map(len, parts), default=0)
+
+    def close(self):
+        pass
+
+
+@query
+def q46_table_function(spark, folder):
+    docs = inputs.texts(spark, folder, "documents").select("doc_id", "text")
+    schema = StructType().add("doc_id", "long").add("n_parts", "long").add("longest", "long")
+    return profile.analyse_by_table_function(docs, _Parts, schema)
+
+
 @query
 def q47_closest_groups(spark, folder):
     docs = materialize(_profile(spark, folder), "profile")
