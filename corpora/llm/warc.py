@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpora.session import materialize, scratch_path
@@ -29,6 +29,18 @@ from corpora.session import materialize, scratch_path
 #: A profile name that the format defines for records with a payload seen before.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCK = 1 << 16
+_SALTS = 64
+
+
+def _shared_folder(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the session's file system, as pyarrow names it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, place = whole.split(":", 1)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs"):
+        raise ValueError(f"archives cannot be written to {whole}")
+    return f"{scheme}://{place.removeprefix('//')}"
 
 
 def with_revisits(
@@ -49,7 +61,10 @@ def with_revisits(
     groups = rows.where(size >= least).groupBy("digest")
     shared = groups.agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = shared.where("n > 1").select(F.col("digest").alias("d"), "first")
-    joined = rows.join(shared, F.col("digest") == F.col("d"), "left")
+    # a payload that a third of all rows have meets its response in many tasks
+    repeated = shared.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS)))
+    joined = salted.join(repeated, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     refers = F.when(F.col("id").isNull() | (F.col("id") < F.col("first")), F.col("first"))
     return joined.select("id", "url", "payload", refers.alias("refers_to"))
 
@@ -118,7 +133,7 @@ def write_archives(
         columns = [pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["path", "records", "bytes"])
 
-    base = folder if "://" in folder else f"file://{folder}"
+    base = _shared_folder(records.sparkSession, folder)
     rows = records.select("id", "url", "payload", "refers_to")
     made = rows.mapInArrow(write, "path string, records bigint, bytes bigint")
     return materialize(made, "archives")
@@ -226,4 +241,5 @@ def archived(pages: DataFrame, id: str = "page_id", url: str = "url", payload: s
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[id]
     manifest = write_archives(with_revisits(pages, id, url, payload), scratch_path(spark, "warc"))
-    return with_full_size(read_archives(manifest, kind, with_payload=False))
+    # two passes read the records; the archives are unpacked once
+    return with_full_size(materialize(read_archives(manifest, kind, with_payload=False), "records"))
