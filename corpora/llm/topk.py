@@ -15,6 +15,9 @@ query; equal candidate rows are candidates each. An empty table gives an empty r
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,7 +107,12 @@ def quantized(vectors: DataFrame, scale: int, id: str, vector: str) -> DataFrame
     valid = F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < wide))
     rows = vectors.select(F.col(id).alias("id"), x.alias("x"))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & valid)
-    made = F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("double"))
+    # from 2 ** 52 on a double is whole as it is
+    def whole(c: Column) -> Column:
+        y = c * F.lit(float(scale))
+        return F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    made = F.transform("x", whole)
     return rows.select("id", made.alias("v"), F.size("x").alias("dim"))
 
 
@@ -112,6 +120,20 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["v"].to_numpy()).astype(np.float64)
 
 
+def _large(points, ids, asked, names, numbers, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, id and score of each query's ``k`` best points, by Python's integers.
+
+    Scores past the range of a long are given as its ends.
+    """
+    exact = [[int(c) for c in p] for p in points.tolist()]
+    out = []
+    for own, name, query in zip(numbers.tolist(), names.tolist(), asked.tolist()) if exact else ():
+        q = [int(c) for c in query]
+        scored = ((-sum(map(operator.mul, q, p)), i) for p, i in zip(exact, ids.tolist()) if i != name)
+        out += [(own, i, max(-(2**63), min(2**63 - 1, -s))) for s, i in heapq.nsmallest(k, scored)]
+    return tuple(np.array(x, dtype=np.int64) for x in (zip(*out) if out else ((), (), ())))
+
+
 def _searched(k: int):
     """Cogrouped search of a block of queries in a shard."""
 
@@ -120,21 +142,23 @@ def _searched(k: int):
         if rows.empty or queries.empty:
             return empty
         points, asked = _matrix(rows), _matrix(queries)
-        top = np.abs(points).max(initial=0) * np.abs(asked).max(initial=0) * points.shape[1]
-        if top >= _EXACT:
-            raise ValueError("inner products are too large to be exact")
-        tree = BallTree(points, rows["id"].to_numpy())
+        ids, names = rows["id"].to_numpy(), queries["id"].to_numpy()
+        most = np.sqrt(_EXACT / max(1, points.shape[1])) - 1
+        plain_rows, plain_queries = (np.abs(m).max(axis=1, initial=0) <= most for m in (points, asked))
         least = queries["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
-        found, scores = tree.search(asked, queries["id"].to_numpy(), k, least)
-        query, place = np.nonzero(np.isfinite(scores))
-        return pd.DataFrame(
-            {
-                "q": queries["id"].to_numpy()[query],
-                "qn": queries["n"].to_numpy()[query],
-                "vec": found[query, place],
-                "score": scores[query, place].astype(np.int64),
-            }
-        )
+        parts = []
+        if plain_rows.any() and plain_queries.any():
+            tree = BallTree(points[plain_rows], ids[plain_rows])
+            found, scores = tree.search(asked[plain_queries], names[plain_queries], k, least[plain_queries])
+            query, place = np.nonzero(np.isfinite(scores))
+            parts.append((np.flatnonzero(plain_queries)[query], found[query, place], scores[query, place].astype(np.int64)))
+        # rows or queries with large entries: whole numbers of any size
+        parts.append(_large(points[~plain_rows], ids[~plain_rows], asked, names, np.arange(len(names)), k))
+        if not plain_queries.all():
+            large = np.flatnonzero(~plain_queries)
+            parts.append(_large(points[plain_rows], ids[plain_rows], asked[large], names[large], large, k))
+        query, vec, score = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({"q": names[query], "qn": queries["n"].to_numpy()[query], "vec": vec, "score": score})
 
     return search
 

@@ -67,3 +67,18 @@ def test_trees_leave_rows_out():
     every = queries @ points.T
     every[np.arange(50), np.arange(50)] = -np.inf
     assert (np.sort(every, axis=1)[:, ::-1][:, :5] == scores).all() and sum(seen) < 0.3 * 50 * 4000
+
+
+def test_large_components(spark):
+    rng = random.Random(9)
+    rows = {i: [float(rng.randint(-9, 9)) for _ in range(3)] for i in range(60)}
+    rows |= {7: [1e30, 1.0, 0.0], 10: [-2e8, 3e7, 5.0], 30: [1e9, -1e9, 1e9]}
+    vectors = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = topk.top_inner_products(vectors, F.col("vec_id") % 10 == 0, k=4, scale=256, shard_rows=16, block_queries=4)
+    exact = {i: [int(256 * c) for c in v] for i, v in rows.items()}
+    want = set()
+    for q in range(0, 60, 10):
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)
+        clipped = sorted((-max(-(2**63), min(2**63 - 1, -s)), i) for s, i in scores)
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(clipped[:4], 1)}
+    assert {tuple(r) for r in got.collect()} == want
