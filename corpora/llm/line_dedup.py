@@ -215,21 +215,24 @@ def deduplicated_lines(
     if max_edits:
         gone = near_lines(texts, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
         kept = kept.join(gone, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_anti")
-    places = kept.groupBy(F.col("first.k").alias("_k")).agg(F.collect_list("first.n").alias("_kept"))
+    places = kept.groupBy(F.col("first.k").alias("k")).agg(F.collect_list("first.n").alias("kept"))
+    # the caller's columns travel as one, so that their names meet no others
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_kept")]
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn(text, body).withColumn("_key", document_key(id, F.col(text)))
-    joined = keyed.join(places, F.col("_key") == F.col("_k"), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")
+    keyed = docs.select(row, body.alias("body"), document_key(id, body).alias("key"))
+    joined = keyed.join(places, F.col("key") == F.col("k"), "left")
 
     def rebuilt(split: Column) -> Column:
         blank = F.filter(
             F.transform(split, lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()
         )
-        order = F.array_sort(F.concat(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), blank))
+        order = F.array_sort(F.concat(F.coalesce(F.col("kept"), F.array().cast("array<int>")), blank))
         return F.struct(
             F.array_join(F.transform(order, lambda i: F.get(split, i)), "\n").alias("text"),
             F.size(split).cast("long").alias("n_lines"), F.size(order).cast("long").alias("n_kept"),
         )
 
-    made = joined.withColumn("_made", let(F.split(F.col(text), "\n"), rebuilt))
-    made = made.withColumns({text: F.col("_made.text"), "n_lines": F.col("_made.n_lines"), "n_kept": F.col("_made.n_kept")})
-    return made.drop("_k", "_kept", "_key", "_made")
+    made = joined.select("row", let(F.split("body", "\n"), rebuilt).alias("made"))
+    texts = [F.col("made.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c == text or c in others]
+    return made.select(*texts, "made.n_lines", "made.n_kept")

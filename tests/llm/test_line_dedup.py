@@ -89,3 +89,12 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = line_dedup.deduplicated_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_like_helpers_stay(spark):
+    docs = spark.createDataFrame([(1, "a\na\nb")], "doc_id long, text string")
+    for name in ("_kept", "_k", "_key", "_made", "row", "key", "k", "kept", "made", "body", "n_lines", "odd.name"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = line_dedup.deduplicated_lines(docs).collect()[0].asDict()
+    assert out["text"] == "a\nb" and (out["n_lines"], out["n_kept"]) == (3, 2)
+    assert all(out[c] == c for c in docs.columns if c not in ("doc_id", "text", "n_lines"))
