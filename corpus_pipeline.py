@@ -22,14 +22,19 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", length).select(*COLUMNS)
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents`` alone; others would meet those that a stage adds."""
+    return docs.select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.judged(docs, into="_rejected_by").where("_rejected_by is null").select(*COLUMNS)
+    return quality.judged(_given(docs), into="_rejected_by").where("_rejected_by is null").select(*COLUMNS)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur earlier; one with no other lines goes."""
-    return _documents(line_dedup.deduplicated_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return _documents(line_dedup.deduplicated_lines(_given(docs)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text, so null or repeated ids lose no document; null ids come last.
     """
+    docs = _given(docs)
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", key.alias("key"))
     classes = ngram_join.near_duplicates(docs.withColumn("_order", order), id="_order")
@@ -48,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind."""
-    found = pii.personal_data(docs, into="_pii")
+    found = pii.personal_data(_given(docs), into="_pii")
     return _documents(found.withColumn("text", pii.masked(F.col("text"), F.col("_pii.spans"))))
 
 
