@@ -3,8 +3,10 @@
 Each rule is a condition that rejects a text. Its cost (time over a sample) and selectivity
 (share of the sample it rejects) are measured on a bounded sample, and the rules are ordered by
 rejection per cost. The cascade is one CASE expression, so a text that one rule rejects is not
-looked at by the later ones. The order changes only the work and which rule is named for a
-text that several reject; whether a text is kept does not depend on it.
+looked at by the later ones. Counts that most rules need, and those that a report shows, are
+made once before it; the others are made in the rule that asks for them. The order changes only
+the work and which rule is named for a text that several reject; whether a text is kept does not
+depend on it.
 
 Nulls: a null text has no words. Every row is judged by itself, so repeated rows, null ids,
 empty tables and other columns need no care; a column that has the result's name is replaced.
@@ -93,38 +95,69 @@ BASE: dict[str, Rule] = {
 }
 RULES: dict[str, Rule] = BASE | {
     "symbols": lambda m: 10 * m("n_symbols") > m("n_words"),
-    "repeated_lines": lambda m: 2 * m("n_dup_lines") > m("n_lines"),
+    "repeated_lines": lambda m: (m("n_dup_lines") > 0) & (2 * m("n_dup_lines") > m("n_lines")),
     "capitals": lambda m: 10 * m("n_capitals") > 3 * m("word_chars"),
     "short_words": lambda m: m("word_chars") < 3 * m("n_words"),
     "long_words": lambda m: m("word_chars") > 12 * m("n_words"),
 }
 
 
+#: Metrics that most rules read, and those of a report.
+SHARED = ("n_words", "word_chars")
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def of_text(text: str) -> Metric:
     """Metrics computed from the column named ``text``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     return lambda name: METRICS[name](whole)
 
 
+def _measured(docs: DataFrame, text: str, names: tuple[str, ...]) -> tuple[DataFrame, Metric]:
+    """``docs`` with the named metrics in a column of their own, and metrics that read them there.
+
+    The one-element generator makes them once per row, also under a filter on the cascade's result.
+    """
+    into, from_text = "_metrics", of_text(text)
+    while into in docs.columns:
+        into += "_"
+    made = F.struct(F.struct(*[from_text(n).alias(n) for n in names]).alias(into))
+    measured = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(made)))
+    return measured, lambda name: F.col(into)[name] if name in names else from_text(name)
+
+
 def cascade_order(
-    docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text", sample_rows: int = 1_000
+    docs: DataFrame,
+    rules: dict[str, Rule] = RULES,
+    text: str = "text",
+    sample_rows: int = 1_000,
+    known: tuple[str, ...] = SHARED,
 ) -> list[str]:
     """Names of the rules by rejections per second on a sample.
 
-    The sample is at most ``sample_rows`` texts of at most 20,000 characters.
+    The sample is at most ``sample_rows`` texts of at most 20,000 characters. The cost of a rule
+    is the time that it adds to a job which makes the ``known`` metrics only.
     """
     whole = F.coalesce(F.col(text), F.lit("")).alias(text)
     taken = docs.select(whole).where(F.length(text) <= 20_000).head(sample_rows)
     sample = docs.sparkSession.createDataFrame(taken, f"`{text}` string")
-    rows, metric, worth = len(taken), of_text(text), {}
-    for name, rule in rules.items():
-        rejected = sample.select(F.count_if(rule(metric)).alias("n"))
+    measured, metric = _measured(sample, text, known)
+    made = [F.sum(metric(name)) for name in known]
+
+    def timed(condition: Column) -> tuple[int, float]:
+        """Rows that meet the condition, and the seconds of the faster of two runs."""
+        job = measured.select(F.count_if(condition).alias("n"), *made)
         seconds = []
         for _ in range(2):  # the first run also compiles
             start = time.perf_counter()
-            n = rejected.collect()[0]["n"]
+            n = job.collect()[0]["n"]
             seconds.append(time.perf_counter() - start)
-        worth[name] = (n / max(rows, 1)) / min(seconds)
+        return n, min(seconds)
+
+    before, worth = timed(F.lit(True))[1], {}
+    for name, rule in rules.items():
+        n, seconds = timed(rule(metric))
+        worth[name] = n / max(len(taken), 1) / max(seconds - before, 1e-3)
     return sorted(rules, key=lambda name: -worth[name])
 
 
@@ -141,17 +174,25 @@ def judged(
 ) -> DataFrame:
     """``docs`` with the rule that rejects each row in the column ``into``, null for kept rows."""
     order = cascade_order(docs, rules, text)
-    return docs.withColumn(into, rejected_by(order, of_text(text), rules))
+    names = [c for c in docs.columns if c != into]
+    made, metric = _measured(docs, text, SHARED)
+    return made.select(*[F.col(f"`{c}`") for c in names], rejected_by(order, metric, rules).alias(into))
 
 
 def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Metrics and verdict of every row; the cascade reads the metrics that are shown anyway."""
-    order, metric = cascade_order(docs, RULES, text), of_text(text)
-    measured = docs.select(F.col(id).alias("id"), *[metric(name).alias(name) for name in METRICS])
+    """The ``SHOWN`` metrics and the verdict of every row.
+
+    The further metrics are made only for texts that no base rule fails, and only when the
+    cascade comes to a rule that reads them.
+    """
+    order = cascade_order(docs, RULES, text, known=SHOWN)
+    given = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    made, metric = _measured(given, "text", SHOWN)
     failed = F.lit(False)
     for rule in BASE.values():
-        failed = failed | rule(F.col)
-    return measured.select(
-        F.col("id").alias(id), *METRICS, failed.alias("base_failed"),
-        (~failed & rejected_by(order, F.col).isNull()).alias("kept"),
+        failed = failed | rule(metric)
+    further = [name for name in order if name not in BASE]
+    return made.select(
+        F.col("id").alias(id), *[metric(name).alias(name) for name in SHOWN], failed.alias("base_failed"),
+        F.when(failed, False).otherwise(rejected_by(further, metric).isNull()).alias("kept"),
     )

@@ -119,6 +119,30 @@ def test_verdicts_do_not_depend_on_the_order(spark):
         assert ids == sorted(r.doc_id for r in report.collect())
 
 
+def test_rejected_texts_are_not_measured_further(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "Ab " * 60), (3, "ab cd " * 30)], "doc_id long, text string")
+    asked = []
+
+    def capitals(metric):
+        asked.append(1)
+        return F.when(metric("n_words") < 50, F.raise_error(F.lit("measured"))).otherwise(metric("n_capitals") > 9)
+
+    rules = {"few_words": quality.BASE["few_words"], "capitals": capitals}
+    measured, metric = quality._measured(docs, "text", quality.SHARED)
+    found = measured.select("doc_id", quality.rejected_by(list(rules), metric, rules).alias("r")).collect()
+    assert {r.doc_id: r.r for r in found} == {1: "few_words", 2: "capitals", 3: None} and asked
+
+
+def test_shared_counts_are_made_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = quality.judged(docs).where("rejected_by is null").select("doc_id")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    generator = next(line for line in plan.splitlines() if "Generate inline" in line)
+    condition = next(line for line in plan.splitlines() if "Filter" in line and "CASE" in line)
+    assert generator.count("split(") == 1 and condition.count("split(text") <= 5
+    assert "word_chars" in condition
+
+
 def test_rules_on_labelled_documents(spark):
     folder = "/root/testdata/sf0.1"
     report = quality.quality_report(spark.read.parquet(f"{folder}/documents.parquet"))
@@ -129,7 +153,7 @@ def test_rules_on_labelled_documents(spark):
 
 def test_rules_on_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "doc_id long, text string")
-    docs = docs.withColumn("rejected_by", F.lit(1)).withColumn("n_words", F.lit(2))
+    docs = docs.withColumn("rejected_by", F.lit(1)).withColumn("n_words", F.lit(2)).withColumn("a.b", F.lit(3))
     assert [r.rejected_by for r in quality.judged(docs).collect()] == ["few_words"] * 3
     assert quality.judged(docs.limit(0)).count() == 0 and quality.quality_report(docs.limit(0)).count() == 0
 
