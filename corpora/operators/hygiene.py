@@ -38,19 +38,62 @@ def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*others, F.inline(F.array(made)))
 
 
-def keep_first(rows: DataFrame, on: Sequence[Column], order: str) -> DataFrame:
+#: Bits of a filter that is broadcast: 2 MB at most, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of one hash over ``key``: pages of 4 KB with a bit for each hash, ``(_page, _bits)``.
+
+    Pages are made where their keys meet, so no task holds all of them. The more keys, the
+    more others pass; none of the keys ever fails.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    page = F.coalesce(F.bitmap_bucket_number(place), F.lit(0))  # never null: joins need not filter for it
+    return keys.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+
+
+def marked_by(rows: DataFrame, key: Column, pages: DataFrame, into: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with the boolean ``into``: whether ``key`` may be among those of the filter ``pages``."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.expr("_byte >> _at") % 2 == 1, F.lit(False))
+    met = rows.withColumn("_place", F.coalesce(F.bitmap_bucket_number(place), F.lit(0))).withColumn("_at", (at % 8).cast("int"))
+    met = met.join(F.broadcast(pages), F.col("_place") == F.col("_page"), "left").withColumn("_byte", byte)
+    return met.withColumn(into, found).select(*rows.columns, into)
+
+
+def keep_first(rows: DataFrame, on: Sequence[Column], order: str, bits: int | None = None) -> DataFrame:
     """Of rows equal in ``on`` keep the one with the least ``order`` key.
 
     The winners come from an aggregation over digests, which is combined before
     the shuffle, so one text on a third of all rows costs one row per task. The
     wide rows move once, by the unique order key, and never by the skewed one. A row
     without an order key has no place among its equals and fails.
+
+    With ``bits``, a filter of that size over the digests that occur again is broadcast, and
+    rows that it does not hold stay where they are, for one more reading of ``rows``: the right
+    choice for wide rows of a table, not for rows that are costly to make. Eight bits for each
+    text that occurs again leave one other row in eight to move. Moved rows meet their winners
+    by digest and order key, so those that pass the filter by chance are not lost.
     """
     digest = F.sha2(F.to_json(F.struct(*on)), 256) if len(on) > 1 else F.sha2(on[0].cast("string"), 256)
     missing = F.raise_error(F.lit(f"a row has no {order}")).cast(dict(rows.dtypes)[order])
     known = F.coalesce(F.col(order), missing)
-    winners = rows.groupBy(digest.alias("_digest")).agg(F.min(known).alias(order)).select(order)
-    return rows.join(winners, order, "left_semi")
+    if bits is None:
+        winners = rows.groupBy(digest.alias("_digest")).agg(F.min(known).alias(order)).select(order)
+        return rows.join(winners, order, "left_semi")
+    digested = rows.withColumn("_digest", F.coalesce(F.unhex(digest), F.lit(b"")))
+    groups = digested.groupBy(F.col("_digest").alias("_group")).agg(
+        F.min(known).alias("_first"), F.count(F.lit(1)).alias("_copies")
+    )
+    again = key_filter(groups.where("_copies > 1 and _first is not null"), F.col("_group"), bits)
+    marked = marked_by(digested, F.col("_digest"), again, "_again", bits)
+    winners = marked_by(groups.where("_copies > 0"), F.col("_group"), again, "_again", bits).where("_again")
+    same = (F.col("_digest") == F.col("_group")) & (F.col(order) == F.col("_first"))
+    moved = marked.where("_again").join(winners.select("_group", "_first"), same, "left_semi")
+    return marked.where("not _again").unionByName(moved).select(*rows.columns)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: Sequence[str], salts: int = 16) -> DataFrame:

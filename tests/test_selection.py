@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpora.functions.ordering import order_hash, value_bucket
 from corpora.operators import selection, splits
-from corpora.operators.hygiene import join_groups, keep_first, require_rows
+from corpora.operators.hygiene import join_groups, keep_first, key_filter, marked_by, require_rows
 
 
 def digest(key, seed=42):
@@ -175,10 +175,11 @@ def test_few_shot_with_a_hot_class(spark):
         assert abs(classes[0] - n * 2 / 3) < 1
 
 
-def test_keep_first_needs_order_keys(spark):
+@pytest.mark.parametrize("bits", [None, 1 << 20])
+def test_keep_first_needs_order_keys(spark, bits):
     rows = spark.createDataFrame([(1, "a"), (None, "b")], "k int, t string")
     with pytest.raises(Exception, match="a row has no k"):
-        keep_first(rows, [F.col("t")], "k").collect()
+        keep_first(rows, [F.col("t")], "k", bits).collect()
 
 
 def test_rows_without_a_label_are_drawn(spark):
@@ -196,6 +197,43 @@ def test_keep_first(spark):
     assert {r.k for r in both.collect()} == {1, 2, 4, 6}
 
 
+@pytest.mark.parametrize("bits", [1, 64, 1 << 20])
+def test_keep_first_whatever_the_filter_lets_pass(spark, bits):
+    rows = [(i, f"t{i % 70}" if i % 3 else f"u{i}") for i in range(400)] + [(500, None), (501, None), (7, "t7")]
+    got = keep_first(spark.createDataFrame(rows, "k int, t string"), [F.col("t")], "k", bits).collect()
+    least = {}
+    for k, t in rows:
+        least[t] = min(k, least.get(t, k))
+    assert sorted(r.k for r in got) == sorted(k for k, t in rows if least[t] == k)
+    empty = spark.createDataFrame([], "k int, t string")
+    assert keep_first(empty, [F.col("t")], "k", bits).count() == 0
+
+
+def test_a_filter_holds_its_keys(spark):
+    keys = spark.range(3000).select((F.col("id") * 7919).alias("v"))
+    pages = key_filter(keys, F.col("v"), 1 << 18)
+    marked = marked_by(spark.range(7919 * 50).withColumnRenamed("id", "v"), F.col("v"), pages, "m", 1 << 18)
+    held, passed = marked.where("v % 7919 = 0 and m").count(), marked.where("v % 7919 <> 0 and m").count()
+    assert held == 50 and passed < 0.03 * 7919 * 50
+    assert pages.agg(F.max(F.length("_bits"))).collect()[0][0] == 4096 and pages.count() <= (1 << 18) / 32768 + 1
+
+
+def test_texts_that_occur_once_stay_where_they_are(spark, tmp_path):
+    made = [(i, f"text {i if i > 20 else 0}", "wide " * 50) for i in range(600)]
+    spark.createDataFrame(made, "k int, t string, w string").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    kept = keep_first(rows, [F.col("t")], "k", 1 << 20)
+    assert {r.k for r in kept.collect()} == {0, *range(21, 600)}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("Union"):].splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    # of the first branch only the filter's pages are exchanged: the rows' own side has none
+    own = next(i for i, line in enumerate(lines) if "BroadcastExchange" in line)
+    assert own < semi and not any("Exchange" in line for line in lines[:own])
+    assert any("w#" in line and "FileScan" in line for line in lines[:own])
+    assert any("Exchange hashpartitioning(_digest" in line for line in lines[semi:])
+
+
 def test_row_guard(spark):
     assert require_rows(numbers(spark, 5), 5) is not None
     with pytest.raises(ValueError, match="too few texts: 5"):

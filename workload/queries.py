@@ -283,7 +283,8 @@ def q23_nested_subsets(spark, folder):
 
 @query
 def q24_distinct_texts(spark, folder):
-    return hygiene.keep_first(inputs.table(spark, folder, "documents"), [F.col("text")], "doc_id")
+    documents = inputs.table(spark, folder, "documents")
+    return hygiene.keep_first(documents, [F.col("text")], "doc_id", bits=hygiene.FILTER_BITS)
 
 
 @query
