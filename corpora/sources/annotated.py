@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +13,16 @@ from corpora.functions.scores import exam_codes
 from corpora.operators.hygiene import mapped_codes
 
 ANSWERS = "path string, answer_id string, answer_s string, text string, error string"
+#: Bytes of files that are parsed between two batches of answers, unless one file has more.
+_PARSED = 1 << 20
 
 
-def _answer_parser():
-    """Parser of one batch of files; built here so that it ships by value."""
+def _answer_parser(size: int = _PARSED):
+    """Parser of batches of files; built here so that it ships by value.
+
+    Answers are handed on each ``size`` bytes of files, so a worker holds a batch of files and the answers of
+    a few of them, however many files a batch has.
+    """
 
     def learner_text(answer) -> str:
         """Text as the learner wrote it.
@@ -32,15 +38,22 @@ def _answer_parser():
                 original.tail = None
         return "".join(answer.itertext())
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xml.etree.ElementTree as ElementTree
 
-        import pandas as pd
+        import pyarrow as pa
 
         columns = ["path", "answer_id", "answer_s", "text", "error"]
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
+
+        def handed_on(rows: list[tuple]) -> pa.RecordBatch:
+            arrays = [pa.array(column, pa.string()) for column in zip(*rows)]
+            return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+        for batch in batches:
+            rows, taken = [], 0
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                path, content = path.as_py(), content.as_py()
+                taken += len(content or b"")
                 try:
                     root = ElementTree.fromstring(content)
                     found = []
@@ -53,7 +66,11 @@ def _answer_parser():
                     rows += found
                 except Exception as problem:
                     rows.append((path, None, None, None, str(problem)))
-            yield pd.DataFrame(rows, columns=columns)
+                if taken >= size and rows:
+                    yield handed_on(rows)
+                    rows, taken = [], 0
+            if rows:
+                yield handed_on(rows)
 
     return parse
 
@@ -74,7 +91,7 @@ def parsed_answers(scripts: DataFrame) -> DataFrame:
     A file that cannot be parsed gives one row with ``error`` and does not fail the
     job. Files are parsed where they are read; there is no shuffle.
     """
-    return scripts.select("path", "content").mapInPandas(_answer_parser(), ANSWERS)
+    return scripts.select("path", "content").mapInArrow(_answer_parser(), ANSWERS)
 
 
 def parse_errors(answers: DataFrame) -> DataFrame:

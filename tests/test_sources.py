@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,13 @@ def test_a_run_s_tables_can_be_dropped(spark):
         assert rows.count() == 5 and os.path.isdir(folder)
         assert scratch_path(spark, "x").startswith(folder)
     assert not os.path.isdir(folder) and not scratch_path(spark, "x").startswith(folder)
+
+
+def test_answers_of_a_large_batch_are_handed_on_in_small_ones():
+    content = "<s><answer1><coded_answer>{}</coded_answer></answer1></s>"
+    files = [content.format("word " * 200).encode() if i % 10 else b"<s>" for i in range(5_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(5_000)]), pa.array(files)], names=["path", "content"])
+    out = list(annotated._answer_parser()(iter([batch])))
+    assert [p for b in out for p in b.column("path").to_pylist()] == [str(i) for i in range(5_000)]
+    assert max(b.nbytes for b in out) < 1.5 * (1 << 20) and len(out) > 3
+    assert sum(b.column("error").null_count for b in out) == 4_500
