@@ -1,7 +1,7 @@
 """Near-duplicate documents by one-permutation hashing, banded buckets and stars of candidates.
 
 A document's set holds its distinct two-word shingles; documents of equal sets are one class from
-the start. One hash of each shingle gives the whole signature: the range of hashes is cut into
+the start, named by the key of one of their rows. One hash of each shingle gives the whole signature: the range of hashes is cut into
 ``bands * rows`` bins and a bin's value is the least hash in it. An empty bin copies the bin that
 its own random order of all bins meets first among the filled ones (optimal densification), so two
 signatures agree in a bin with a chance of the sets' similarity, whatever the sizes.
@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpora.llm.components import components
-from corpora.llm.lookup import document_key, passing, texts_of
+from corpora.llm.lookup import document_key, texts_of
 from corpora.llm.shingles import mixed, shingle_hashes
 from corpora.session import materialize
 
@@ -117,12 +117,15 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id: str, text
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``key``, ``f``, ``size`` and ``met``, the members of all buckets that ``f`` is in, of shared buckets."""
-    members = classes.select(F.explode("keys").alias("key"), "f", "size")
-    sizes = members.groupBy(F.col("key").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(members.join(sizes, F.col("key") == F.col("s")).select("key", "f", "size", "n"), "minhash-shared")
-    met = shared.groupBy(F.col("f").alias("g")).agg(F.sum("n").alias("met"))
-    return shared.join(met, F.col("f") == F.col("g")).select("key", "f", "size", "met")
+    """``key``, ``k``, ``size`` and ``met``, the members of all buckets that ``k`` is in, of shared buckets.
+
+    Keys are dealt out once, and a bucket is counted where its members lie.
+    """
+    members = classes.select(F.explode("keys").alias("key"), "k", F.col("size").cast("int").alias("size"))
+    counted = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = materialize(counted.where("n > 1"), "minhash-shared")
+    met = shared.groupBy(F.col("k").alias("g")).agg(F.sum("n").alias("met"))
+    return shared.join(met, F.col("k") == F.col("g")).select("key", "k", "size", "met")
 
 
 def _comparable(percent: int) -> Column:
@@ -131,73 +134,75 @@ def _comparable(percent: int) -> Column:
 
 
 def star_edges(members: DataFrame, percent: int) -> DataFrame:
-    """``a`` and ``b``, the lesser first: each bucket's star about the member that meets most others.
+    """``_edges`` of each bucket's star about the member that meets most others.
 
     What a group was copied from shares more buckets than its copies do, so it is their centre in
     all buckets that it is in.
     """
-    centres = members.groupBy(F.col("key").alias("s")).agg(F.max(F.struct("met", "f", "size")).alias("m"))
-    centres = centres.select("s", F.col("m.f").alias("centre"), F.col("m.size").alias("centre_size"))
-    return _edges(members.join(centres, F.col("key") == F.col("s")).where((F.col("f") != F.col("centre")) & _comparable(percent)))
+    most = F.max(F.struct("met", "k", "size")).over(Window.partitionBy("key"))
+    met = members.withColumn("m", most).select("k", "size", F.col("m.k").alias("centre"), F.col("m.size").alias("centre_size"))
+    return _edges(met.where((F.col("k") != F.col("centre")) & _comparable(percent)))
 
 
 def _edges(met: DataFrame) -> DataFrame:
-    return met.select(F.least("f", "centre").alias("a"), F.greatest("f", "centre").alias("b")).distinct()
+    """``a`` and ``b``, the lesser first, and which of them is the ``centre``: each pair once."""
+    return met.groupBy(F.least("k", "centre").alias("a"), F.greatest("k", "centre").alias("b")).agg(F.min("centre").alias("centre"))
 
 
-def centres_outside(members: DataFrame, joined: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``key``, ``f``, ``size``, ``c`` (component) of buckets that do not hang together, and for each a
-    new centre ``s`` (the key), ``centre``, ``centre_size``, ``cc`` (its component).
+def centres_outside(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` (``key``, ``k``, ``size``, ``was``) of buckets that do not hang together, with ``c`` (component) and
+    their bucket's new ``centre``, ``centre_size`` and ``cc`` (its component).
 
-    A centre is a member outside the bucket's largest component that was none yet (``done`` has ``s`` and
-    ``centre``), another one in each bucket.
+    A centre is a member outside the bucket's largest component that ``was`` none yet, another one in each bucket;
+    null if there is none. Each row meets one centre, that of its bucket, so there are as many as members.
     """
     labels = joined.select(F.col("node").alias("m"), "component")
-    placed = members.select("key", "f", "size").join(labels, F.col("f") == F.col("m"), "left")
-    placed = placed.select("key", "f", "size", F.coalesce("component", "f").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy(F.col("key").alias("s")).agg(
-        F.max(F.struct("n", "c"))["c"].alias("largest"), F.count(F.lit(1)).alias("parts")
+    placed = members.select("key", "k", "size", "was").join(labels, F.col("k") == F.col("m"), "left")
+    placed = placed.select("key", "k", "size", "was", F.coalesce("component", "k").alias("c")).repartition("key")
+    bucket = Window.partitionBy("key")
+    counted = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "c")))
+    parted = counted.withColumn("largest", F.max(F.struct("n", "c")).over(bucket)["c"])
+    parted = parted.withColumn("mixed", F.min("c").over(bucket) != F.max("c").over(bucket)).where("mixed")
+    order = F.struct(F.xxhash64("key", "k").alias("h"), "k", "size", "c")
+    chosen = parted.withColumn("x", F.min(F.when((F.col("c") != F.col("largest")) & ~F.col("was"), order)).over(bucket))
+    return chosen.select(
+        "key", "k", "size", (F.col("was") | F.col("k").eqNullSafe(F.col("x.k"))).alias("was"), "c",
+        F.col("x.k").alias("centre"), F.col("x.size").alias("centre_size"), F.col("x.c").alias("cc"),
     )
-    mixed_keys = largest.where("parts > 1").select("s", "largest")
-    placed = materialize(placed.join(mixed_keys, F.col("key") == F.col("s")).drop("s"), "mixed-buckets")
-    was = (F.col("key") == F.col("s")) & (F.col("f") == F.col("centre"))
-    left = placed.where("c <> largest").join(done, was, "left_anti")
-    order = F.struct(F.xxhash64("key", "f"), "f", "size", "c")
-    centres = left.groupBy(F.col("key").alias("s")).agg(F.min(order).alias("m"))
-    return placed, centres.select("s", *[F.col(f"m.{x}").alias(y) for x, y in (("f", "centre"), ("size", "centre_size"), ("c", "cc"))])
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """The ``edges`` whose full sets (``f``, ``shingles``) are similar enough.
+def confirmed(edges: DataFrame, docs: DataFrame, percent: int, width: int, id: str, text: str) -> DataFrame:
+    """The ``a`` and ``b`` of ``edges`` whose full sets are similar enough.
 
-    A centre of many edges is repeated for each ``_STAR`` of them, so a large star is many tasks' work.
+    Texts are moved, not sets, which are larger: a member's once for each edge, to its centre. A centre of many
+    edges is repeated for each ``_STAR`` of them, so a large star is many tasks' work.
     """
-    degrees = edges.groupBy(F.col("a").alias("c")).agg(F.ceil(F.count(F.lit(1)) / _STAR).alias("salts"))
-    salted = edges.join(degrees, F.col("a") == F.col("c")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    with_member = salted.select("a", "b", "salt").join(sets.select(F.col("f").alias("b"), F.col("shingles").alias("y")), "b")
-    centres = degrees.select(
-        F.col("c").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
-    ).join(sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), "a")
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    met = with_member.join(centres, ["a", "salt"])
-    measured = met.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), both.alias("both"))
-    return measured.where(similar(F.col("n"), F.col("m"), F.col("both"))).select("a", "b")
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int, id: str, text: str) -> DataFrame:
-    """``f`` and ``shingles`` of the classes of which ``wanted.k`` names a row."""
-    exact = texts_of(docs, wanted, id, text).select("t")  # one row for each key, and so for each class
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    degrees = edges.groupBy(F.col("centre").alias("c")).agg(F.ceil(F.count(F.lit(1)) / _STAR).alias("salts"))
+    other = F.when(F.col("centre") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")
+    salted = edges.select("centre", other).join(degrees, F.col("centre") == F.col("c"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
+    ends = salted.select("centre", "node", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"))
+    ends = materialize(ends.unionByName(degrees.select(F.col("c").alias("centre"), F.col("c").alias("node"), salts)), "minhash-ends")
+    texts = texts_of(docs, ends.select(F.col("node").alias("k")).distinct(), id, text).select("k", "t")
+    rows = ends.join(texts, F.col("node") == F.col("k")).select("centre", "salt", "node", "t").repartition("centre", "salt")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = None, None  # a centre comes before its members
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # sets are larger than texts
-                sets = [shingle_set(t.as_py(), width) for t in batch.column("t").slice(at, 512)]
-                prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([prints, lists], names=["f", "shingles"])
-
-    return exact.mapInArrow(make, "f binary, shingles array<bigint>")
+            links = []
+            for centre, salt, node, t in zip(*(batch.column(c) for c in ("centre", "salt", "node", "t"))):
+                centre, salt, node, its = centre.as_py(), salt.as_py(), node.as_py(), shingle_set(t.as_py(), width)
+                if node == centre:
+                    known, own = (centre, salt), its
+                elif known == (centre, salt):
+                    both = int((own[np.minimum(np.searchsorted(own, its), len(own) - 1)] == its).sum())
+                    if 100 * both >= percent * (len(own) + len(its) - both):
+                        links.append((min(centre, node), max(centre, node)))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    ordered = rows.sortWithinPartitions("centre", "salt", F.col("node") != F.col("centre"))
+    return ordered.mapInArrow(compare, "a bigint, b bigint")
 
 
 def minhash_near_duplicates(
@@ -215,10 +220,6 @@ def minhash_near_duplicates(
     Rows are linked if 100 * intersection >= ``percent`` * union of their sets; ``component_id`` is
     the least id that such links reach and ``kept`` says whether it is the row's own.
     """
-
-    def similar(n: Column, m: Column, both: Column) -> Column:
-        return 100 * both >= percent * (n + m - both)
-
     signed = materialize(signatures(docs, bands, rows, width, id, text), "minhash-signatures")
     classes = signed.where("f is not null").groupBy("f").agg(
         F.min("id").alias("first"), F.min("k").alias("k"), F.any_value("keys").alias("keys"),
@@ -227,33 +228,29 @@ def minhash_near_duplicates(
     classes = materialize(classes, "minhash-classes")
     members = materialize(buckets(classes), "minhash-buckets")
 
-    def wanted(edges: DataFrame) -> DataFrame:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-        keys = classes.join(ends, F.col("f") == F.col("w"), "left_semi").select("k")
-        return _sets_of(docs, keys, width, id, text)
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(confirmed(pairs, docs, percent, width, id, text), "minhash-links")
 
     edges = materialize(star_edges(members, percent), "minhash-stars")
-    # every member of a bucket is an end of its star, so no other sets are needed later
-    sets = materialize(wanted(edges), "minhash-sets")
-    links = materialize(confirmed(edges, sets, similar), "minhash-links")
+    links = linked(edges)
     joined = materialize(components(links), "minhash-components")
-    done = members.select(F.col("key").alias("s"), F.col("f").alias("centre")).limit(0)
+    open_members = members.withColumn("was", F.lit(False))
     for _ in range(rounds):
-        placed, centres = centres_outside(members, joined, done)
-        centres = materialize(centres, "minhash-centres")
-        if centres.isEmpty():
+        open_members = materialize(centres_outside(open_members, joined), "minhash-centres")
+        met = open_members.where("centre is not null")
+        if met.isEmpty():
             break
-        met = placed.join(centres, F.col("key") == F.col("s")).where((F.col("c") != F.col("cc")) & _comparable(percent))
-        fresh = materialize(_edges(met).join(edges, ["a", "b"], "left_anti"), "minhash-stars")
-        ends = fresh.select(F.explode(F.array("a", "b")).alias("w")).select(F.xxhash64("w").alias("h"))
-        needed = passing(sets.withColumn("h", F.xxhash64("f")), "h", ends).drop("h")
-        links = links.unionByName(materialize(confirmed(fresh, needed, similar), "minhash-links"))
-        joined = materialize(components(links), "minhash-components")
-        done, edges = done.unionByName(centres.select("s", "centre")), edges.unionByName(fresh)
-    firsts = classes.select("f", "first").join(joined, F.col("f") == F.col("node"))
+        fresh = _edges(met.where((F.col("c") != F.col("cc")) & _comparable(percent)))
+        fresh = materialize(fresh.join(edges, ["a", "b"], "left_anti"), "minhash-stars")
+        found = linked(fresh)
+        edges = edges.unionByName(fresh)
+        if not found.isEmpty():  # else the components stay
+            links = links.unionByName(found)
+            joined = materialize(components(links), "minhash-components")
+    firsts = classes.select("k", "first").join(joined, F.col("k") == F.col("node"))
     least = firsts.groupBy("component").agg(F.min("first").alias("least"))
-    found = joined.join(least, "component").select(F.col("node").alias("f"), "least")
-    of_class = classes.select("f", "first").join(found, "f", "left").select("f", F.coalesce("least", "first").alias("least"))
+    found = joined.join(least, "component").select(F.col("node").alias("k"), "least")
+    of_class = classes.select("k", "f", "first").join(found, "k", "left").select("f", F.coalesce("least", "first").alias("least"))
     alone = signed.where("f is null").select("id", "n_shingles", F.col("id").alias("c"))
     others = signed.where("f is not null").select("id", "n_shingles", F.col("f").alias("own"))
     # a set that a third of all rows share is one row of `of_class`: rows of it meet it salted

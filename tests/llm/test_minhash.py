@@ -115,3 +115,21 @@ def test_signatures_agree_as_often_as_sets_are_alike():
             one, two = (minhash.one_permutation_signature(np.unique(x), order) for x in (a, b))
             agree.append((one == two).mean() - alike)
         assert abs(np.mean(agree)) < 0.02
+
+
+def test_each_member_of_a_bucket_meets_one_centre(spark):
+    """Rows of a round are as many as members, whatever the size of a bucket, and keys are dealt out once for it."""
+    rows = [(key, k, 10, False) for key, size in ((1, 40), (2, 3), (3, 30)) for k in range(size)]
+    members = spark.createDataFrame(rows, "key long, k long, size int, was boolean")
+    joined = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0)], "node long, component long")
+    seen = set()
+    for _ in range(2):
+        members = minhash.centres_outside(members, joined).localCheckpoint()
+        got = members.collect()
+        assert len(got) == 70 and {r.key for r in got} == {1, 3}  # bucket 2 hangs together
+        centres = {(r.key, r.centre) for r in got}
+        assert len(centres) == 2 and all(c > 3 for _, c in centres) and not centres & seen
+        assert {(r.key, r.k) for r in got if r.was} == centres | seen
+        seen |= centres
+    plan = minhash.centres_outside(members, joined)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" in plan
